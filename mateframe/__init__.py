@@ -1 +1,8 @@
 """mateframe: board-endgame datasets as Spark jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run on executors travel whole, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
