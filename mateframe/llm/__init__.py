@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: (query, module, whether the module's SQL gives the same rows)
 REGISTER = [
+    ("op10_token_ids", "tokens", False),
     ("op7_mixing", "mixing", True),
 ]
 
