@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: (query, module, whether the module's SQL gives the same rows)
 REGISTER = [
+    ("op6_pii", "pii", True),
     ("op4_top_k", "topk", True),
     ("op1_language_id", "langid", False),
     ("op10_token_ids", "tokens", False),
