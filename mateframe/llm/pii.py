@@ -85,7 +85,8 @@ def _with_spans(df: DataFrame, text: str, at: int) -> DataFrame:
         start = acc["at"] + F.element_at(F.col(p), i)
         return F.struct((start + F.length(F.element_at(F.col(m), i))).alias("at"), F.concat(acc["out"], F.array(start)).alias("out"))
 
-    starts = F.when(F.size(m) > 0, F.aggregate(F.sequence(F.lit(1), F.size(m)), begin, step, lambda a: a["out"])).otherwise(F.array().cast("array<int>"))
+    # the pieces are named twice, or the optimizer would put the split inside the lambda
+    starts = F.when((F.size(m) > 0) & (F.size(p) > F.size(m)), F.aggregate(F.sequence(F.lit(1), F.size(m)), begin, step, lambda a: a["out"])).otherwise(F.array().cast("array<int>"))
     df = df.withColumn(s, starts)
 
     def span(x: Column, start: Column) -> Column:
