@@ -40,35 +40,74 @@ class WordEncoder:
     """Ids of whole texts, word by word: this vocabulary never joins over ASCII blanks.
 
     Blanks are dropped by the vocabulary's own rules, so the ids of a text are those of its
-    words in order. Words seen before come from a bounded cache.
+    words in order. Words seen before come from a bounded cache; new ones are encoded many at a
+    time, with a bar between them whose id marks where each ends.
     """
 
-    LONGEST, KEPT = 64, 1 << 19
+    BAR, KEPT, TOGETHER = b"|", 400_000, 1024
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, np.ndarray] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.cache) + len(words) > self.KEPT:
-            self.cache.clear()
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False)
-            self.cache.update((w, e.ids) for w, e in zip(part, found, strict=True))
-
-    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        self._clear()
+        bar = self._ids(self.BAR)
+        self.bar = int(bar[0]) if len(bar) == 1 else None
+
+    def _clear(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.ids, self.ends = np.empty(1 << 20, "<u4"), np.zeros(self.KEPT + 1, np.int64)
+
+    def _ids(self, text: bytes) -> np.ndarray:
+        found = self.tokenizer.encode_batch_fast([text.decode("utf-8", "surrogatepass")], add_special_tokens=False)[0].ids
+        return np.array(found, "<u4")
+
+    def _keep(self, words: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n, at = len(self.place), int(self.ends[len(self.place)])
+        while at + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty(len(self.ids), "<u4")])
+        self.ids[at : at + len(ids)] = ids
+        self.ends[n + 1 : n + 1 + len(words)] = at + np.cumsum(lengths)
+        self.place.update(zip(words, range(n, n + len(words)), strict=True))
+
+    def _learn(self, words: set[bytes]) -> None:
+        plain = [w for w in words if self.BAR not in w and b"<" not in w]
+        for at in range(0, len(plain), self.TOGETHER):
+            part = plain[at : at + self.TOGETHER]
+            ids = self._ids((b" " + self.BAR + b" ").join(part) + b" " + self.BAR)
+            bars = np.flatnonzero(ids == self.bar) if self.bar is not None else np.empty(0, np.int64)
+            if len(bars) == len(part):
+                self._keep(part, np.delete(ids, bars), np.diff(bars, prepend=-1) - 1)
+            else:
+                for w in part:
+                    self._one(w)
+        for w in words.difference(plain):
+            self._one(w)
+
+    def _one(self, word: bytes) -> None:
+        ids = self._ids(word)
+        self._keep([word], ids, np.array([len(ids)]))
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text; a null text has none."""
         words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        self._learn([w for w in set().union(*words) if w not in self.cache] if words else [])
-        get = self.cache.__getitem__
+        used = set().union(*words)
+        new = used.difference(self.place)
+        if len(self.place) + len(new) > self.KEPT:
+            self._clear()
+            new = used
+        if len(new) > self.KEPT:  # a text with that many different words goes without the cache
+            return [self._ids((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+        self._learn(new)
+        out = []
         for found in words:
-            ids: list[int] = []
-            for x in map(get, found):
-                ids += x
-            yield np.array(ids, "<u4")
+            at = np.fromiter(map(self.place.__getitem__, found), np.int64, len(found))
+            begin, end = self.ends[at], self.ends[at + 1]
+            length = end - begin
+            done = np.cumsum(length)
+            n = int(done[-1]) if len(done) else 0
+            out.append(self.ids[np.arange(n) + np.repeat(begin - done + length, length)])
+        return out
 
 
 class Writer:
