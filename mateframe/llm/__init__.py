@@ -6,6 +6,8 @@ from importlib import import_module
 
 #: (query, module, whether the module's SQL gives the same rows)
 REGISTER = [
+    ("op2_substring_dedup", "substring", True),
+    ("op5_suffix_dedup", "suffix", False),
     ("op8_decontamination", "decontam", True),
     ("op9_toxicity", "toxicity", False),
     ("op6_pii", "pii", True),
