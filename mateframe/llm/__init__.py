@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: (query, module, whether the module's SQL gives the same rows)
 REGISTER = [
+    ("op3_jaccard_join", "jaccard", True),
     ("op2_substring_dedup", "substring", True),
     ("op5_suffix_dedup", "suffix", False),
     ("op8_decontamination", "decontam", True),
