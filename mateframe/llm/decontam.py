@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 
-#: Kept places of each mask (fixed values).
+#: Kept places of the two masks (fixed values). A place uses the first if its own word has an even
+#: number of letters, else the second, in items as in documents.
 MASKS = ((0, 1, 3, 5, 6), (0, 2, 3, 4, 7))
+SPAN = 8
 WIDTH, SIMILAR = 20, 0.75
 #: Words are runs of letters and digits, lower-cased.
 TOKEN = r"[\p{L}\p{N}]+"
@@ -24,35 +26,36 @@ BROADCAST_SEEDS = 500_000
 
 
 def tokens(text: Column) -> Column:
-    """Hashes of the words of a text; null has none."""
-    return F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0)), lambda w: F.xxhash64(w))
+    """Hashes of the words of a text, the lowest bit telling odd lengths; null has none."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+    return F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(-2)).bitwiseOR(F.length(w).bitwiseAND(1).cast("long")))
 
 
-def seeds(h: Column, masks: tuple[tuple[int, ...], ...] = MASKS) -> Column:
-    """Array of (pos, seed) over all masks and places of an array of word hashes."""
+def seeds(h: Column) -> Column:
+    """Array of (pos, seed) over all places of an array of word hashes that have a whole span."""
 
-    def of(number: int, mask: tuple[int, ...]) -> Column:
-        places = F.sequence(F.lit(0), F.size(h) - mask[-1] - 1)
-        found = F.transform(places, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(number), *[F.get(h, i + o) for o in mask]).alias("seed")))
-        return F.when(F.size(h) > mask[-1], found).otherwise(F.array().cast("array<struct<pos:int,seed:bigint>>"))
+    def at(i: Column) -> Column:
+        of = [F.xxhash64(*[F.get(h, i + o) for o in mask]) for mask in MASKS]
+        return F.struct(i.alias("pos"), F.when(F.get(h, i).bitwiseAND(F.lit(1)) == 0, of[0]).otherwise(of[1]).alias("seed"))
 
-    return F.concat(*[of(n, m) for n, m in enumerate(masks)])
+    found = F.transform(F.sequence(F.lit(0), F.size(h) - SPAN), at)
+    return F.when(F.size(h) >= SPAN, found).otherwise(F.array().cast("array<struct<pos:int,seed:bigint>>"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, masks: tuple[tuple[int, ...], ...] = MASKS, width: int = WIDTH, similar: float = SIMILAR, key: Column | None = None) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, similar: float = SIMILAR, key: Column | None = None) -> DataFrame:
     """(key, doc_id, item_id, width, matched) of documents that hold a passage of an item.
 
     ``matched`` is the largest number of agreeing words in a window of ``width``. Null and empty
-    texts, and texts and items with fewer words than the longest mask spans, match nothing; rows
+    texts, and texts and items of fewer than eight words, match nothing; rows
     with the same id and text give one result; a null doc_id is kept as null. Every place of
     every text is hashed. Benchmark items are few, so their seeds are broadcast up to a checked
     number, and shuffled beyond it.
     """
     key = F.xxhash64(F.col("doc_id"), F.col("text")) if key is None else key
     words = docs.select(key.alias("key"), tokens(F.col("text")).alias("h"))
-    placed = words.select("key", F.explode(seeds(F.col("h"), masks)).alias("s")).select("key", "s.pos", "s.seed")
+    placed = words.select("key", F.explode(seeds(F.col("h"))).alias("s")).select("key", "s.pos", "s.seed")
     items = stored(benchmark.where("item_id IS NOT NULL").select("item_id", tokens(F.col("text")).alias("item")), "benchmark-words")
-    theirs = stored(items.select("item_id", F.explode(seeds(F.col("item"), masks)).alias("s")).select("item_id", F.col("s.pos").alias("at"), F.col("s.seed").alias("seed")).distinct(), "benchmark-seeds")
+    theirs = stored(items.select("item_id", F.explode(seeds(F.col("item"))).alias("s")).select("item_id", F.col("s.pos").alias("at"), F.col("s.seed").alias("seed")).distinct(), "benchmark-seeds")
     small = theirs.count() <= BROADCAST_SEEDS
     hits = placed.join(theirs.hint("broadcast" if small else "merge"), "seed")
     diagonals = stored(hits.select("key", "item_id", (F.col("pos") - F.col("at")).alias("diagonal")).distinct(), "benchmark-hits")
@@ -65,8 +68,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, masks: tuple[tuple[in
     wide = F.least(F.size("item"), F.lit(width))
     sums = F.transform(F.sequence(F.lit(1), F.size("same") - wide + 1), lambda s: F.aggregate(F.slice("same", s, wide), F.lit(0), lambda a, b: a + b))
     best = rows.withColumn("same", same).withColumns({"width": wide, "matched": F.array_max(sums)})
-    kept = best.where(F.col("matched") >= F.ceil(F.col("width") * similar))
-    return kept.groupBy("key", "doc_id", "item_id").agg(F.max("width").cast("long").alias("width"), F.max("matched").cast("long").alias("matched"))
+    # the test comes after the aggregate: as a filter on these columns it would be copied into them
+    found = best.groupBy("key", "doc_id", "item_id").agg(F.max("width").cast("long").alias("width"), F.max("matched").cast("long").alias("matched"))
+    return found.where(F.col("matched") >= F.ceil(F.col("width") * similar))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -83,10 +87,8 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    masked = " UNION ALL ".join(
-        f"SELECT id, i AS pos, '{n}|' || concat_ws('|', {', '.join(f'w[i + {o + 1}]' for o in m)}) AS seed FROM (SELECT id, w, unnest(range(0, len(w) - {m[-1]})) AS i FROM %s WHERE len(w) > {m[-1]})"
-        for n, m in enumerate(MASKS)
-    )
+    seed = [f"concat_ws('|', {', '.join(f'w[i + {o + 1}]' for o in m)})" for m in MASKS]
+    masked = f"SELECT id, i AS pos, CASE WHEN length(w[i + 1]) % 2 = 0 THEN '0|' || {seed[0]} ELSE '1|' || {seed[1]} END AS seed FROM (SELECT id, w, unnest(range(0, len(w) - {SPAN - 1})) AS i FROM %s WHERE len(w) >= {SPAN})"
     words = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS id, doc_id, {words} AS w FROM documents),
