@@ -34,9 +34,9 @@ from .substring import word_reader
 
 SHINGLE = 5
 #: Hashes in a sketch, least number shared by linked sets, words of 64 bits in a bitmap.
-SKETCH, SHARED, BITMAP = 48, 13, 8
-#: Classes of a tile compared with each other at once.
-TILE = 1024
+SKETCH, SHARED, BITMAP = 48, 13, 32
+#: Classes of a tile in one block.
+TILE = 4096
 
 
 def shingle_sets(k: int = SHINGLE):
@@ -199,25 +199,25 @@ def join(docs: DataFrame) -> DataFrame:
     sums = [F.sum(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1 << 40))).alias(f"s{i}") for i in range(2)]
     mixed = placed.groupBy("token").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("c"), *sums).where("r1 != r2")
     # tiles with the same members are compared once
-    mixed = mixed.groupBy("c", "s0", "s1").agg(F.min("token").alias("token"))
-    open_ = placed.join(mixed.select("token", "c").hint("merge"), "token")
-    # tiles of up to TILE classes are one block; larger ones are dealt over blocks that meet in pairs
+    mixed = mixed.groupBy("c", "s0", "s1", "r1").agg(F.min("token").alias("token"))
+    open_ = placed.join(mixed.select("token", "c", "r1").hint("merge"), "token")
+    # a tile is dealt over blocks of about TILE classes; those outside its first component, where the
+    # large family is, go to every block, and so meet all others once
     blocks = F.ceil(F.col("c") / TILE).cast("int")
-    block = F.pmod(F.xxhash64("id"), blocks.cast("long")).cast("int")
-    dealt = open_.withColumns({"blocks": blocks, "block": block})
-    meets = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    tiles = meets.select("token", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "id", "n", "bits", "root")
+    home = F.struct(F.pmod(F.xxhash64("id"), blocks.cast("long")).cast("int").alias("block"), F.lit(False).alias("probe"))
+    probes = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(k.alias("block"), F.lit(True).alias("probe")))
+    seats = F.concat(F.array(home), F.when(F.col("root") != F.col("r1"), probes).otherwise(F.array().cast("array<struct<block:int,probe:boolean>>")))
+    tiles = open_.select("token", "id", "n", "bits", "root", F.inline(seats))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        b1, b2 = pdf["b1"].iloc[0], pdf["b2"].iloc[0]
-        x, y = pdf[pdf["block"] == b1], pdf[pdf["block"] == b2]
+        x, y = pdf[pdf["probe"]], pdf[~pdf["probe"]]
         got = [(x["id"].to_numpy()[i], y["id"].to_numpy()[j]) for i, j in _possible(x, y)] if len(x) and len(y) else []
         if not got:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         a, b = (np.concatenate(c) for c in zip(*got, strict=True))
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
-    more = tiles.groupBy("token", "b1", "b2").applyInPandas(compare, "a long, b long").where("a != b").distinct()
+    more = tiles.groupBy("token", "block").applyInPandas(compare, "a long, b long").distinct()
     rest = stored(_verified(stored(more, "tile-pairs"), payload), "tile-links")
     final = components(links.union(rest), "all") if not rest.isEmpty() else first
 
