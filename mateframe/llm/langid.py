@@ -44,21 +44,21 @@ class Encoder:
             self.letters[code] = 2 * bits - 1
         return self.letters[code]
 
-    def _codes(self, piece: str) -> np.ndarray:
-        """Letters of a piece as code points, every run of others as one 0."""
+    def _codes(self, before: np.ndarray, piece: str) -> np.ndarray:
+        """``before`` and the letters of a piece as code points, every run of others as one 0."""
         code = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), "<u4")
-        code = np.where(self.is_letter[np.minimum(code, 0x10FFFF)], code, 0)
-        return code[(code != 0) | np.concatenate([[True], code[:-1] != 0])] if len(code) else code
+        code = np.concatenate([before, np.where(self.is_letter[np.minimum(code, 0x10FFFF)], code, 0)]).astype(np.int64)
+        return code[(code != 0) | np.concatenate([[True], code[:-1] != 0])]
 
     def _pieces(self, texts: list[str | None]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
         """Groups of (row, its letters between two gaps), of about PIECE characters."""
         rows, parts, held = [], [], 0
         for row, text in enumerate(texts):
-            text = text or ""
+            text, carried = text or "", np.zeros(1, np.int64)
             for at in range(0, max(len(text), 1), PIECE):
-                # two characters more on the left keep the trigrams over a cut
-                piece = text[max(0, at - 2) : at + PIECE].lower()
-                codes = self._codes((" " if at == 0 else "") + piece + (" " if at + PIECE >= len(text) else ""))
+                end = " " if at + PIECE >= len(text) else ""
+                codes = self._codes(carried, text[at : at + PIECE].lower() + end)
+                carried = codes[-2:]  # the next piece goes on from here, so no trigram is lost or counted twice
                 if codes.any():
                     rows.append(row)
                     parts.append(codes)
@@ -152,7 +152,7 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, *, column
     give ``und`` with score 0. Ties go to the language first in order. Texts of any length are
     read whole, in pieces. Repeated rows stay.
     """
-    columns = docs.columns if columns is None else columns
+    columns = [c for c in (docs.columns if columns is None else columns) if c not in ("lang_pred", "score")]  # replaced
     kept = docs.select(*columns, F.col("text").alias("__text"))
     schema = kept.select(*columns).schema.add("lang_pred", "string").add("score", "double")
 

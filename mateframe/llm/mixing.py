@@ -62,7 +62,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = S
 
     Null text and empty text have size 0 and take nothing; a null source is a source of its own,
     last in order; a null doc_id gets the key of the empty id; repeated rows are rows of their
-    own (ties in key are ordered by doc_id and size); an empty table gives an empty result.
+    own (ties in key are ordered by doc_id and size); an empty table gives an empty result; columns of the added names are replaced.
     """
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary"))
     rows = docs.withColumns({"__size": word_count(F.col("text")), "__key": key}).withColumn("__range", F.substring("__key", 1, digits))
@@ -71,18 +71,19 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = S
     want = targets(ranges.groupBy("source").agg(F.sum("__words").alias("source_size")), weights, share, most)
     # one row per source against at most 16**digits rows per source
     plan = sums.alias("s").join(want.hint("merge").alias("w"), F.col("s.source").eqNullSafe(F.col("w.source"))).select(
-        F.col("s.source").alias("__source"), F.col("s.__range").alias("__r"), "__from", F.col("source_size"), F.col("target")
+        F.col("s.source").alias("__source"), F.col("s.__range").alias("__r"), "__from", F.col("w.source_size").alias("__whole"), F.col("w.target").alias("__target")
     )
     joined = rows.join(plan.hint("merge"), F.col("source").eqNullSafe(F.col("__source")) & (F.col("__range") == F.col("__r")))
     inside = Window.partitionBy("__source", "__range").orderBy("__key", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("__from") + F.coalesce(F.sum("__size").over(inside), F.lit(0))
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    rest = F.floor(F.col("target")) - F.col("__epochs") * F.col("source_size")
+    epochs = F.when(F.col("__whole") > 0, F.floor(F.col("__target") / F.col("__whole"))).otherwise(F.lit(0))
+    rest = F.floor(F.col("__target")) - F.col("__epochs") * F.col("__whole")
     extra = F.greatest(F.lit(0), F.least(F.col("__size"), rest - F.col("__start")))
+    taken = (F.col("__epochs") * F.col("__size") + extra).cast("long")
     return (
         joined.withColumns({"__start": start, "__epochs": epochs})
-        .withColumns({"size": F.col("__size"), "taken": (F.col("__epochs") * F.col("__size") + extra).cast("long")})
-        .drop("__size", "__key", "__range", "__source", "__r", "__from", "__start", "__epochs")
+        .withColumns({"size": F.col("__size"), "source_size": F.col("__whole"), "target": F.col("__target"), "taken": taken})
+        .drop("__size", "__key", "__range", "__source", "__r", "__from", "__whole", "__target", "__start", "__epochs")
     )
 
 

@@ -75,8 +75,9 @@ def dedup(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM) -> DataFra
     """
     rows = docs.withColumn("__k", F.xxhash64("doc_id", "text"))
     spans = spans_of(rows.select(F.col("__k").alias("key"), "text"), window=window, gram=gram, symbols=word_reader, cut=word_cutter, find=find(window), places=4, shard_symbols=400_000)
-    names = docs.columns
-    joined = rows.hint("merge").join(spans.hint("merge"), F.col("__k") == F.col("key"), "left").select(*names, F.col("text").alias("__text"), "spans")
+    spans = spans.select(F.col("key").alias("__s"), F.col("spans").alias("__spans"))
+    names = [c for c in docs.columns if c not in ("kept", "n_words", "n_removed", "removed")]  # a column of such a name is replaced
+    joined = rows.hint("merge").join(spans.hint("merge"), F.col("__k") == F.col("__s"), "left").select(*names, F.col("text").alias("__text"), "__spans")
     schema = joined.select(*names).schema.add("kept", "string").add("n_words", "long").add("n_removed", "long").add("removed", RANGES)
 
     def clean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -146,7 +146,7 @@ def score(docs: DataFrame, model: Model, *, columns: list[str] | None = None) ->
     Only ``text`` is looked at, whole; null counts as empty, and empty texts get the score of
     the bias alone. Repeated rows stay and score alike.
     """
-    columns = docs.columns if columns is None else columns
+    columns = [c for c in (docs.columns if columns is None else columns) if c not in ("score", "predicted")]  # replaced
     kept = docs.select(*columns, F.col("text").alias("__text"))
     schema = kept.select(*columns).schema.add("score", "double").add("predicted", "integer")
 
