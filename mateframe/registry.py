@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import audit, universe
+from .plans import audit, flows, universe
 
-MODULES = (universe, audit)
+MODULES = (universe, audit, flows)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
