@@ -256,22 +256,24 @@ def e22_strata(spark, d):
     return kept.groupBy("config").agg(F.count("*").alias("n"), F.count_if(F.col("true") == F.col("pred")).alias("correct"))
 
 
-RUN = Window.partitionBy("user_id").orderBy("ts", "event_id")
+def run_order():
+    """Lines of a run, in time; a window needs a running session, so it is made on call."""
+    return Window.partitionBy("user_id").orderBy("ts", "event_id")
 
 
 def f1_delta(spark, d):
     e = table(spark, d, "events")
-    return e.select("event_id", F.round(F.coalesce(F.col("value") - F.lag("value").over(RUN), F.lit(0.0)), 4).alias("delta"))
+    return e.select("event_id", F.round(F.coalesce(F.col("value") - F.lag("value").over(run_order()), F.lit(0.0)), 4).alias("delta"))
 
 
 def f2_running(spark, d):
-    w = RUN.rowsBetween(Window.unboundedPreceding, 0)
+    w = run_order().rowsBetween(Window.unboundedPreceding, 0)
     hit = (F.col("true") == F.col("pred")).cast("long")
     return event_classes(spark, d).select("event_id", F.round(F.sum(hit).over(w) / F.count("*").over(w), 6).alias("accuracy"))
 
 
 def f3_trend(spark, d):
-    w = RUN.rowsBetween(-19, 0)
+    w = run_order().rowsBetween(-19, 0)
     e = table(spark, d, "events").select("event_id", F.sum("value").over(w).alias("m"), F.stddev_pop("value").over(w).alias("s"), F.count("*").over(w).alias("n"))
     return e.select("event_id", F.round("m", 3).alias("sum20"), F.round("s", 3).alias("std20"), (F.col("n") == 20).alias("full_window"))
 
@@ -282,7 +284,7 @@ def f4_best_epoch(spark, d):
 
 
 def _improved(spark, d):
-    before = F.max("value").over(RUN.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.max("value").over(run_order().rowsBetween(Window.unboundedPreceding, -1))
     return table(spark, d, "events").select("event_id", "user_id", "ts", "value", F.coalesce(F.col("value") > before, F.lit(True)).alias("improved"))
 
 
@@ -292,7 +294,7 @@ def f5_checkpoints(spark, d):
 
 def f6_patience(spark, d):
     """First event after five without an improvement, per run."""
-    islands = _improved(spark, d).withColumn("island", F.sum(F.col("improved").cast("int")).over(RUN))
+    islands = _improved(spark, d).withColumn("island", F.sum(F.col("improved").cast("int")).over(run_order()))
     waited = islands.withColumn("wait", F.row_number().over(Window.partitionBy("user_id", "island").orderBy("ts", "event_id")) - 1).where("wait = 5")
     return waited.groupBy("user_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("stop_at"))
 
@@ -302,7 +304,7 @@ def f7_offsets(spark, d):
 
 
 def f8_first_last(spark, d):
-    w = RUN.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    w = run_order().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     e = table(spark, d, "events").select("user_id", F.first("value").over(w).alias("first_value"), F.last("value").over(w).alias("last_value"), F.nth_value("value", 3).over(w).alias("third"))
     return e.distinct().withColumn("gain", F.round(F.col("last_value") - F.col("first_value"), 4))
 
