@@ -8,7 +8,7 @@ from operator import and_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.board import KING, PAWN, Slot, attacks, canonical_key, fixed, in_check, rank, with_kings
+from ..functions.board import PAWN, Slot, attacks, canonical_key, fixed, in_check, rank, with_kings
 
 
 def successors(df: DataFrame, n: int, keep: list[str]) -> DataFrame:
@@ -48,7 +48,7 @@ def successors(df: DataFrame, n: int, keep: list[str]) -> DataFrame:
     rows = with_kings(fixed(rows, **child, turn=1 - F.col("turn")), n)
     after = Slot.of(n)
     left_safe = F.when(F.col("turn") == 1, ~in_check(after, 0)).otherwise(~in_check(after, 1))
-    return rows.where(left_safe & (F.coalesce(F.col("taken"), F.lit(-1)) != KING))
+    return rows.where(left_safe)
 
 
 def terminal(df: DataFrame, n: int, keys: list[str]) -> DataFrame:
