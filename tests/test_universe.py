@@ -104,3 +104,31 @@ def test_moves_by_walking(some):
             if not any(q in ray_attacks(t, 1, s, occupied) for t, s in white):
                 want.add(q)
         assert got.get(p["idx"], set()) == want
+
+
+def test_terminal_by_walking(some):
+    """Black to move, its king without a safe square: terminal, and in check or not."""
+    ended = {r["idx"]: r["checked"] for r in M.terminal(some.where("turn = 0"), 3, ["idx"]).collect()}
+    moving = {r["idx"] for r in M.successors(some.where("turn = 0"), 3, ["idx"]).collect()}
+    rows = some.where("turn = 0").collect()
+    assert ended.keys() == {p["idx"] for p in rows} - moving
+    for p in rows:
+        if p["idx"] in ended:
+            occupied = {p[f"s{i}"] for i in range(3)}
+            assert ended[p["idx"]] == any(p["s2"] in ray_attacks(p[f"t{i}"], 1, p[f"s{i}"], occupied) for i in range(2))
+
+
+def test_influence_and_xray_by_walking(some):
+    """Squares of the rook with nothing, and with exactly one piece, in between."""
+    s, squares = Slot.of(3), F.sequence(F.lit(0), F.lit(63))
+    seen = lambda k: F.array_sort(F.filter(squares, lambda q: B.reaches(s[1], q) & (B.blockers(s[1], q, s) == k)))
+    for p in some.select("s0", "s1", "s2", seen(0).alias("open"), seen(1).alias("xray")).limit(80).collect():
+        want = {0: set(), 1: set()}
+        for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1)):
+            x, y, passed = p["s1"] % 8 + a, p["s1"] // 8 + b, 0
+            while 0 <= x < 8 and 0 <= y < 8:
+                if passed < 2:
+                    want[passed].add(y * 8 + x)
+                passed += y * 8 + x in (p["s0"], p["s2"])
+                x, y = x + a, y + b
+        assert (set(p["open"]), set(p["xray"])) == (want[0], want[1])
