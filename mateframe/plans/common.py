@@ -20,7 +20,7 @@ def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     idx = F.pmod(F.col("l_orderkey") * 7919 + F.col("l_partkey") * 104729 + F.col("l_linenumber") * 31, F.lit(249984))
     config = F.when(F.col("l_returnflag") == "A", "KQvK").when(F.col("l_returnflag") == "N", "KRvK").otherwise("KPvK")
     return table(spark, sf_dir, "lineitem").select(
-        (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")).alias("id"), config.alias("config"), idx.alias("idx"), (F.col("l_linenumber") % 2).cast("int").alias("turn")
+        ((((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")) * 100 + F.col("l_quantity").cast("long")).alias("id"), config.alias("config"), idx.alias("idx"), (F.col("l_linenumber") % 2).cast("int").alias("turn")
     )
 
 
@@ -36,7 +36,7 @@ def csv(x: Column) -> Column:
 
 #: The same positions in DuckDB SQL.
 POS = """
-ix AS (SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS id, CASE l_returnflag WHEN 'A' THEN 'KQvK' WHEN 'N' THEN 'KRvK' ELSE 'KPvK' END AS config,
+ix AS (SELECT (((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT) AS id, CASE l_returnflag WHEN 'A' THEN 'KQvK' WHEN 'N' THEN 'KRvK' ELSE 'KPvK' END AS config,
          (l_orderkey * 7919 + l_partkey * 104729 + l_linenumber * 31) % 249984 AS idx, CAST(l_linenumber % 2 AS INTEGER) AS turn FROM lineitem),
 u AS (SELECT *, CAST(idx // 3906 AS INTEGER) AS s0, CAST((idx % 3906) // 62 AS INTEGER) AS a, CAST(idx % 62 AS INTEGER) AS b FROM ix),
 v AS (SELECT *, CASE WHEN a >= s0 THEN a + 1 ELSE a END AS s1 FROM u),
