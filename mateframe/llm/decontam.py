@@ -1,10 +1,13 @@
-"""Benchmark decontamination by spaced seeds, with SQL functions only.
+"""Benchmark decontamination by runs of equal words, with SQL functions only.
 
-A seed is a hash of the words at the kept places of a fixed mask, so a changed word at an
-ignored place does no harm. Seeds of benchmark items and of documents are joined; a hit puts an
-item and a document on one diagonal, along which all words of the item are compared. A pair
-counts when, in some window of ``WIDTH`` words of the item (or the whole item, if shorter), at
-least ``SIMILAR`` of the words agree.
+An item and a document are compared along a diagonal, on which every word of the item has its
+place in the document. A pair counts when, in some window of ``WIDTH`` words of the item (or the
+whole item, if shorter), at least ``SIMILAR`` of the words agree.
+
+Of ``w`` words ``m`` may differ. These cut the window into ``m + 1`` pieces at most, so one run of
+``w div (m + 1)`` equal words is always left, and of all ``w - run + 1`` runs a differing word spoils
+``run`` at most. Runs of that length are hashed at every place of items and documents and joined:
+each pair that counts has a diagonal with so many hits, whichever words differ.
 """
 
 from __future__ import annotations
@@ -14,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 
-#: Kept places of the two masks (fixed values). A place uses the first if its own word has an even
-#: number of letters, else the second, in items as in documents.
+#: For the SQL twin, which finds candidates by two masks, one a place, in texts of ``SPAN`` words or
+#: more: pairs can be missing there, and are if no seed of theirs agrees.
 MASKS = ((0, 1, 3, 5, 6), (0, 2, 3, 4, 7))
 SPAN = 8
 WIDTH, SIMILAR = 20, 0.75
@@ -26,53 +29,63 @@ BROADCAST_SEEDS = 500_000
 
 
 def tokens(text: Column) -> Column:
-    """Hashes of the words of a text, the lowest bit telling odd lengths; null has none."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
-    return F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(-2)).bitwiseOR(F.length(w).bitwiseAND(1).cast("long")))
-
+    """Hashes of the words of a text; null has none."""
+    return F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0)), lambda w: F.xxhash64(w))
 
-def seeds(h: Column) -> Column:
-    """Array of (pos, seed) over all places of an array of word hashes that have a whole span."""
 
-    def at(i: Column) -> Column:
-        of = [F.xxhash64(*[F.get(h, i + o) for o in mask]) for mask in MASKS]
-        return F.struct(i.alias("pos"), F.when(F.get(h, i).bitwiseAND(F.lit(1)) == 0, of[0]).otherwise(of[1]).alias("seed"))
-
-    found = F.transform(F.sequence(F.lit(0), F.size(h) - SPAN), at)
-    return F.when(F.size(h) >= SPAN, found).otherwise(F.array().cast("array<struct<pos:int,seed:bigint>>"))
+def seeds(h: Column, run: int) -> Column:
+    """Array of (pos, seed) over all runs of ``run`` words of an array of word hashes."""
+    found = F.transform(F.sequence(F.lit(0), F.size(h) - run), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(run), *[F.get(h, i + o) for o in range(run)]).alias("seed")))
+    return F.when(F.size(h) >= run, found).otherwise(F.array().cast("array<struct<pos:int,seed:bigint>>"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, similar: float = SIMILAR, key: Column | None = None) -> DataFrame:
     """(key, doc_id, item_id, width, matched) of documents that hold a passage of an item.
 
-    ``matched`` is the largest number of agreeing words in a window of ``width``. Null and empty
-    texts, and texts and items of fewer than eight words, match nothing; rows
-    with the same id and text give one result; a null doc_id is kept as null. Every place of
-    every text is hashed. Benchmark items are few, so their seeds are broadcast up to a checked
-    number, and shuffled beyond it.
+    ``matched`` is the largest number of agreeing words in a window of ``width``. Texts and items
+    without a word match nothing; short ones follow the same rule as long ones (of up to three
+    words all must agree). Rows with the same id and text give one result; a null doc_id is kept
+    as null. Every place of every text is hashed, for each length of run that the items ask for.
+    Benchmark items are few, so their seeds are broadcast up to a checked number, and shuffled
+    beyond it.
     """
     key = F.xxhash64(F.col("doc_id"), F.col("text")) if key is None else key
-    words = docs.select(key.alias("key"), tokens(F.col("text")).alias("h"))
-    placed = words.select("key", F.explode(seeds(F.col("h"))).alias("s")).select("key", "s.pos", "s.seed")
-    items = stored(benchmark.where("item_id IS NOT NULL").select("item_id", tokens(F.col("text")).alias("item")), "benchmark-words")
-    theirs = stored(items.select("item_id", F.explode(seeds(F.col("item"))).alias("s")).select("item_id", F.col("s.pos").alias("at"), F.col("s.seed").alias("seed")).distinct(), "benchmark-seeds")
+    items = benchmark.where("item_id IS NOT NULL").select("item_id", tokens(F.col("text")).alias("item"))
+    items = items.withColumn("wide", F.least(F.size("item"), F.lit(width))).where("wide > 0")
+    items = items.withColumn("other", F.col("wide") - F.ceil(F.col("wide") * similar).cast("int"))
+    items = items.withColumn("run", F.greatest(F.lit(1), F.floor(F.col("wide") / (F.col("other") + 1)).cast("int")))
+    items = stored(items.withColumn("least", F.greatest(F.lit(1), F.col("wide") - F.col("run") + 1 - F.col("run") * F.col("other"))), "benchmark-words")
+    # at most ``width`` different lengths
+    runs = sorted(r["run"] for r in items.select("run").distinct().collect())
+    theirs = items.select("item_id", "least", (F.col("other") == 0).alias("whole"), F.explode(_all_seeds(F.col("item"), runs, F.col("run"))).alias("s"))
+    theirs = stored(theirs.select("item_id", "least", "whole", F.col("s.pos").alias("at"), F.col("s.seed").alias("seed")).distinct(), "benchmark-seeds")
     small = theirs.count() <= BROADCAST_SEEDS
-    hits = placed.join(theirs.hint("broadcast" if small else "merge"), "seed")
-    diagonals = stored(hits.select("key", "item_id", (F.col("pos") - F.col("at")).alias("diagonal")).distinct(), "benchmark-hits")
-    found = diagonals.join(items.hint("broadcast" if small else "merge"), "item_id").withColumnRenamed("key", "__key")
-    texts = docs.select(key.alias("key"), "doc_id", "text").hint("merge")
-    rows = texts.join(found.hint("merge"), F.col("key") == F.col("__key")).select("key", "doc_id", "item_id", "item", "diagonal", tokens(F.col("text")).alias("h"))
-    # h is named twice, or the optimizer would put its expression inside the lambda
+    words = docs.select(key.alias("key"), tokens(F.col("text")).alias("h"))
+    placed = words.select("key", F.explode(_all_seeds(F.col("h"), runs)).alias("s")).select("key", "s.pos", "s.seed")
+    hits = placed.join(theirs.hint("broadcast" if small else "merge"), "seed").withColumn("place", F.col("pos") - F.col("at"))
+    # where no word may differ a hit is the whole passage, and one diagonal tells as much as all
+    counted = hits.groupBy("key", "item_id", F.when(~F.col("whole"), F.col("place")).alias("of")).agg(F.min("place").alias("diagonal"), F.count("*").alias("n"), F.min("least").alias("least"))
+    diagonals = stored(counted.where("n >= least").select(F.col("key").alias("__key"), "item_id", "diagonal"), "benchmark-hits")
+    found = diagonals.join(items.select("item_id", "item", "wide").hint("broadcast" if small else "merge"), "item_id")
+    texts = docs.select(key.alias("key"), "doc_id", "text").join(diagonals.select("__key").distinct().hint("merge"), F.col("key") == F.col("__key"), "left_semi")
+    # split into words once, not again on each diagonal
+    texts = stored(texts.select("key", "doc_id", tokens(F.col("text")).alias("h")), "benchmark-texts")
+    rows = texts.join(found.hint("merge"), F.col("key") == F.col("__key")).select("key", "doc_id", "item_id", "item", "wide", "diagonal", "h")
     here = lambda q: (q + F.col("diagonal") >= 0) & (q + F.col("diagonal") < F.size("h"))
     same = F.transform("item", lambda w, q: F.when(here(q) & (F.get(F.col("h"), q + F.col("diagonal")) == w), 1).otherwise(0))
-    wide = F.least(F.size("item"), F.lit(width))
-    sums = F.transform(F.sequence(F.lit(1), F.size("same") - wide + 1), lambda s: F.aggregate(F.slice("same", s, wide), F.lit(0), lambda a, b: a + b))
-    best = rows.withColumn("same", same).withColumns({"width": wide, "matched": F.array_max(sums)})
+    sums = F.transform(F.sequence(F.lit(1), F.size("same") - F.col("wide") + 1), lambda s: F.aggregate(F.slice("same", s, F.col("wide")), F.lit(0), lambda a, b: a + b))
+    best = rows.withColumn("same", same).withColumn("matched", F.array_max(sums))
     # the test comes after the aggregate: as a filter on these columns it would be copied into them
-    found = best.groupBy("key", "doc_id", "item_id").agg(F.max("width").cast("long").alias("width"), F.max("matched").cast("long").alias("matched"))
+    found = best.groupBy("key", "doc_id", "item_id").agg(F.max("wide").cast("long").alias("width"), F.max("matched").cast("long").alias("matched"))
     return found.where(F.col("matched") >= F.ceil(F.col("width") * similar))
 
 
+def _all_seeds(h: Column, runs: list[int], only: Column | None = None) -> Column:
+    """Seeds of all lengths in ``runs``, or of the length ``only`` where that is given."""
+    of = [seeds(h, r) if only is None else F.when(only == r, seeds(h, r)).otherwise(F.array().cast("array<struct<pos:int,seed:bigint>>")) for r in runs]
+    return F.concat(*of) if len(of) > 1 else of[0] if of else F.array().cast("array<struct<pos:int,seed:bigint>>")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no passage of ``benchmark``, with all their columns."""
     key = F.xxhash64(F.col("doc_id"), F.col("text"))

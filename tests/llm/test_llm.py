@@ -241,6 +241,43 @@ def test_decontamination_tolerates_substitutions(spark):
     assert decontam.contaminated(df, bench).count() == 1
 
 
+def brute_contaminated(texts, items):
+    """All diagonals of all pairs, without seeds."""
+    split, out = (lambda t: re.findall(r"\w+", (t or "").lower())), set()
+    for d, text in texts:
+        h = split(text)
+        for b, it in items:
+            item = split(it)
+            wide, best = min(len(item), 20), 0
+            for g in range(-len(item), len(h) + 1):
+                same = [0 <= q + g < len(h) and h[q + g] == w for q, w in enumerate(item)]
+                best = max([best, *(sum(same[s : s + wide]) for s in range(len(item) - wide + 1))])
+            if wide and best >= math.ceil(0.75 * wide):
+                out.add((d, b, wide, best))
+    return out
+
+
+def test_decontamination_finds_all_that_the_rule_accepts(spark):
+    rng, items, texts = np.random.default_rng(11), [], []
+    for b, n in enumerate([*range(1, 25), 30, 33]):
+        item = words(n, 100 + b, 10_000)
+        items.append((b, " ".join(item)))
+        for changed in range(min(n, 20) // 4 + 2):
+            for _ in range(6):
+                w = item.copy()
+                for at in rng.choice(n, min(changed, n), replace=False):
+                    w[at] = f"x{rng.integers(0, 10_000)}"
+                around = words(int(rng.integers(0, 8)), len(texts) + 500, 10_000)
+                texts.append((len(texts), " ".join([*around, *w, *around])))
+    # every fourth word changed: only runs of three are left
+    texts.append((len(texts), " ".join("x" if q % 4 == 3 else w for q, w in enumerate(items[19][1].split()))))
+    texts += [(len(texts), items[0][1] + " " + items[0][1]), (len(texts) + 1, items[8][1][: items[8][1].rindex(" ")])]
+    found = decontam.contaminated(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = brute_contaminated(texts, items)
+    assert {(r["doc_id"], r["item_id"], r["width"], r["matched"]) for r in found.collect()} == want
+    assert any(m < w for _, _, w, m in want) and {w for _, _, w, _ in want} == set(range(1, 21))
+
+
 def test_toxicity(spark, docs, none):
     rng = np.random.default_rng(7)
     rows = [(i, " ".join([*words(60, i, 500), *(["slur", "insult"] if i % 8 == 0 else [])]), int(i % 8 == 0)) for i in range(800)]
