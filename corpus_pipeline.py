@@ -17,10 +17,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id stays."""
-    groups = jaccard.near_duplicates(docs.select("doc_id", "text")).select(F.col("doc_id").alias("__id"), "component_id")
-    first = groups.where(F.col("__id").eqNullSafe(F.col("component_id"))).select("__id").distinct()
-    return docs.join(first.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(COLUMNS)
+    """Of each group of near copies, one row stays: that of the smallest id.
+
+    Rows count one by one: of repeated rows one stays, and rows that share an id, or have none,
+    stay if no row before them (by id, nulls last) is in their group.
+    """
+    rows, _ = jaccard.numbered(docs.select(COLUMNS))
+    first = jaccard.join(rows.select("key", "text")).where("key = root").select("key")
+    return rows.join(first.hint("merge"), "key", "left_semi").select(COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -225,6 +225,20 @@ def join(docs: DataFrame) -> DataFrame:
     return roots.unionByName(sets.where("n = 0").select("key", F.col("n").alias("n_shingles"), F.col("key").alias("root")))
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``docs`` with a unique ``key``, and whether that is the doc_id itself.
+
+    When ids aren't unique or some are null, a row number stands in for them, ordered by id
+    (nulls last); it is stored, so that it stays the same.
+    """
+    rows = docs.withColumn("key", F.col("doc_id").cast("long"))
+    if rows.groupBy("key").count().where("count > 1 OR key IS NULL").limit(1).isEmpty():
+        return rows, True
+    order = F.col("key").asc_nulls_last()
+    rows = rows.repartitionByRange(order, F.xxhash64("text")).sortWithinPartitions(order)
+    return stored(rows.withColumn("key", F.monotonically_increasing_id()), "numbered"), False
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for ``docs`` (doc_id, text).
 
@@ -232,14 +246,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     aren't unique, a row number stands in for them, ordered by id, so that the smallest id of a
     component is still the id of its smallest row.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    twice = rows.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1)
-    if twice.isEmpty():
-        found = join(rows.withColumnRenamed("doc_id", "key"))
+    rows, unique = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    found = join(rows.select("key", "text"))
+    if unique:
         return found.select(F.col("key").alias("doc_id"), "n_shingles", F.col("root").alias("component_id"))
-    counted = stored(rows.repartitionByRange(F.col("doc_id").asc_nulls_last(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_last()).withColumn("key", F.monotonically_increasing_id()), "numbered")
-    found = join(counted.select("key", "text"))
-    id_of = counted.select("key", "doc_id")
+    id_of = rows.select("key", "doc_id")
     named = found.join(id_of.hint("merge"), "key").select("key", "doc_id", "n_shingles", "root")
     return named.join(id_of.select(F.col("key").alias("root"), F.col("doc_id").alias("component_id")).hint("merge"), "root").select("doc_id", "n_shingles", "component_id")
 

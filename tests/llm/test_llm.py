@@ -336,6 +336,17 @@ def test_word_encoder_is_exact():
         assert plain.encode(text, add_special_tokens=False).ids == ids.tolist()
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark, sf):
+    base, near = words(120, 1, 10_000), words(120, 1, 10_000)
+    near[60] = "changed"
+    a, b, c, d, e = " ".join(base), " ".join(near), *(" ".join(words(60, i, 10_000)) for i in (2, 3, 4))
+    # repeated rows; a near copy under an id that stands for another group too; null ids, alone and with copies
+    rows = [(1, a), (1, a), (2, b), (2, c), (None, a), (None, d), (None, d), (None, e), (3, e)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.jaccard_join(spark, docs, sf).collect()
+    assert collections.Counter((r["doc_id"], r["text"]) for r in left) == collections.Counter([(1, a), (2, c), (None, d), (3, e)])
+
+
 def test_pipeline(spark, sf):
     names = ["language_id", "jaccard_join", "decontamination", "mixing", "token_ids"]
     assert [n for n, _ in corpus_pipeline.STAGES] == names
