@@ -12,8 +12,12 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter: no language can be told."""
-    return langid.identify(docs, columns=COLUMNS).where(F.col("lang_pred") != langid.UNKNOWN).select(COLUMNS)
+    """Drop documents without a letter: no language can be told.
+
+    The text alone decides, not the label, so that documents stay when nothing could be learned
+    or a language of theirs is named 'und'. A floor for the cosine would drop short clean texts.
+    """
+    return langid.identify(docs, columns=COLUMNS).where(F.col("text").rlike(r"\p{L}")).select(COLUMNS)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -336,6 +336,13 @@ def test_word_encoder_is_exact():
         assert plain.encode(text, add_special_tokens=False).ids == ids.tolist()
 
 
+@pytest.mark.parametrize("lang", [None, "und"])
+def test_pipeline_language_needs_no_labels(spark, sf, lang):
+    docs = spark.createDataFrame([(i, t, lang, "s", 1) for i, t in enumerate(["some words here", "é", "12 34", "", None] * 4)], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.language_id(spark, docs, sf).collect()
+    assert sorted(r["doc_id"] for r in left) == [i for i in range(20) if i % 5 < 2]
+
+
 def test_pipeline_keeps_one_row_of_each_group(spark, sf):
     base, near = words(120, 1, 10_000), words(120, 1, 10_000)
     near[60] = "changed"
