@@ -143,7 +143,7 @@ def d9_sidecar(spark, d):
 
 def d10_overlay(spark, d):
     p = predictions(spark, d)
-    wrong = p.where("true <> pred").select("doc_id", F.col("true").alias("pred"))
+    wrong = p.where(F.col("true") != F.col("pred")).select("doc_id", F.col("true").alias("pred"))
     fixed = V.overlay(p, wrong, "doc_id", "pred")
     return fixed.agg(F.count("*").alias("n"), F.count_if(F.col("true") == F.col("pred")).alias("correct"))
 
@@ -316,7 +316,7 @@ def g1_ranked(spark, d):
 
 
 def g2_first_failures(spark, d):
-    return predictions(spark, d).where("true <> pred").orderBy("doc_id").limit(20).select("doc_id", "config", "true", "pred")
+    return predictions(spark, d).where(F.col("true") != F.col("pred")).orderBy("doc_id").limit(20).select("doc_id", "config", "true", "pred")
 
 
 def g4_shuffle(spark, d):
