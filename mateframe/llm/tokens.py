@@ -21,12 +21,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import scratch, stored, table
+from .words import parts, split
 
 END = 1
 FRAME_IDS = 1 << 17
@@ -36,79 +38,119 @@ FRAME = np.dtype([("offset", "<u8"), ("length", "<u4"), ("ids", "<u4"), ("docs",
 DOC = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("ids", "<u8")])
 
 
+#: Printable stand-ins for the 256 bytes, in which the vocabulary's pieces are written.
+_PLAIN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: chr(b) for b in _PLAIN_BYTES} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)).difference(_PLAIN_BYTES)))}
+
+
 class WordEncoder:
     """Ids of whole texts, word by word: this vocabulary never joins over ASCII blanks.
 
     Blanks are dropped by the vocabulary's own rules, so the ids of a text are those of its
-    words in order. Words seen before come from a bounded cache; new ones are encoded many at a
-    time, with a bar between them whose id marks where each ends.
+    words in order. A column is split at once and each different word looked up once. A word of
+    Latin letters, with signs before or after them or none, is cut at the letters as the
+    vocabulary's rules do, and its three pieces, in lower case, go to the vocabulary's merges.
+    Other words are encoded whole, many at a time, with a bar between them whose id marks where
+    each ends. Pieces and words seen before come from a bounded cache.
     """
 
-    BAR, KEPT, TOGETHER = b"|", 400_000, 1024
+    BAR, KEPT, TOGETHER = "|", 300_000, 1024
+    #: Signs without the apostrophe and the bracket of special tokens; letters that are one code point in normal form.
+    SIGNS, LETTERS = r"[!-&(-/:;=>?@\[-`{-~]*", "[A-Za-zÀ-ÖØ-öø-ÿ]+"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
+        self.pattern = f"^(?P<head>{self.SIGNS})(?P<stem>{self.LETTERS})(?P<tail>{self.SIGNS})$"
         self._clear()
         bar = self._ids(self.BAR)
         self.bar = int(bar[0]) if len(bar) == 1 else None
 
     def _clear(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.ids, self.ends = np.empty(1 << 20, "<u4"), np.zeros(self.KEPT + 1, np.int64)
+        self.place: dict[str, int] = {"": 0}  # the empty piece has no ids
+        self.ids, self.ends = np.empty(1 << 20, "<u4"), np.zeros(1 << 16, np.int64)
 
-    def _ids(self, text: bytes) -> np.ndarray:
-        found = self.tokenizer.encode_batch_fast([text.decode("utf-8", "surrogatepass")], add_special_tokens=False)[0].ids
-        return np.array(found, "<u4")
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _keep(self, words: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+    def _keep(self, keys: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         n, at = len(self.place), int(self.ends[len(self.place)])
         while at + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty(len(self.ids), "<u4")])
+        while n + len(keys) >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros(len(self.ends), np.int64)])
         self.ids[at : at + len(ids)] = ids
-        self.ends[n + 1 : n + 1 + len(words)] = at + np.cumsum(lengths)
-        self.place.update(zip(words, range(n, n + len(words)), strict=True))
-
-    def _learn(self, words: set[bytes]) -> None:
-        plain = [w for w in words if self.BAR not in w and b"<" not in w]
-        for at in range(0, len(plain), self.TOGETHER):
-            part = plain[at : at + self.TOGETHER]
-            ids = self._ids((b" " + self.BAR + b" ").join(part) + b" " + self.BAR)
+        self.ends[n + 1 : n + 1 + len(keys)] = at + np.cumsum(lengths)
+        self.place.update(zip(keys, range(n, n + len(keys)), strict=True))
+
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        flat, lengths = [], []
+        for piece in pieces:
+            found = self.merge(piece.encode().decode("latin-1").translate(BYTES))
+            flat.extend([t.id for t in found])
+            lengths.append(len(found))
+        self._keep(pieces, np.array(flat, "<u4"), np.array(lengths, np.int64))
+
+    def _learn_words(self, words: list[str]) -> None:
+        barred = [w for w in words if self.BAR not in w and "<" not in w]
+        for at in range(0, len(barred), self.TOGETHER):
+            part = barred[at : at + self.TOGETHER]
+            ids = self._ids(f" {self.BAR} ".join(part) + f" {self.BAR}")
             bars = np.flatnonzero(ids == self.bar) if self.bar is not None else np.empty(0, np.int64)
             if len(bars) == len(part):
                 self._keep(part, np.delete(ids, bars), np.diff(bars, prepend=-1) - 1)
             else:
                 for w in part:
                     self._one(w)
-        for w in words.difference(plain):
-            self._one(w)
+        for w in words if len(barred) < len(words) else ():
+            if w not in self.place:
+                self._one(w)
 
-    def _one(self, word: bytes) -> None:
+    def _one(self, word: str) -> None:
         ids = self._ids(word)
         self._keep([word], ids, np.array([len(ids)]))
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text; a null text has none."""
-        words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        used = set().union(*words)
-        new = used.difference(self.place)
-        if len(self.place) + len(new) > self.KEPT:
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Three places in the cache for each word: head, stem and tail, or only the whole word."""
+        cut = pc.extract_regex(words, self.pattern)
+        plain = cut.is_valid().to_numpy(zero_copy_only=False)
+        parts_, keys, n = [], [], 0
+        for name in ("head", "stem", "tail"):
+            field = pc.utf8_lower(cut.field(name).filter(cut.is_valid())).dictionary_encode()
+            parts_.append(field.indices.to_numpy() + n)
+            keys += field.dictionary.to_pylist()
+            n = len(keys)
+        whole = words.filter(pc.invert(cut.is_valid())).to_pylist()
+        if len(self.place) > self.KEPT:
             self._clear()
-            new = used
-        if len(new) > self.KEPT:  # a text with that many different words goes without the cache
-            return [self._ids((t or "").encode("utf-8", "surrogatepass")) for t in texts]
-        self._learn(new)
-        out = []
-        for found in words:
-            at = np.fromiter(map(self.place.__getitem__, found), np.int64, len(found))
-            begin, end = self.ends[at], self.ends[at + 1]
-            length = end - begin
-            done = np.cumsum(length)
-            n = int(done[-1]) if len(done) else 0
-            out.append(self.ids[np.arange(n) + np.repeat(begin - done + length, length)])
+        self._learn_pieces(list(dict.fromkeys(k for k in keys if k not in self.place)))
+        self._learn_words([w for w in whole if w not in self.place])
+        of = np.fromiter(map(self.place.__getitem__, keys), np.int64, n)
+        out = np.zeros((len(words), 3), np.int64)
+        out[plain] = of[np.stack(parts_, axis=1)] if n else 0
+        out[~plain, 1] = np.fromiter(map(self.place.__getitem__, whole), np.int64, len(whole))
         return out
 
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; a null text has none."""
+        offsets, codes, words = split(texts)
+        at = self._places(words)
+        length = self.ends[at + 1] - self.ends[at]
+        # ids of each different word, one after the other, then of all words
+        ids, edges = _gather(self.ids, self.ends[at].ravel(), length.ravel())
+        edges = edges[::3]
+        ids, edges = _gather(ids, edges[:-1][codes], np.diff(edges)[codes])
+        edges = edges[offsets].tolist()
+        return [ids[a:b] for a, b in zip(edges, edges[1:])]
+
+
+def _gather(pool: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slices of ``pool`` joined, and where each begins and the last ends."""
+    edges = np.concatenate([[0], np.cumsum(length)])
+    return pool[np.arange(edges[-1]) + np.repeat(begin - edges[:-1], length)], edges
+
 
 class Writer:
     """Frames of one file, written as they fill."""
@@ -216,13 +258,12 @@ def write(docs: DataFrame, folder: str, vocabulary: str, *, end: int | None = EN
         path = f"{base}/part-{number:06d}.ids"
         temporary = f"{base}/.part-{number:06d}-{uuid.uuid4().hex}"
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
+            for rows in parts(batch, 1):
                 if writer is None:
                     files.create_dir(base, recursive=True)
                     encoder, sink = WordEncoder(vocabulary), files.open_output_stream(temporary)
                     writer = Writer(sink, frame_ids)
-                for doc_id, ids in zip(rows.column(0).to_pylist(), encoder.encode(rows.column(1).to_pylist()), strict=True):
+                for doc_id, ids in zip(rows.column(0).to_pylist(), encoder.encode(rows.column(1)), strict=True):
                     writer.add(doc_id, ids if end is None else np.append(ids, np.uint32(end)))
         if writer is not None:
             n_docs, n_ids = writer.close()
@@ -239,8 +280,9 @@ def write(docs: DataFrame, folder: str, vocabulary: str, *, end: int | None = EN
 def read(summary: DataFrame) -> DataFrame:
     """Read all files of ``summary`` back: doc_id, start, n_tokens, ids_crc32 per document.
 
-    One row per file goes through the window that turns file sizes into starts; each file is
-    then read by a task of its own, frame by frame.
+    One row per file goes through the window that turns file sizes into starts. Ranges of the
+    files' numbers, as many as there are files, give each file a task of its own, which reads it
+    frame by frame. ``summary`` is to be a stored table, as it is counted and read.
     """
     starts = summary.withColumn("base", F.sum("n_ids").over(Window.orderBy("part")) - F.col("n_ids"))
 
@@ -260,7 +302,7 @@ def read(summary: DataFrame) -> DataFrame:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), schema.types, strict=True)], schema=schema)
 
-    return starts.select("path", "base").repartition("path").mapInArrow(rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return starts.repartitionByRange(max(summary.count(), 1), "part").select("path", "base").mapInArrow(rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def vocabulary_path() -> str:
