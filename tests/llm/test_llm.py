@@ -279,6 +279,27 @@ def test_decontamination_finds_all_that_the_rule_accepts(spark):
     assert any(m < w for _, _, w, m in want) and {w for _, _, w, _ in want} == set(range(1, 21))
 
 
+def test_masks_lose_no_pattern():
+    """Every set of words that may differ leaves one mask clear, for windows of up to 20 words."""
+    cases = [(w, w - math.ceil(0.75 * w)) for w in range(1, 21)]
+    for group in [tuple(c for c in cases if c[0] >= decontam.LONG), *[(c,) for c in cases], ((30, 15),)]:
+        family = decontam.masks(group)
+        assert 1 <= len(family) <= decontam.MASKS and all(m[0] == 0 for m in family)
+        for w, m in group if math.comb(*group[0]) <= decontam.SETS else ():
+            sets = decontam.differing_sets(w, m)
+            assert not np.all([decontam.missed(mask, w, sets) for mask in family], axis=0).any()
+    assert all(len(m) == 5 for m in decontam.masks(tuple(c for c in cases if c[0] >= decontam.LONG)))
+
+
+def test_decontamination_of_long_and_even_texts(spark):
+    """One text with very many items, and texts and items of one repeated word."""
+    items = [(i, " ".join(words(25, 3000 + i, 10_000))) for i in range(200)] + [(900, "to " * 30), (901, "go")]
+    texts = [(1, " ".join(t for _, t in items[:200])), (2, "to " * 5000), (3, "to " * 12), (4, "go to go"), (5, " ".join(words(20_000, 1, 10_000)))]
+    found = decontam.contaminated(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r["doc_id"], r["item_id"], r["width"], r["matched"]) for r in found}
+    assert got == {(1, i, 20, 20) for i in range(200)} | {(2, 900, 20, 20), (4, 901, 1, 1)}
+
+
 def test_toxicity(spark, docs, none):
     rng = np.random.default_rng(7)
     rows = [(i, " ".join([*words(60, i, 500), *(["slur", "insult"] if i % 8 == 0 else [])]), int(i % 8 == 0)) for i in range(800)]
