@@ -5,75 +5,82 @@ Jaccard similarity of at least 3/4. The result is the connected components.
 
 1. Texts with equal sets are one class from the start.
 2. A class keeps its ``SKETCH`` smallest hashes, its size and a bitmap of all its hashes. Linked
-   sets share at least 3/4 of the larger one, so with up to 188 shingles their sketches cannot
-   miss each other (the sketch is longer than the quarter that may differ), and for larger ones
-   the number of shared sketch hashes is binomial with mean 36 or more: that it is below
-   ``SHARED`` has a probability below 1e-12, like a clash of hashes.
+   sets x and y differ by at most max(x, y) / 4 hashes a side, which is at most a third of either,
+   so of sets with up to ``EXACT`` hashes the sketches share ``min(3 n / 4, SKETCH - n / 3)`` hashes
+   or more, and one at least. For larger ones the number of shared sketch hashes is
+   hypergeometric with a mean of 36 or more: that it is below ``SHARED`` has a probability of some
+   5e-13 a link, like a clash of hashes.
 3. Sketch hashes are counted over all classes. Each class keeps the rarest of its hashes, as many
    as must contain a shared one; what very many texts have in common is left aside that way.
-4. A tile is a set of classes with one kept hash, in bands of near sizes. First every class is
-   compared with a few fixed members of its tiles, which joins large families in linear work.
-   Then tiles that still hold several components are compared in full across components.
+4. A tile is a kept hash and a band of sizes. Bands overlap: a class is in the band of its size and
+   in the one before, so sizes that can link meet in one band, and others mostly don't. First
+   every class is compared with the least and the greatest id of its tiles, which joins large
+   families in linear work. Tiles that still hold several components are cut into blocks, and
+   pairs of blocks are compared; members of the largest component aren't compared with each other.
 5. A pair is skipped when sizes are too far apart, or when the bits of the bitmaps already bound
    the intersection below what is needed; what is left is intersected exactly.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored, table
 from .segments import Powers, mix
-from .substring import word_reader
+from .words import WordHashes, parts
 
 SHINGLE = 5
-#: Hashes in a sketch, least number shared by linked sets, words of 64 bits in a bitmap.
-SKETCH, SHARED, BITMAP = 48, 13, 32
-#: Classes of a tile in one block.
-TILE = 4096
+#: Hashes in a sketch, words of 64 bits in a bitmap.
+SKETCH, BITMAP = 48, 32
+#: Largest set for which linked sketches must meet; least number of hashes that those of larger sets share.
+EXACT, SHARED = 188, 13
+#: Ratio of sizes from one band to the next; it exceeds the 4/3 between linked sets, so that rounding can't part them.
+BAND = 1.35
+#: Classes of a tile in one block, and rows that are compared in one group of blocks.
+TILE, TOGETHER = 2048, 1 << 16
 
 
 def shingle_sets(k: int = SHINGLE):
-    """A reader of texts as sorted distinct shingle hashes."""
-    read, powers = word_reader(), Powers(1 << 16)
-
-    def of(text: str | None) -> np.ndarray:
-        # only A-Z are lowered
-        x = read(None if text is None else text.translate(LOWER))
-        if len(x) == 0:
-            return x
-        n = max(len(x) - k + 1, 1)
-        h = np.zeros(n, np.uint64)
-        for i in range(min(k, len(x))):
-            h += x[i : i + n] * powers.up[i]
-        return np.unique(mix(h + np.uint64(min(k, len(x)))))
+    """A reader of columns of texts as sorted distinct shingle hashes; only A-Z are lowered."""
+    read, up = WordHashes(lower=True), Powers(k + 1).up
+
+    def of(texts: pa.Array) -> list[np.ndarray]:
+        offsets, x = read(texts)
+        n = max(len(x) - k + 1, 0)
+        h = np.full(n, k, np.uint64)
+        for i in range(k):
+            h += x[i : i + n] * up[i]
+        h, out = mix(h), []
+        for a, b in zip(offsets.tolist(), offsets[1:].tolist()):
+            if b - a >= k:
+                s = np.sort(h[a : b - k + 1])
+                out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
+            else:  # the whole sequence, or nothing
+                out.append(mix((x[a:b] * up[: b - a]).sum(keepdims=True) + np.uint64(b - a)) if b > a else x[a:b])
+        return out
 
     return of
 
 
-LOWER = {c: c + 32 for c in range(65, 91)}
-
-
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     of = None
     names = ["key", "n", "set1", "set2", "sketch", "bits"]
     for batch in batches:
         of = of or shingle_sets()
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            sets = [of(t) for t in part.column(1).to_pylist()]
+        for part in parts(batch, 1):
+            sets = of(part.column(1))
             bits = np.zeros((len(sets), BITMAP * 64), np.uint8)
             for row, s in zip(bits, sets, strict=True):
                 row[(s >> np.uint64(32)) % np.uint64(BITMAP * 64)] = 1
             packed = np.packbits(bits, axis=1)
-            with np.errstate(over="ignore"):
-                sums = [(int(s.sum(dtype=np.uint64)), int(mix(s).sum(dtype=np.uint64))) for s in sets]
+            sums = [(s.sum(dtype=np.uint64), mix(s).sum(dtype=np.uint64)) for s in sets]
             yield pa.RecordBatch.from_arrays([
                 part.column(0), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array(np.array([a for a, _ in sums], np.uint64).view(np.int64)), pa.array(np.array([b for _, b in sums], np.uint64).view(np.int64)),
@@ -85,9 +92,18 @@ def _payload(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     of = None
     for batch in batches:
         of = of or shingle_sets()
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([of(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["id", "items"])
+        for part in parts(batch, 1):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in of(part.column(1))], pa.binary())], ["id", "items"])
+
+
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Do two sorted arrays of distinct hashes have a Jaccard similarity of 3/4?"""
+    if 4 * len(x) < 3 * len(y) or 4 * len(y) < 3 * len(x):
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * common >= 75 * (len(x) + len(y) - common)
 
 
 def _verified(pairs: DataFrame, payload: DataFrame) -> DataFrame:
@@ -98,11 +114,7 @@ def _verified(pairs: DataFrame, payload: DataFrame) -> DataFrame:
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * common >= 75 * (len(x) + len(y) - common))
+            good = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
@@ -145,19 +157,53 @@ def _near(n1: str, n2: str):
     return (F.col(n1) * 4 >= F.col(n2) * 3) & (F.col(n2) * 4 >= F.col(n1) * 3)
 
 
-def _possible(x: pd.DataFrame, y: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (i, j) in two tiles whose sizes and bitmaps allow a link and whose components differ."""
-    bits_x = np.frombuffer(b"".join(x["bits"]), np.uint64).reshape(len(x), -1)
-    bits_y = np.frombuffer(b"".join(y["bits"]), np.uint64).reshape(len(y), -1)
-    n_y, root_y = y["n"].to_numpy(), y["root"].to_numpy()
-    only_y = np.bitwise_count(bits_y).sum(axis=1, dtype=np.int64)
-    for i, (n, root, bits) in enumerate(zip(x["n"], x["root"], bits_x, strict=True)):
-        common_bits = np.bitwise_count(bits_y & bits).sum(axis=1, dtype=np.int64)
+def need(n: Column) -> Column:
+    """Least number of sketch hashes that a set of ``n`` shares with any set it links with."""
+    return F.when(n > EXACT, SHARED).otherwise(F.greatest(F.lit(1), F.least(F.ceil(n * 3 / 4), SKETCH - F.floor(n / 3)))).cast("int")
+
+
+def band(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / math.log(BAND)).cast("int")
+
+
+def _possible(x: dict, y: dict, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids (a, b) in two blocks whose sizes and bitmaps allow a link and whose components differ.
+
+    Blocks are columns as arrays. Of two classes one at least must be of the tile's own band: those of the
+    next one meet there. In a block with itself (``same``) each pair comes once.
+    """
+    for i in range(len(x["id"])):
+        first = i + 1 if same else 0
+        n, m = x["n"][i], y["n"][first:]
+        j = np.flatnonzero((4 * m >= 3 * n) & (4 * n >= 3 * m) & (y["root"][first:] != x["root"][i]) & (y["own"][first:] | x["own"][i])) + first
+        if not len(j):
+            continue
+        common_bits = np.bitwise_count(y["bits"][j] & x["bits"][i]).sum(axis=1, dtype=np.int64)
         # a bit of one alone is at least one shingle of it alone
-        most = np.minimum(n - (int(np.bitwise_count(bits).sum()) - common_bits), n_y - (only_y - common_bits))
-        j = np.flatnonzero((100 * most >= 75 * (n + n_y - most)) & (root_y != root))
+        most = np.minimum(n - (x["set"][i] - common_bits), y["n"][j] - (y["set"][j] - common_bits))
+        j = j[100 * most >= 75 * (n + y["n"][j] - most)]
         if len(j):
-            yield np.full(len(j), i), j
+            yield np.full(len(j), x["id"][i]), y["id"][j]
+
+
+def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Candidate pairs of a group of cells; a cell is two blocks of a tile (or one with itself)."""
+    pdf = pdf.sort_values(["token", "band", "i", "j", "side"], kind="stable")
+    bits = np.frombuffer(b"".join(pdf["bits"]), np.uint64).reshape(len(pdf), -1)
+    columns = {c: pdf[c].to_numpy() for c in ("id", "n", "root", "own", "side")} | {"bits": bits, "set": np.bitwise_count(bits).sum(axis=1, dtype=np.int64)}
+    cell = pdf[["token", "band", "i", "j"]].to_numpy()
+    edges = np.flatnonzero(np.any(cell[1:] != cell[:-1], axis=1)) + 1
+    got = []
+    for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(pdf)], strict=True):
+        alone = columns["side"][a] == 2
+        middle = b if alone else a + int(np.searchsorted(columns["side"][a:b], 1))
+        x = {c: v[a:middle] for c, v in columns.items()}
+        y = x if alone else {c: v[middle:b] for c, v in columns.items()}
+        got += _possible(x, y, alone)
+    if not got:
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    a, b = (np.concatenate(c) for c in zip(*got, strict=True))
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -165,59 +211,55 @@ def join(docs: DataFrame) -> DataFrame:
 
     Texts without words, and null ones, have an empty set, link to nothing and are their own
     root. Equal sets link. Keys must be unique; every text is read whole; no pair is left out
-    for the size of its group.
+    for the size of its group. An empty table gives no rows.
     """
     sets = stored(docs.select("key", "text").mapInArrow(_sets, "key long, n long, set1 long, set2 long, sketch array<long>, bits binary"), "shingle-sets")
     full = sets.where("n > 0")
-    owners = full.groupBy("n", "set1", "set2").agg(F.min("key").alias("id"))
+    # totals by a key are written before they are joined on it, so that adaptive execution can split a hot key's rows
+    owners = stored(full.groupBy("n", "set1", "set2").agg(F.min("key").alias("id")), "class-owners")
     member = stored(full.select("key", "n", "set1", "set2").join(owners.hint("merge"), ["n", "set1", "set2"]).select("key", "id", "n"), "classes")
-    ids = member.where("key = id").select("id")
-    classes = stored(full.select(F.col("key").alias("id"), "n", "sketch", "bits").join(ids.hint("merge"), "id"), "class-sketches")
+    classes = stored(full.select(F.col("key").alias("id"), "n", "sketch", "bits").join(owners.select("id").hint("merge"), "id", "left_semi"), "class-sketches")
 
     # hashes that two classes or more have in their sketches, rarest first, as many as must hold a shared one
-    tokens = classes.select("id", F.explode("sketch").alias("token"))
-    counts = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = tokens.join(counts.hint("merge"), "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts"))
+    tokens = classes.select("id", "n", F.explode("sketch").alias("token"))
+    counts = stored(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "hash-counts")
+    shared = tokens.join(counts.hint("merge"), "token").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts"))
     # two linked classes share ``need`` hashes or more: leaving out the need - 1 most common ones keeps one of them
-    need = F.when(F.col("n") <= 188, F.lit(1)).otherwise(F.lit(SHARED))
-    sketch = classes.join(shared.hint("merge"), "id")
-    some = F.slice("ts", F.lit(1), F.greatest(F.size("ts") - need + 1, F.lit(0)))
-    kept = stored(sketch.select("id", "n", "bits", F.explode(some).alias("t")).select("id", "n", "bits", F.col("t.token").alias("token")), "kept-hashes")
+    some = F.slice("ts", F.lit(1), F.greatest(F.size("ts") - need(F.col("n")) + 1, F.lit(0)))
+    kept = shared.select("id", "n", F.explode(some).alias("t")).select("id", "n", F.col("t.token").alias("token"))
+    tiles = stored(kept.select("id", "n", "token", F.explode(F.array(band(F.col("n")) - 1, band(F.col("n")))).alias("band")), "tiles")
 
     # large families: each class against the least and the greatest id of its tiles
-    ends = kept.groupBy("token").agg(F.min(F.struct("id", "n")).alias("lo"), F.max(F.struct("id", "n")).alias("hi"), F.count("*").alias("c")).where("c > 1")
-    stars = kept.select("id", "n", "token").join(ends.hint("merge"), "token")
+    ends = stored(tiles.groupBy("token", "band").agg(F.min(F.struct("id", "n")).alias("lo"), F.max(F.struct("id", "n")).alias("hi")).where("lo.id != hi.id"), "tile-ends")
+    stars = stored(tiles.join(ends.hint("merge"), ["token", "band"]), "open-tiles")
     star = lambda end: stars.select(F.col(f"{end}.id").alias("a"), F.col("id").alias("b"), F.col(f"{end}.n").alias("m"), "n").where(_near("m", "n") & (F.col("a") != F.col("b"))).select("a", "b")
     pairs = stored(star("lo").union(star("hi")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star-pairs")
-    busy = kept.join(ends.select("token").hint("merge"), "token", "left_semi").select("id").distinct()
+    busy = stored(stars.select("id").distinct(), "busy-classes")
     payload = stored(docs.select(F.col("key").alias("id"), "text").join(busy.hint("merge"), "id", "left_semi").mapInArrow(_payload, "id long, items binary"), "shingle-arrays")
     links = stored(_verified(pairs, payload), "star-links")
     first = components(links, "star")
 
-    # tiles that still hold several components
-    placed = kept.join(first.hint("merge"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    # tiles that still hold several components, and the largest of these
+    placed = stored(stars.select("id", "n", "token", "band").join(first.hint("merge"), "id", "left").withColumn("root", F.coalesce("root", "id")), "placed-classes")
     sums = [F.sum(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1 << 40))).alias(f"s{i}") for i in range(2)]
-    mixed = placed.groupBy("token").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("c"), *sums).where("r1 != r2")
+    roots = placed.groupBy("token", "band", "root").agg(F.count("*").alias("m"), *sums)
+    mixed = roots.groupBy("token", "band").agg(F.max(F.struct("m", "root")).alias("home"), F.count("*").alias("roots"), F.sum("m").alias("c"), F.sum("s0").alias("s0"), F.sum("s1").alias("s1")).where("roots > 1")
     # tiles with the same members are compared once
-    mixed = mixed.groupBy("c", "s0", "s1", "r1").agg(F.min("token").alias("token"))
-    open_ = placed.join(mixed.select("token", "c", "r1").hint("merge"), "token")
-    # a tile is dealt over blocks of about TILE classes; those outside its first component, where the
-    # large family is, go to every block, and so meet all others once
-    blocks = F.ceil(F.col("c") / TILE).cast("int")
-    home = F.struct(F.pmod(F.xxhash64("id"), blocks.cast("long")).cast("int").alias("block"), F.lit(False).alias("probe"))
-    probes = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(k.alias("block"), F.lit(True).alias("probe")))
-    seats = F.concat(F.array(home), F.when(F.col("root") != F.col("r1"), probes).otherwise(F.array().cast("array<struct<block:int,probe:boolean>>")))
-    tiles = open_.select("token", "id", "n", "bits", "root", F.inline(seats))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf[pdf["probe"]], pdf[~pdf["probe"]]
-        got = [(x["id"].to_numpy()[i], y["id"].to_numpy()[j]) for i, j in _possible(x, y)] if len(x) and len(y) else []
-        if not got:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        a, b = (np.concatenate(c) for c in zip(*got, strict=True))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-    more = tiles.groupBy("token", "block").applyInPandas(compare, "a long, b long").distinct()
+    mixed = mixed.groupBy("c", "s0", "s1", "band").agg(F.min(F.struct("token", "home")).alias("t")).select(F.col("t.token").alias("token"), "band", "c", F.col("t.home.m").alias("h"), F.col("t.home.root").alias("home"))
+    # the home component lies in blocks 0 to hs - 1, all other classes in blocks hs to all - 1
+    sized = mixed.withColumn("hs", F.ceil(F.col("h") / TILE).cast("int")).withColumn("all", F.col("hs") + F.ceil((F.col("c") - F.col("h")) / TILE).cast("int"))
+    sized = stored(sized, "mixed-tiles")
+    seats = sized.agg(F.sum(F.col("h") * (F.col("all") - F.col("hs")) + (F.col("c") - F.col("h")) * F.col("all"))).first()[0] or 0
+    at_home = F.col("root") == F.col("home")
+    block = F.when(at_home, F.pmod(F.xxhash64("id"), F.col("hs"))).otherwise(F.col("hs") + F.pmod(F.xxhash64("id"), F.col("all") - F.col("hs"))).cast("int")
+    cell = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    partner = lambda k: F.when(k < F.col("block"), cell(k, F.col("block"), 1)).when(k > F.col("block"), cell(F.col("block"), k, 0)).otherwise(cell(k, k, 2))
+    partners = F.transform(F.sequence(F.when(at_home, F.col("hs")).otherwise(F.lit(0)), F.col("all") - 1), partner)
+    open_ = placed.join(sized.hint("merge"), ["token", "band"]).withColumn("block", block).select("token", "band", "id", "n", "root", F.inline(partners))
+    cells = open_.join(classes.select("id", "bits").hint("merge"), "id").withColumn("own", band(F.col("n")) == F.col("band"))
+    # small cells are compared many in a group
+    groups = cells.withColumn("g", F.pmod(F.xxhash64("token", "band", "i", "j"), F.lit(max(1, math.ceil(seats / TOGETHER)) * 4)))
+    more = groups.groupBy("g").applyInPandas(_compare, "a long, b long").distinct()
     rest = stored(_verified(stored(more, "tile-pairs"), payload), "tile-links")
     final = components(links.union(rest), "all") if not rest.isEmpty() else first
 

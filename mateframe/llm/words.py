@@ -8,10 +8,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .segments import Powers, mix, symbol_hashes
+
 #: Bytes of text that are split at once; a longer text is a part of its own.
 TOGETHER = 4 << 20
-#: Hashes of words that a reader keeps.
-KNOWN = 1 << 18
 
 
 def parts(batch: pa.RecordBatch, text: int, limit: int = 0) -> Iterator[pa.RecordBatch]:
@@ -44,24 +44,44 @@ def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
 
 class WordHashes:
-    """Texts as arrays of 64-bit hashes of their words; those of words seen before are kept, up to a bound."""
+    """Texts as arrays of 64-bit hashes of their words, from the bytes of a whole column at once.
 
-    def __init__(self, lower: bool = False):
-        import xxhash
+    ``lower`` makes A-Z equal to a-z. A word's hash is a sum over its bytes, taken as the
+    difference of two running sums, so no word is ever made a Python object.
+    """
 
-        self.hash, self.known, self.lower = xxhash.xxh3_64_intdigest, {}, lower
+    def __init__(self, lower: bool = False):
+        self.table = symbol_hashes(256, 9)
+        if lower:
+            self.table[65:91] = self.table[97:123]
+        self.blank = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+        self.powers = Powers(TOGETHER + 1)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(offsets, hashes) of a column."""
-        offsets, codes, words = split(texts)
-        words = (pc.ascii_lower(words) if self.lower else words).to_pylist()
-        if len(self.known) > KNOWN:
-            self.known.clear()
-        known, of = self.known, self.hash
-        hashes = np.empty(len(words), np.uint64)
-        for i, w in enumerate(words):
-            h = known.get(w)
-            if h is None:
-                h = known[w] = of(w)
-            hashes[i] = h
-        return offsets, hashes[codes]
+        """(offsets, hashes): the words of text i are ``hashes[offsets[i]:offsets[i + 1]]``; null has none."""
+        texts = pc.fill_null(texts, "") if texts.null_count else texts
+        if not len(texts):
+            return np.zeros(1, np.int64), np.empty(0, np.uint64)
+        edges = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+        edges -= edges[0]
+        word = ~self.blank[data]
+        opens, closes = word.copy(), word.copy()
+        opens[1:] &= ~word[:-1]
+        closes[:-1] &= ~word[1:]
+        inner = edges[(edges > 0) & (edges < len(data))]
+        opens[inner] = word[inner]
+        closes[inner - 1] = word[inner - 1]
+        start, stop = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+        out, at = np.empty(len(start), np.uint64), 0
+        while at < len(start):  # ranges of words that stand within a bounded number of bytes
+            end = max(int(np.searchsorted(stop, start[at] + TOGETHER, side="right")), at + 1)
+            low, high = start[at], stop[end - 1]
+            if high - low >= len(self.powers.up):
+                self.powers = Powers(int(high - low) + 1)
+            total = np.zeros(high - low + 1, np.uint64)
+            np.cumsum(self.table[data[low:high]] * self.powers.up[: high - low], out=total[1:])
+            a, b = start[at:end] - low, stop[at:end] - low
+            out[at:end] = mix((total[b] - total[a]) * self.powers.down[a] + (b - a).astype(np.uint64))
+            at = end
+        return np.searchsorted(start, edges), out

@@ -121,7 +121,7 @@ def test_fm_index_counts():
 def brute_components(rows):
     sets = []
     for r in rows:
-        w = BLANKS.findall((r["text"] or "").translate(jaccard.LOWER))
+        w = BLANKS.findall((r["text"] or "").translate({c: c + 32 for c in range(65, 91)}))
         sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
     root = list(range(len(rows)))
 
@@ -156,6 +156,21 @@ def test_jaccard(spark, docs, none, monkeypatch):
     assert sorted(map(tuple, jaccard.near_duplicates(df).collect())) == brute_components(df.collect())
 
 
+def test_jaccard_of_short_texts_after_a_common_line(spark, monkeypatch):
+    """Texts around a common line, linked by chance or not; sizes on both sides of a band's edge."""
+    monkeypatch.setattr(jaccard, "TILE", 8)
+    rng, line = np.random.default_rng(12), words(12, 1, 10_000)
+    rows = []
+    for i in range(120):
+        own = words(int(rng.integers(2, 40)), 900 + i % 70, 10_000)
+        for p in rng.integers(0, len(own), i // 70 * rng.integers(0, 4)):
+            own[p] = f"e{rng.integers(0, 99)}"
+        rows.append((i, " ".join([*line, *own[: len(own) - int(rng.integers(0, 2))]])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(df.collect())
+    assert sorted(map(tuple, jaccard.near_duplicates(df).collect())) == want and any(r[0] != r[2] for r in want)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(v) for v in rng.normal(size=8)]) for i in range(300)] + [(300 + i, [0.5] * 8) for i in range(30)]
