@@ -13,33 +13,13 @@ from pyspark.sql import types as T
 
 from .common import table
 from .fmindex import repeated
-from .repeats import covered, spans_of
+from .repeats import covered, spans_of, text_key
+from .words import WordHashes
 
 WINDOW, GRAM = 35, 8
-KNOWN = 1 << 18
 RANGES = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
 
 
-def word_reader():
-    """Texts as hashes of their words; words seen before are kept, up to a bound."""
-    import xxhash
-
-    class Known(dict):
-        def __missing__(self, word: bytes) -> int:
-            if len(self) >= KNOWN:
-                self.clear()
-            self[word] = found = xxhash.xxh3_64_intdigest(word)
-            return found
-
-    get = Known().__getitem__
-
-    def read(text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").split()
-        return np.fromiter(map(get, words), np.uint64, len(words))
-
-    return read
-
-
 def word_cutter():
     def cut(text: str | None):
         words = (text or "").encode("utf-8", "surrogatepass").split()
@@ -73,8 +53,8 @@ def dedup(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM) -> DataFra
     input. Null and empty texts have no words; texts shorter than a window lose none; repeated
     rows lose all their windows; ids may be null or repeat.
     """
-    rows = docs.withColumn("__k", F.xxhash64("doc_id", "text"))
-    spans = spans_of(rows.select(F.col("__k").alias("key"), "text"), window=window, gram=gram, symbols=word_reader, cut=word_cutter, find=find(window), places=4, shard_symbols=400_000)
+    rows = docs.withColumn("__k", text_key(F.col("text")))
+    spans = spans_of(rows.select(F.col("__k").alias("key"), "text"), window=window, gram=gram, symbols=WordHashes, cut=word_cutter, find=find(window), places=4, shard_symbols=400_000)
     spans = spans.select(F.col("key").alias("__s"), F.col("spans").alias("__spans"))
     names = [c for c in docs.columns if c not in ("kept", "n_words", "n_removed", "removed")]  # a column of such a name is replaced
     joined = rows.hint("merge").join(spans.hint("merge"), F.col("__k") == F.col("__s"), "left").select(*names, F.col("text").alias("__text"), "__spans")

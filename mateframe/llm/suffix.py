@@ -18,19 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
-from .repeats import covered, spans_of
+from .repeats import covered, spans_of, text_key
 from .segments import mix, symbol_hashes
+from .words import ByteHashes
 
 WINDOW, GRAM = 200, 32
 RANGES = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
 
 
-def byte_reader():
-    """Texts as hashes of their UTF-8 bytes."""
-    of = symbol_hashes(256, 5)
-    return lambda text: of[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)]
-
-
 def byte_cutter():
     def cut(text: str | None):
         raw = (text or "").encode("utf-8", "surrogatepass")
@@ -74,8 +69,8 @@ def dedup(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM) -> DataFra
     the input and never cross texts. Null counts as empty; texts shorter than a window lose
     nothing; repeated rows of that length lose all; ids may be null or repeat.
     """
-    rows = docs.withColumn("__k", F.xxhash64("doc_id", "text"))
-    spans = spans_of(rows.select(F.col("__k").alias("key"), "text"), window=window, gram=gram, symbols=byte_reader, cut=byte_cutter, find=find(window), places=16, shard_symbols=2_000_000)
+    rows = docs.withColumn("__k", text_key(F.col("text")))
+    spans = spans_of(rows.select(F.col("__k").alias("key"), "text"), window=window, gram=gram, symbols=ByteHashes, cut=byte_cutter, find=find(window), places=16, shard_symbols=2_000_000)
     spans = spans.select(F.col("key").alias("__s"), F.col("spans").alias("__spans"))
     names = [c for c in docs.columns if c not in ("kept", "n_bytes", "n_removed", "removed")]  # a column of such a name is replaced
     joined = rows.hint("merge").join(spans.hint("merge"), F.col("__k") == F.col("__s"), "left").select(*names, F.col("text").alias("__text"), "__spans")

@@ -43,6 +43,27 @@ def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return offsets, codes, words
 
 
+def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(edges, bytes): the UTF-8 bytes of text i are ``bytes[edges[i]:edges[i + 1]]``; null has none."""
+    texts = pc.fill_null(texts, "") if texts.null_count else texts
+    if not len(texts):
+        return np.zeros(1, np.int64), np.empty(0, np.uint8)
+    edges = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+    return edges - edges[0], data
+
+
+class ByteHashes:
+    """Texts as arrays of 64-bit values of their UTF-8 bytes."""
+
+    def __init__(self):
+        self.table = symbol_hashes(256, 5)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        edges, data = raw(texts)
+        return edges, self.table[data]
+
+
 class WordHashes:
     """Texts as arrays of 64-bit hashes of their words, from the bytes of a whole column at once.
 
@@ -59,12 +80,7 @@ class WordHashes:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, hashes): the words of text i are ``hashes[offsets[i]:offsets[i + 1]]``; null has none."""
-        texts = pc.fill_null(texts, "") if texts.null_count else texts
-        if not len(texts):
-            return np.zeros(1, np.int64), np.empty(0, np.uint64)
-        edges = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
-        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
-        edges -= edges[0]
+        edges, data = raw(texts)
         word = ~self.blank[data]
         opens, closes = word.copy(), word.copy()
         opens[1:] &= ~word[:-1]

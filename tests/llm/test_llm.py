@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import rows_of
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from mateframe import llm
@@ -105,6 +106,16 @@ def test_byte_repeats(docs, none, monkeypatch, hot, hotter):
         assert suffix.dedup(none).count() == 0
 
 
+@pytest.mark.parametrize("dedup, n", [(substring.dedup, "n_words"), (suffix.dedup, "n_bytes")])
+def test_repeated_rows_cost_what_they_hold(spark, dedup, n):
+    """4,000 copies of a row, and a text that holds it: marks of equal texts are gathered once."""
+    text = " ".join(words(400, 21, 10_000))
+    rows = spark.range(4000).select((F.col("id") % 7).alias("doc_id"), F.lit(text).alias("text")).unionByName(spark.createDataFrame([(9, "before " + text + " behind")], "doc_id long, text string"))
+    found = dedup(rows.repartition(8)).groupBy("doc_id").agg(F.sum(n).alias("n"), F.sum("n_removed").alias("gone")).collect()
+    assert all(r["n"] == r["gone"] for r in found if r["doc_id"] != 9) and sum(r["n"] > 0 for r in found) == 8
+    assert [r["n"] - r["gone"] for r in found if r["doc_id"] == 9] == [2 if n == "n_words" else len("before ") + len(" behind")]
+
+
 def test_fm_index_counts():
     rng = np.random.default_rng(7)
     for _ in range(100):
