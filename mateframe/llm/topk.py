@@ -7,9 +7,12 @@ of ``max(q * largest, q * smallest)`` bounds every score in the block from above
 visited in the order of that bound, and a query is done when the next bound is below its k-th
 score so far.
 
-Spark runs it in two rounds over tiles of (query block, document block): the first round scores,
-for every query block, the few document blocks with the highest bounds, which gives each query a
-k-th score; the second scores the tiles that still hold a query whose bound reaches its k-th.
+Spark runs it in two rounds over tiles of (query block, document block). A plan works out bounds,
+for groups of block summaries, and names tiles only: in the first round, for every query block,
+the few document blocks with the highest bounds, whose scores give each query a k-th; in the
+second, all other tiles with a query whose bound reaches its k-th. A task gets a query block and
+a bounded chunk of its tiles, visits them in the order of their bounds, raises each query's k-th as
+it goes, and gives back only scores that reach it.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored, table
@@ -29,6 +32,8 @@ K = 20
 BLOCK, QUERIES = 2048, 512
 #: Document blocks that each query block scores in the first round.
 FIRST = 4
+#: Block summaries in a group of the plan, and document blocks in a chunk that one task visits.
+GROUP, CHUNK = 64, 16
 
 
 def quantize(vectors: DataFrame, scale: int = 64) -> DataFrame:
@@ -50,6 +55,7 @@ def _matrix(rows: pd.Series, width: int) -> np.ndarray:
 
 def _scores(q: np.ndarray, d: np.ndarray) -> np.ndarray:
     """Integer inner products; in doubles where those are exact."""
+    q, d = q.astype(np.int64, copy=False), d.astype(np.int64, copy=False)
     most = float(np.abs(q).max(initial=0)) * float(np.abs(d).max(initial=0)) * q.shape[1]
     if most < 2**24:
         return (q.astype(np.float32) @ d.astype(np.float32).T).astype(np.int64)
@@ -69,16 +75,16 @@ def _best(k: int, ids: np.ndarray, scores: np.ndarray) -> np.ndarray:
 def _bounds(q: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
     """Upper bound of each query's score in each block, never too low."""
     q = q.astype(np.float64)
-    bound = np.maximum(q, 0) @ high.astype(np.float64).T + np.minimum(q, 0) @ low.astype(np.float64).T
+    bound = np.maximum(q, 0) @ high.astype(np.float64).T + np.minimum(q, 0) @ low.astype(np.float64).T  # (query, block)
     return bound + np.abs(bound) * 1e-9
 
 
 def _pack(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x, np.int64).tobytes()
+    return np.ascontiguousarray(x).tobytes()
 
 
-def _unpack(raw: bytes, width: int) -> np.ndarray:
-    return np.frombuffer(raw, np.int64).reshape(-1, width)
+def _unpack(raw: bytes, width: int, dtype: str = "int64") -> np.ndarray:
+    return np.frombuffer(raw, dtype).reshape(-1, width)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = K, block: int = BLOCK, query_block: int = QUERIES, first: int = FIRST) -> DataFrame:
@@ -89,10 +95,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = K, block: int = BL
     Rows that repeat a vec_id are candidates each; as queries they count once, with the smallest x.
     """
     spark = vectors.sparkSession
-    found = vectors.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("w")).first()
-    n, width = found["n"], max(found["w"] or 0, 1)
+    largest = lambda df: df.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("w"), F.max(F.array_max(F.transform("x", F.abs))).alias("top")).first()
     queries = queries.groupBy("vec_id").agg(F.min("x").alias("x"))
-    n_queries = queries.count()
+    found, asked = largest(vectors), largest(queries)
+    n, n_queries = found["n"], asked["n"]
+    width = max(found["w"] or 0, asked["w"] or 0, 1)
+    dtype = "int16" if max(found["top"] or 0, asked["top"] or 0) < 1 << 15 else "int64"
     out = "query_id long, rank int, vec_id long, score long"
     if not n or not n_queries:
         return spark.createDataFrame([], out)
@@ -103,85 +111,93 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = K, block: int = BL
     def gather(key: str, with_bounds: bool):
         def blocks(pdf: pd.DataFrame) -> pd.DataFrame:
             m = _matrix(pdf["x"], width)
-            row = {key: [int(pdf[key].iloc[0])], "ids": [_pack(pdf["vec_id"].to_numpy())], "m": [_pack(m)]}
+            row = {key: [int(pdf[key].iloc[0])], "ids": [_pack(pdf["vec_id"].to_numpy())], "m": [_pack(m.astype(dtype))]}
             if with_bounds:
                 row |= {"high": [_pack(m.max(axis=0))], "low": [_pack(m.min(axis=0))]}
             return pd.DataFrame(row)
 
         return blocks
 
-    # ranges of the order, split further by id where many vectors are alike: no block grows past its share
-    spread = vectors.withColumn("__sign", signs).repartitionByRange(n_blocks, "__sign", "vec_id")
-    placed = spread.withColumn("block", F.spark_partition_id().cast("long"))
-    docs = stored(placed.select("block", "vec_id", "x").groupBy("block").applyInPandas(gather("block", True), "block long, ids binary, m binary, high binary, low binary"), "topk-blocks")
-    asked = queries.withColumn("qblock", F.pmod(F.xxhash64("vec_id"), F.lit(n_query_blocks)))
-    asks = stored(asked.groupBy("qblock").applyInPandas(gather("qblock", False), "qblock long, ids binary, m binary"), "topk-queries")
-
-    # bounds: summaries of all document blocks, in groups, against each query block
-    groups = max(1, math.ceil(n_blocks / 4096))
-    summaries = docs.select("block", "high", "low").withColumn("g", F.pmod("block", F.lit(groups)))
-    summary = summaries.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("block", "high", "low"))).alias("all"))
-    tiles = asks.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))).join(summary.hint("shuffle_hash"), "g")
-
-    def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples():
-                high = np.stack([_unpack(b["high"], width)[0] for b in r.all])
-                low = np.stack([_unpack(b["low"], width)[0] for b in r.all])
-                bound = _bounds(_unpack(r.m, width), high, low)
-                yield pd.DataFrame({"qblock": r.qblock, "block": [b["block"] for b in r.all], "bounds": [_pack(np.ceil(c).astype(np.int64)) for c in bound.T], "most": np.ceil(bound.max(axis=0)).astype(np.int64)})
-
-    bounds = stored(tiles.select("qblock", "m", "all").mapInPandas(plan, "qblock long, block long, bounds binary, most long"), "topk-bounds")
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Best k of one tile per query; queries whose bound is below their k-th so far are left out."""
-        for pdf in batches:
-            for r in pdf.itertuples():
-                q_ids, q = _unpack(r.q_ids, 1)[:, 0], _unpack(r.q, width)
-                ids, d = _unpack(r.ids, 1)[:, 0], _unpack(r.m, width)
-                rows = np.arange(len(q_ids))
-                if r.kth is not None:
-                    rows = rows[_unpack(r.bounds, 1)[:, 0] >= _unpack(r.kth, 1)[:, 0]]
-                scores = _scores(q[rows], d)
-                got = []
-                for i, s in zip(rows, scores, strict=True):
-                    others = np.flatnonzero(ids != q_ids[i])
-                    best = others[_best(k, ids[others], s[others])]
-                    got.append((np.full(len(best), q_ids[i]), ids[best], s[best]))
-                if got:
-                    a, b, c = (np.concatenate(x) for x in zip(*got, strict=True))
-                    yield pd.DataFrame({"qblock": r.qblock, "query_id": a, "vec_id": b, "score": c})
-
-    def tile(plan_rows: DataFrame, kth: DataFrame | None) -> DataFrame:
-        """Each tile gets its query block and its document block by two shuffles, then numpy."""
-        left = plan_rows.join(docs.select("block", "ids", "m").hint("merge"), "block")
-        queries_in = asks.select("qblock", F.col("ids").alias("q_ids"), F.col("m").alias("q"))
-        queries_in = queries_in.withColumn("kth", F.lit(None).cast("binary")) if kth is None else queries_in.join(kth.hint("merge"), "qblock", "left")
-        both = left.join(queries_in.hint("merge"), "qblock")
-        return both.select("qblock", "block", "q_ids", "q", "ids", "m", "kth", "bounds").mapInPandas(score, "qblock long, query_id long, vec_id long, score long")
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        best = _best(k, pdf["vec_id"].to_numpy(), pdf["score"].to_numpy())
-        return pdf.iloc[best].assign(rank=np.arange(1, len(best) + 1, dtype=np.int32))[["query_id", "rank", "vec_id", "score"]]
-
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("qblock").orderBy(F.desc("most"), "block")
-    ranked = bounds.withColumn("__r", F.row_number().over(order))
-    one = stored(tile(ranked.where(F.col("__r") <= first).drop("__r"), None), "topk-first")
+    # ranges of the order, split further by id where many vectors are alike; rows that share an id stay in one block
+    in_ranges = lambda df, parts, name: df.withColumn("__sign", signs).repartitionByRange(parts, "__sign", "vec_id").withColumn(name, F.spark_partition_id().cast("long")).select(name, "vec_id", "x")
+    docs = stored(in_ranges(vectors, n_blocks, "block").groupBy("block").applyInPandas(gather("block", True), "block long, ids binary, m binary, high binary, low binary"), "topk-blocks")
+    asks = stored(in_ranges(queries, n_query_blocks, "qblock").groupBy("qblock").applyInPandas(gather("qblock", False), "qblock long, ids binary, m binary"), "topk-queries")
+
+    # bounds: summaries of document blocks, in groups of their own tasks, against each query block
+    groups = max(1, math.ceil(n_blocks / GROUP))
+    summary = docs.select(F.pmod("block", F.lit(groups)).alias("g"), "block", "high", "low").groupBy("g").agg(F.sort_array(F.collect_list(F.struct("block", "high", "low"))).alias("all"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))
+
+    def plan(asks: DataFrame, best: int | None) -> DataFrame:
+        """Tiles (qblock, block, most): the ``best`` of each group, or all that a query still needs."""
+
+        def tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for r in pdf.itertuples():
+                    high = np.stack([_unpack(b["high"], width)[0] for b in r.all])
+                    low = np.stack([_unpack(b["low"], width)[0] for b in r.all])
+                    bound = _bounds(_unpack(r.m, width, dtype), high, low)
+                    most = np.ceil(bound.max(axis=0)).astype(np.int64)
+                    keep = np.argsort(-most, kind="stable")[:best] if best else np.flatnonzero((np.ceil(bound) >= _unpack(r.kth, 1)).any(axis=0))
+                    yield pd.DataFrame({"qblock": r.qblock, "block": [r.all[i]["block"] for i in keep], "most": most[keep]})
+
+        both = asks.withColumn("g", every).join(summary.hint("shuffle_hash"), "g")
+        return both.select("qblock", "m", "kth", "all").mapInPandas(tiles, "qblock long, block long, most long")
+
+    def visit(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Best k of each query in a chunk of document blocks, from the highest bound down."""
+        pdf = pdf.sort_values(["most", "block"], ascending=[False, True])
+        top = pdf.iloc[0]
+        q_ids, q = _unpack(top["q_ids"], 1)[:, 0], _unpack(top["q"], width, dtype)
+        least = np.iinfo(np.int64).min
+        kth = _unpack(top["kth"], 1)[:, 0].copy() if top["kth"] is not None else np.full(len(q_ids), least)
+        held: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(q_ids)
+        for r in pdf.itertuples():
+            bound = np.ceil(_bounds(q, _unpack(r.high, width), _unpack(r.low, width)))[:, 0]
+            rows = np.flatnonzero(bound >= kth)
+            if not len(rows):
+                continue
+            ids = _unpack(r.ids, 1)[:, 0]
+            for i, s in zip(rows.tolist(), _scores(q[rows], _unpack(r.m, width, dtype)), strict=True):
+                good = np.flatnonzero((s >= kth[i]) & (ids != q_ids[i]))
+                if not len(good):
+                    continue
+                old_ids, old = held[i]
+                new_ids, new = np.concatenate([old_ids, ids[good]]), np.concatenate([old, s[good]])
+                best = _best(k, new_ids, new)
+                held[i] = new_ids[best], new[best]
+                if len(best) == k:
+                    kth[i] = max(kth[i], new[best[-1]])
+        sizes = [len(i) for i, _ in held]
+        return pd.DataFrame({"qblock": int(top["qblock"]), "query_id": np.repeat(q_ids, sizes), "vec_id": np.concatenate([i for i, _ in held]), "score": np.concatenate([s for _, s in held])})
+
+    def visited(tiles: DataFrame, asks: DataFrame, chunks: int) -> DataFrame:
+        """Each tile gets its document block and its chunk the query block, by shuffles; then a task a chunk."""
+        left = tiles.join(docs.hint("merge"), "block").withColumn("chunk", F.pmod(F.xxhash64("block"), F.lit(chunks)))
+        both = left.join(asks.select("qblock", F.col("ids").alias("q_ids"), F.col("m").alias("q"), "kth").hint("merge"), "qblock")
+        return both.groupBy("qblock", "chunk").applyInPandas(visit, "qblock long, query_id long, vec_id long, score long")
+
+    begin = asks.withColumn("kth", F.lit(None).cast("binary"))
+    ranked = plan(begin, first).withColumn("__r", F.row_number().over(Window.partitionBy("qblock").orderBy(F.desc("most"), "block")))
+    seeds = stored(ranked.where(F.col("__r") <= first).drop("__r"), "topk-first-tiles")
+    one = stored(visited(seeds, begin, 1), "topk-first")
 
     # k-th score so far of every query, in the order of its block's ids
     best_so_far = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     kth = one.withColumn("__r", F.row_number().over(best_so_far)).where(F.col("__r") == k).select("qblock", "query_id", "score")
 
-    def thresholds(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = _unpack(pdf["ids"].iloc[0], 1)[:, 0]
-        known = dict(zip(pdf["query_id"], pdf["score"], strict=True))
+    def thresholds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         least = np.iinfo(np.int64).min
-        return pd.DataFrame({"qblock": [pdf["qblock"].iloc[0]], "kth": [_pack(np.array([known.get(i, least) for i in ids], np.int64))]})
-
-    kths = stored(asks.select("qblock", "ids").join(kth.hint("merge"), "qblock").groupBy("qblock").applyInPandas(thresholds, "qblock long, kth binary"), "topk-kth")
-    two = tile(ranked.where(F.col("__r") > first).drop("__r"), kths)
+        for pdf in batches:
+            known = [{e["query_id"]: e["score"] for e in known} if known is not None else {} for known in pdf["known"]]
+            kths = [_pack(np.array([of.get(i, least) for i in _unpack(ids, 1)[:, 0].tolist()], np.int64)) for of, ids in zip(known, pdf["ids"], strict=True)]
+            yield pdf[["qblock", "ids", "m"]].assign(kth=kths)
+
+    # no more entries than a block has queries
+    known = kth.groupBy("qblock").agg(F.collect_list(F.struct("query_id", "score")).alias("known"))
+    with_kth = stored(asks.join(known.hint("merge"), "qblock", "left").select("qblock", "ids", "m", "known").mapInPandas(thresholds, "qblock long, ids binary, m binary, kth binary"), "topk-kth")
+    rest = stored(plan(with_kth, None).join(seeds.select("qblock", "block").hint("merge"), ["qblock", "block"], "left_anti"), "topk-tiles")
+    two = visited(rest, with_kth, max(1, math.ceil(n_blocks / CHUNK)))
     final = one.unionByName(two).withColumn("rank", F.row_number().over(best_so_far)).where(F.col("rank") <= k)
     return final.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -186,13 +186,15 @@ def test_top_k(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(v) for v in rng.normal(size=8)]) for i in range(300)] + [(300 + i, [0.5] * 8) for i in range(30)]
     rows += [(400, None), (420, [float("nan")] * 8), (440, [1.0, None]), (460, [float("inf")]), (480, []), (500, [0.25, 0.5])]
+    rows += [(7, [0.5] * 8), (7, [0.5] * 8), (60, [0.5] * 8)]  # repeated ids: candidates each, a query once
     df = topk.quantize(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     got = {}
     for r in topk.top_k(df, df.where("vec_id % 20 = 0"), block=16, query_block=4, first=2).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    fine = {i: np.array([math.floor(64 * v) for v in x] + [0] * (8 - len(x))) for i, x in rows if x is not None and all(v is not None and math.isfinite(v) for v in x)}
-    for q in [i for i in fine if i % 20 == 0]:
-        best = sorted((-int(fine[q] @ fine[i]), i) for i in fine if i != q)[:20]
+    fine = [(i, [math.floor(64 * v) for v in x]) for i, x in rows if x is not None and all(v is not None and math.isfinite(v) for v in x)]
+    for q in {i for i, _ in fine if i % 20 == 0}:
+        own = min(x for i, x in fine if i == q)
+        best = sorted((-sum(a * b for a, b in zip(own, x)), i) for i, x in fine if i != q)[:20]
         assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert topk.top_k(df.limit(0), df).count() == 0
 
