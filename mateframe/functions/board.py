@@ -1,11 +1,14 @@
-"""Board geometry as column expressions: everything stays in generated code, no lookups, no UDFs.
+"""Board geometry as column expressions: everything stays in generated code, no joins, no UDFs.
 
-Squares count 0 to 63 (rank * 8 + file). A slot is one piece of a position: its type (P1 N2 B3
-R4 Q5 K6), whether it is white (1) or black (0), and its square.
+Squares count 0 to 63 (rank * 8 + file); -1 is off the board. A slot is one piece of a position:
+its type (P1 N2 B3 R4 Q5 K6), whether it is white (1) or black (0), and its square. Sets of
+squares are 64-bit masks. What a piece attacks is a mask by type and square, less the squares
+behind each other piece, a mask by two squares; both come from literal arrays, made by rule.
 """
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 from functools import reduce
 from operator import add, or_
@@ -23,11 +26,13 @@ class Slot:
     kind: Column
     white: Column
     square: Column
+    #: What the piece attacks, where that is a column already (see ``with_masks``).
+    mask: Column | None = None
 
     @staticmethod
-    def of(n: int) -> list[Slot]:
-        """Slots of columns t0.., c0.., s0.. ."""
-        return [Slot(F.col(f"t{i}"), F.col(f"c{i}"), F.col(f"s{i}")) for i in range(n)]
+    def of(n: int, masks: bool = False) -> list[Slot]:
+        """Slots of columns t0.., c0.., s0.. (and m0..)."""
+        return [Slot(F.col(f"t{i}"), F.col(f"c{i}"), F.col(f"s{i}"), F.col(f"m{i}") if masks else None) for i in range(n)]
 
 
 def rank(square: Column) -> Column:
@@ -51,40 +56,80 @@ def chebyshev(a: Column, b: Column) -> Column:
     return F.greatest(*distances(a, b))
 
 
-def between(a: Column, b: Column, x: Column) -> Column:
-    """x lies strictly inside the straight line from a to b.
+def _steps(square: int, df: int, dr: int, longest: int = 7) -> list[int]:
+    """Squares from ``square`` on in one direction."""
+    f, r = square % 8, square // 8
+    return [(r + k * dr) * 8 + f + k * df for k in range(1, longest + 1) if 0 <= f + k * df < 8 and 0 <= r + k * dr < 8]
 
-    Cross products instead of divisions: in ANSI mode those make generated methods too large.
-    """
-    fa, fb, fx, ra, rb, rx = file(a), file(b), file(x), rank(a), rank(b), rank(x)
-    on_line = (fx - fa) * (rb - ra) == (rx - ra) * (fb - fa)
-    inside = fx.between(F.least(fa, fb), F.greatest(fa, fb)) & rx.between(F.least(ra, rb), F.greatest(ra, rb))
-    return on_line & inside & (x != a) & (x != b)
-
-
-def reaches(slot: Slot, target: Column) -> Column:
-    """The piece attacks ``target`` on an otherwise empty board."""
-    dx, dy = distances(slot.square, target)
-    straight, diagonal = (dx == 0) | (dy == 0), dx == dy
-    forward = F.when(slot.white == 1, rank(target) - rank(slot.square)).otherwise(rank(slot.square) - rank(target))
-    return (target != slot.square) & (
-        F.when(slot.kind == PAWN, (dx == 1) & (forward == 1))
-        .when(slot.kind == KNIGHT, dx * dy == 2)
-        .when(slot.kind == BISHOP, diagonal)
-        .when(slot.kind == ROOK, straight)
-        .when(slot.kind == QUEEN, straight | diagonal)
-        .otherwise(F.greatest(dx, dy) == 1)
-    )
+
+def _signed(squares: list[int]) -> int:
+    bits = sum(1 << q for q in squares)
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+STRAIGHT, DIAGONAL = [(1, 0), (0, 1), (-1, 0), (0, -1)], [(1, 1), (-1, 1), (-1, -1), (1, -1)]
+LEAPS = [(x, y) for x in (-2, -1, 1, 2) for y in (-2, -1, 1, 2) if abs(x) != abs(y)]
+
+
+@functools.cache
+def _reach_table() -> str:
+    """Attacks on an empty board: row 0 black pawns, rows 1 to 6 the types (1: white pawns); place square + 1."""
+    rules = [([(1, -1), (-1, -1)], 1), ([(1, 1), (-1, 1)], 1), (LEAPS, 1), (DIAGONAL, 7), (STRAIGHT, 7), (STRAIGHT + DIAGONAL, 7), (STRAIGHT + DIAGONAL, 1)]
+    return ",".join(str(v) for ways, far in rules for v in [0, *(_signed([t for df, dr in ways for t in _steps(q, df, dr, far)]) for q in range(64))])
+
+
+@functools.cache
+def _behind_table() -> str:
+    """Squares behind a second square as seen from a first one: place (first + 1) * 65 + second + 1."""
+    rows = [[0] * 65 for _ in range(65)]
+    for q in range(64):
+        for df, dr in STRAIGHT + DIAGONAL:
+            ray = _steps(q, df, dr)
+            for i, t in enumerate(ray):
+                rows[q + 1][t + 1] = _signed(ray[i + 1 :])
+    return ",".join(str(v) for row in rows for v in row)
+
+
+def _at(table: str, place: Column) -> Column:
+    """An entry of a literal array, which the optimizer folds to a constant."""
+    return F.get(F.split(F.lit(table), ",").cast("array<bigint>"), place)
+
+
+def reach_mask(slot: Slot) -> Column:
+    """Squares that the piece attacks on an otherwise empty board."""
+    row = F.when((slot.kind == PAWN) & (slot.white != 1), 0).otherwise(slot.kind)
+    return _at(_reach_table(), row * 65 + slot.square + 1)
+
+
+def behind(first: Column, second: Column) -> Column:
+    return _at(_behind_table(), first * 65 + second + 66)
 
 
-def blockers(slot: Slot, target: Column, slots: list[Slot]) -> Column:
-    """How many other pieces stand between a sliding piece and ``target``."""
-    count = reduce(add, [F.when(between(slot.square, target, o.square), 1).otherwise(0) for o in slots if o is not slot], F.lit(0))
-    return F.when(slot.kind.isin(BISHOP, ROOK, QUEEN), count).otherwise(F.lit(0))
+def _or(masks: list[Column]) -> Column:
+    return reduce(lambda a, b: a.bitwiseOR(b), masks, F.lit(0).cast("long"))
+
+
+def attack_mask(slot: Slot, slots: list[Slot]) -> Column:
+    """Squares that the piece attacks; other pieces hide what lies behind them (for steps and leaps nothing does)."""
+    if slot.mask is not None:
+        return slot.mask
+    return reach_mask(slot).bitwiseAND(F.bitwise_not(_or([behind(slot.square, o.square) for o in slots if o is not slot])))
+
+
+def xray_mask(slot: Slot, slots: list[Slot]) -> Column:
+    """Squares that a sliding piece would attack if exactly one piece in between were gone."""
+    hidden = [behind(slot.square, o.square) for o in slots if o is not slot]
+    twice = _or([a.bitwiseAND(b) for i, a in enumerate(hidden) for b in hidden[:i]])
+    return reach_mask(slot).bitwiseAND(_or(hidden)).bitwiseAND(F.bitwise_not(twice))
+
+
+def has(mask: Column, square: Column) -> Column:
+    """The square is in the mask; one off the board never is."""
+    return (square >= 0) & (F.getbit(mask, F.greatest(square, F.lit(0))) == 1)
 
 
 def attacks(slot: Slot, target: Column, slots: list[Slot]) -> Column:
-    return reaches(slot, target) & (blockers(slot, target, slots) == 0)
+    return has(attack_mask(slot, slots), target)
 
 
 def attack_count(slots: list[Slot], target: Column, white: Column) -> Column:
@@ -92,6 +137,12 @@ def attack_count(slots: list[Slot], target: Column, white: Column) -> Column:
     return reduce(add, [F.when((s.white == white) & attacks(s, target, slots), 1).otherwise(0) for s in slots])
 
 
+def with_masks(df: DataFrame, n: int) -> DataFrame:
+    """Add m0.., what each piece attacks, as columns; ``Slot.of(n, masks=True)`` then uses them."""
+    slots = Slot.of(n)
+    return fixed(df, **{f"m{i}": attack_mask(s, slots) for i, s in enumerate(slots)})
+
+
 def fixed(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns as plain attributes.
 
@@ -117,15 +168,14 @@ def king(white: Column | int) -> Column:
 
 def in_check(slots: list[Slot], white: Column | int) -> Column:
     """The king of one side is attacked."""
-    side = white
-    by = lambda w: reduce(or_, [(s.white == 1 - w) & attacks(s, F.col(f"k{w}"), slots) for s in slots])
-    return by(white) if isinstance(white, int) else F.when(side == 1, by(1)).otherwise(by(0))
+    return reduce(or_, [(s.white == 1 - white) & attacks(s, king(white), slots) for s in slots])
 
 
 def pinned(slot: Slot, slots: list[Slot]) -> Column:
     """A slider of the other side would attack this piece's king if the piece were gone."""
-    by = lambda own: reduce(or_, [(a.white != slot.white) & a.kind.isin(BISHOP, ROOK, QUEEN) & reaches(a, own) & (blockers(a, own, slots) == 1) & between(a.square, own, slot.square) for a in slots if a is not slot], F.lit(False))
-    return (slot.kind != KING) & F.when(slot.white == 1, by(F.col("k1"))).otherwise(by(F.col("k0")))
+    own = king(slot.white)
+    by = [(a.white != slot.white) & has(xray_mask(a, slots).bitwiseAND(behind(a.square, slot.square)), own) for a in slots if a is not slot]
+    return (slot.kind != KING) & F.coalesce(reduce(or_, by, F.lit(False)), F.lit(False))
 
 
 def turned(square: Column, image: int) -> Column:
@@ -137,15 +187,34 @@ def turned(square: Column, image: int) -> Column:
     return r * 8 + f
 
 
-def packed(slots: list[Slot], turn: Column, image: int = 0) -> Column:
-    """A position as one number: turn (0 white), then the sorted pieces, 10 bits each.
+@functools.cache
+def _turn_table() -> str:
+    """``turned`` of each square: place image * 64 + square."""
+    out = []
+    for image in range(8):
+        for q in range(64):
+            f, r = (7 - q % 8 if image >= 4 else q % 8), q // 8
+            for _ in range(image % 4):
+                f, r = r, 7 - f
+            out.append(r * 8 + f)
+    return ",".join(map(str, out))
+
+
+def packed_images(slots: list[Slot], turn: Column, of: list[int]) -> Column:
+    """Array of a position's keys, one per symmetric image.
 
-    A piece is colour, type, rank, file; black sorts first. Smaller numbers are smaller keys.
+    A key is one number: turn (0 white), then the sorted pieces, 10 bits each. A piece is colour,
+    type, rank, file; white sorts first. Smaller numbers are smaller keys.
     """
-    piece = [s.white.cast("long") * 512 + s.kind.cast("long") * 64 + turned(s.square, image) for s in slots]
-    ordered = F.array_sort(F.array(*piece))
-    number = reduce(lambda a, i: a * 1024 + F.get(ordered, F.lit(i)), range(len(slots)), F.when(turn == 1, F.lit(0)).otherwise(F.lit(1)).cast("long"))
-    return number
+    first = F.when(turn == 1, F.lit(0)).otherwise(F.lit(1)).cast("long")
+    piece = lambda s, image: (1 - s.white.cast("long")) * 512 + s.kind.cast("long") * 64 + _at(_turn_table(), image * 64 + s.square)
+    key = lambda image: F.aggregate(F.sort_array(F.array(*[piece(s, image) for s in slots])), first, lambda a, x: a * 1024 + x)
+    return F.transform(F.array(*map(F.lit, of)), key)
+
+
+def packed(slots: list[Slot], turn: Column, image: int = 0) -> Column:
+    """A position's key, as it stands or as one of its images."""
+    return F.get(packed_images(slots, turn, [image]), F.lit(0))
 
 
 def images(mode: str) -> list[int]:
@@ -155,7 +224,7 @@ def images(mode: str) -> list[int]:
 
 def canonical_key(slots: list[Slot], turn: Column, mode: str = "auto") -> Column:
     """The smallest key over a position's images; ``auto`` keeps ranks where there are pawns."""
-    least = lambda m: F.least(*[packed(slots, turn, i) for i in images(m)]) if m != "none" else packed(slots, turn)
+    least = lambda m: F.array_min(packed_images(slots, turn, images(m)))
     if mode != "auto":
         return least(mode)
     pawns = reduce(or_, [s.kind == PAWN for s in slots])

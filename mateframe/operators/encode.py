@@ -8,7 +8,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.board import KING, PAWN, Slot, attack_count, attacks, chebyshev, distances, file, images, manhattan, move_distance, packed, pinned, rank
+from ..functions.board import KING, PAWN, Slot, attack_count, attack_mask, chebyshev, distances, file, fixed, has, images, manhattan, move_distance, packed_images, pinned, rank, with_kings, with_masks, xray_mask
 
 
 def flip(df: DataFrame, n: int) -> DataFrame:
@@ -27,13 +27,15 @@ def normalised(df: DataFrame, n: int) -> DataFrame:
 def orbit(df: DataFrame, n: int, mode: str = "dihedral") -> DataFrame:
     """One row per symmetric image: image, image_key."""
     slots = Slot.of(n)
-    keys = F.array(*[F.struct(F.lit(i).alias("image"), packed(slots, F.col("turn"), i).alias("image_key")) for i in images(mode)])
+    of = images(mode)
+    keys = F.transform(packed_images(slots, F.col("turn"), of), lambda key, i: F.struct(F.get(F.array(*map(F.lit, of)), i).alias("image"), key.alias("image_key")))
     return df.select("*", F.inline(keys))
 
 
 def canonical_form(slots: list[Slot], turn: Column, mode: str = "dihedral") -> Column:
     """(key, image) of the smallest image; of equal ones the first."""
-    return F.array_min(F.array(*[F.struct(packed(slots, turn, i).alias("key"), F.lit(i).alias("image")) for i in images(mode)]))
+    of = images(mode)
+    return F.array_min(F.transform(packed_images(slots, turn, of), lambda key, i: F.struct(key.alias("key"), F.get(F.array(*map(F.lit, of)), i).alias("image"))))
 
 
 def board_array(slots: list[Slot]) -> Column:
@@ -103,7 +105,8 @@ def tactics(slots: list[Slot], version: int) -> Column:
 
 def safe_squares(s: Slot, slots: list[Slot]) -> Column:
     """Squares a piece attacks that the other side doesn't."""
-    return F.size(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda q: attacks(s, q, slots) & (attack_count(slots, q, 1 - s.white) == 0)))
+    theirs = reduce(lambda a, b: a.bitwiseOR(b), [F.when(o.white != s.white, attack_mask(o, slots)).otherwise(F.lit(0).cast("long")) for o in slots])
+    return F.bit_count(attack_mask(s, slots).bitwiseAND(F.bitwise_not(theirs)))
 
 
 def encode(df: DataFrame, n: int, version: int, *, moves: bool = False, name: str = "x") -> DataFrame:
@@ -113,13 +116,10 @@ def encode(df: DataFrame, n: int, version: int, *, moves: bool = False, name: st
     six relation flags to each pair. Needs k1 and k0 from version 6 on, for the normalised view.
     """
     view = normalised(df, n) if version >= 4 else df
+    slots, rest = Slot.of(n), view.columns
     if version >= 6:
-        from ..functions.board import with_kings
-
-        view = with_kings(view, n)
-    slots = Slot.of(n)
-    rest = [c for c in view.columns]
-    view = view.withColumn("__tactics", tactics(slots, version)) if version >= 6 else view
+        view = with_masks(with_kings(view, n), n)
+        view = view.withColumn("__tactics", tactics(Slot.of(n, masks=True), version))
     view = view.select(*rest, *(["__tactics"] if version >= 6 else []), F.explode(F.array(ordered_pieces(slots, version))).alias("__p"))
     extra = F.col("__tactics") if version >= 6 else None
     pieces = F.flatten(F.transform("__p", lambda p: _piece_features(p, version, extra)))
@@ -149,18 +149,17 @@ def one_hot(slots: list[Slot], full: bool = False) -> Column:
     return F.array_sort(F.array(*[plane(i, s) * 64 + s.square for i, s in enumerate(slots)]))
 
 
-def attack_edges(df: DataFrame, n: int, keep: list[str]) -> DataFrame:
-    """One row per attacked square of each piece: keep..., src, dst, white."""
-    reach = _edges(Slot.of(n))
-    return df.select(*keep, F.explode(reach).alias("e")).select(*keep, "e.*")
-
-
-def _edges(slots: list[Slot], test=attacks) -> Column:
-    def of(s: Slot) -> Column:
-        squares = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda q: test(s, q, slots))
-        return F.transform(squares, lambda q: F.struct(s.square.alias("src"), q.alias("dst"), s.white.alias("white")))
+def attack_edges(df: DataFrame, n: int, keep: list[str], xray: bool = False) -> DataFrame:
+    """One row per attacked square of each piece: keep..., src, dst, white.
 
-    return F.concat(*[of(s) for s in slots])
+    ``xray`` adds ``channel``: 1 as above, 2 for squares behind exactly one piece.
+    """
+    slots = Slot.of(n)
+    row = lambda s, mask, channel: F.struct(s.square.alias("src"), s.white.alias("white"), F.lit(channel).alias("channel"), mask.alias("mask"))
+    seen = [row(s, attack_mask(s, slots), 1) for s in slots] + ([row(s, xray_mask(s, slots), 2) for s in slots] if xray else [])
+    rows = df.select(*keep, F.explode(F.array(*seen)).alias("__p")).select(*keep, "__p.*")
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("dst")).where(has(F.col("mask"), F.col("dst")))
+    return rows.select(*keep, "src", "dst", "white", *(["channel"] if xray else []))
 
 
 def square_features(df: DataFrame, n: int, keep: list[str]) -> DataFrame:
@@ -169,15 +168,15 @@ def square_features(df: DataFrame, n: int, keep: list[str]) -> DataFrame:
     Flags: 1 king to move in check, 2 pinned, 4 not attacked by the other side, 8 attacked and
     not defended, 16 defended. An empty square counts as the side to move's.
     """
-    slots = Slot.of(n)
-    df = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("square"))
+    plain, slots = Slot.of(n), Slot.of(n, masks=True)
+    pins = reduce(lambda a, b: a.bitwiseOR(b), [F.when(pinned(s, plain), F.expr(f"shiftleft(1L, s{i})")).otherwise(F.lit(0).cast("long")) for i, s in enumerate(plain)])
+    df = fixed(with_masks(df, n), __pins=pins).select("*", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("square"))
     q = F.col("square")
     white, black = attack_count(slots, q, F.lit(1)), attack_count(slots, q, F.lit(0))
-    mask = reduce(lambda a, b: a.bitwiseOR(b), [F.when(attacks(s, q, slots), F.pow(F.lit(2.0), s.kind - 1).cast("int")).otherwise(0) for s in slots])
+    mask = reduce(lambda a, b: a.bitwiseOR(b), [F.when(has(s.mask, q), F.pow(F.lit(2.0), s.kind - 1).cast("int")).otherwise(0) for s in slots])
     owner = F.coalesce(*[F.when(s.square == q, s.white) for s in slots])
     piece = F.coalesce(*[F.when(s.square == q, F.when(s.white == 1, s.kind).otherwise(s.kind + 6)) for s in slots], F.lit(0))
-    pin = reduce(lambda a, b: a | b, [(s.square == q) & pinned(s, slots) for s in slots])
-    df = df.select(*keep, "square", "turn", "k1", "k0", piece.alias("piece"), owner.alias("__owner"), white.alias("white_atk"), black.alias("black_atk"), mask.alias("mask"), pin.alias("__pin"))
+    df = df.select(*keep, "square", "turn", "k1", "k0", piece.alias("piece"), owner.alias("__owner"), white.alias("white_atk"), black.alias("black_atk"), mask.alias("mask"), has(F.col("__pins"), q).alias("__pin"))
     who = F.coalesce("__owner", "turn")
     theirs, ours = F.when(who == 1, F.col("black_atk")).otherwise(F.col("white_atk")), F.when(who == 1, F.col("white_atk")).otherwise(F.col("black_atk"))
     bit = lambda test, value: F.when(test, value).otherwise(0)

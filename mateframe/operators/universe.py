@@ -9,20 +9,19 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.board import KING, LETTERS, PAWN, Slot, canonical_key, chebyshev, fixed, in_check, king, packed, rank, with_kings
+from ..functions.board import KING, LETTERS, PAWN, Slot, canonical_key, chebyshev, fixed, in_check, king, packed, rank, with_kings, with_masks
 
 
 def unrank_permutation(n: int, index: Column, squares: int = 64) -> Column:
-    """Array of the squares of the ordered selection with this lexicographic rank."""
-    blocks = F.array(*[F.lit(math.perm(squares - i - 1, n - i - 1)) for i in range(n)])
+    """Array of the squares of the ordered selection with this lexicographic rank.
 
-    def pick(taken: Column, i: Column) -> Column:
-        block = F.get(blocks, i)
-        nth = F.floor((index % (block * (squares - i))) / block).cast("int")
-        # the nth free square: step over taken ones in rising order
-        return F.concat(taken, F.array(F.aggregate(F.array_sort(taken), nth, lambda s, t: F.when(s >= t, s + 1).otherwise(s))))
-
-    return F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.array().cast("array<int>"), pick)
+    The rank's digits count free squares. From the last digit back, each square that isn't below
+    an earlier digit steps over it.
+    """
+    found = [F.floor(index % math.perm(squares - i, n - i) / math.perm(squares - i - 1, n - i - 1)).cast("int") for i in range(n)]
+    for i in range(n - 2, -1, -1):
+        found[i + 1 :] = [s + (s >= found[i]).cast("int") for s in found[i + 1 :]]
+    return F.array(*found)
 
 
 def unrank_combination(k: int, index: Column, squares: int = 64) -> Column:
@@ -111,8 +110,7 @@ def ascending_twins(slots: list[Slot]) -> Column:
 
 def legal(slots: list[Slot], turn: Column) -> Column:
     """Kings apart, and the side that has just moved is not in check."""
-    apart = chebyshev(king(1), king(0)) > 1
-    return apart & F.when(turn == 1, ~in_check(slots, 0)).otherwise(~in_check(slots, 1))
+    return (chebyshev(king(1), king(0)) > 1) & ~in_check(slots, 1 - turn)
 
 
 def is_canonical(slots: list[Slot], turn: Column, mode: str = "auto") -> Column:
@@ -120,10 +118,17 @@ def is_canonical(slots: list[Slot], turn: Column, mode: str = "auto") -> Column:
     return packed(slots, turn) == canonical_key(slots, turn, mode)
 
 
-def positions(df: DataFrame, n: int) -> DataFrame:
-    """Cheap filters first, legality last; all in one stage."""
+def canonical(df: DataFrame, n: int, mode: str = "auto") -> DataFrame:
+    """The rows of canonical positions; keys are worked out once, as columns, and dropped."""
     slots = Slot.of(n)
-    return df.where(ascending_twins(slots)).where(no_edge_pawns(slots)).where(legal(slots, F.col("turn")))
+    keyed = fixed(df, __own=packed(slots, F.col("turn")), __key=canonical_key(slots, F.col("turn"), mode))
+    return keyed.where("__own = __key").drop("__own", "__key")
+
+
+def positions(df: DataFrame, n: int) -> DataFrame:
+    """Cheap filters first, legality last, on masks worked out for what is left."""
+    cheap = df.where(ascending_twins(Slot.of(n))).where(no_edge_pawns(Slot.of(n)))
+    return with_masks(cheap, n).where(legal(Slot.of(n, masks=True), F.col("turn"))).drop(*[f"m{i}" for i in range(n)])
 
 
 def material(slots: list[Slot]) -> Column:
@@ -164,7 +169,3 @@ def config_category(config: Column) -> Column:
     return (
         F.when(bare, "draw").when(heavy, "easy").when(config.contains("P"), "promotion").when(F.length(white) == F.length(black), "complex").otherwise("promotion")
     )
-
-
-def is_king(slot: Slot) -> Column:
-    return slot.kind == KING

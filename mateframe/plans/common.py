@@ -79,7 +79,7 @@ def sql_image(s: str, image: int) -> str:
 
 
 def sql_key(image: int) -> str:
-    pieces = ", ".join(f"c{i} * 512 + t{i} * 64 + {sql_image(f's{i}', image)}" for i in range(3))
+    pieces = ", ".join(f"(1 - c{i}) * 512 + t{i} * 64 + {sql_image(f's{i}', image)}" for i in range(3))
     return f"list_reduce(list_sort([{pieces}]), lambda a, x: a * 1024 + x, CAST(1 - turn AS BIGINT))"
 
 

@@ -18,7 +18,7 @@ from ..operators import universe as U
 from ..sources import logs, npz
 from ..streaming import streams
 from .audit import event_classes
-from .common import LEGAL, POS, indexed, placements, sql_attack, table
+from .common import LEGAL, POS, indexed, placements, sql_attack, sql_between, table
 
 
 def _place(spark, name):
@@ -136,11 +136,8 @@ def c19_moves(spark, d):
 
 
 def c20_channels(spark, d):
-    """Influence and x-ray edges of the middle piece: nothing, or exactly one piece, in between."""
-    s = Slot.of(3)
-    q = F.sequence(F.lit(0), F.lit(63))
-    count = lambda k: F.size(F.filter(q, lambda t: B.reaches(s[1], t) & (B.blockers(s[1], t, s) == k)))
-    return placements(spark, d).select("id", count(0).alias("influence"), count(1).alias("xray"))
+    """Influence and x-ray edges of all pieces: nothing, or exactly one piece, in between."""
+    return E.attack_edges(placements(spark, d), 3, ["id"], xray=True).select("id", "channel", "src", "dst")
 
 
 def c25_adjacency(spark, d):
@@ -228,7 +225,12 @@ def k4_dedup(spark, d):
 _EV = "ev AS (SELECT event_id, user_id, value, event_id % 3 AS t, CASE WHEN value - 50 > 25 THEN 2 WHEN value - 50 < -25 THEN 0 ELSE 1 END AS p FROM events)"
 _MICRO = "WITH g AS (SELECT o_orderpriority AS config, CAST(count(*) FILTER (o_totalprice > 150000) AS BIGINT) AS correct, count(*) AS total FROM orders GROUP BY 1) SELECT config, correct, total, round(CAST(correct AS DOUBLE) / total, 6) AS accuracy FROM g UNION ALL SELECT 'micro', CAST(sum(correct) AS BIGINT), CAST(sum(total) AS BIGINT), round(CAST(sum(correct) AS DOUBLE) / sum(total), 6) FROM g UNION ALL SELECT 'macro', CAST(sum(correct) AS BIGINT), CAST(sum(total) AS BIGINT), round(avg(CAST(correct AS DOUBLE) / total), 6) FROM g"
 
-
+_REACH = "CASE t{i} WHEN 1 THEN false WHEN 5 THEN s{i} % 8 = q % 8 OR s{i} // 8 = q // 8 OR abs(s{i} % 8 - q % 8) = abs(s{i} // 8 - q // 8) WHEN 4 THEN s{i} % 8 = q % 8 OR s{i} // 8 = q // 8 ELSE false END"
+_PASSED = lambda i: " + ".join(f"CAST({sql_between(f's{i}', 'q', f's{j}')} AS INT)" for j in range(3) if j != i)
+_CHANNELS = f"WITH {POS} " + " UNION ALL ".join(
+    f"SELECT id, 1 AS channel, s{i} AS src, CAST(q AS INTEGER) AS dst FROM p, range(64) t(q) WHERE {sql_attack(i, 'q')} UNION ALL SELECT id, 2, s{i}, CAST(q AS INTEGER) FROM p, range(64) t(q) WHERE q <> s{i} AND {_REACH.format(i=i)} AND {_PASSED(i)} = 1"
+    for i in range(3)
+)
 
 QUERIES = {
     "a9_available": (a9_available, "SELECT CASE o_orderkey % 3 WHEN 0 THEN 'KQvK' WHEN 1 THEN 'KRvK' ELSE 'KPvK' END AS config, o_orderkey % 2 = 0 AS canonical, count(*) AS n FROM orders GROUP BY 1, 2"),
@@ -247,7 +249,7 @@ QUERIES = {
     "c12_encode_v6": (_tactical(6), None),
     "c13_encode_v7": (_tactical(7), None),
     "c19_moves": (c19_moves, None),
-    "c20_channels": (c20_channels, None),
+    "c20_channels": (c20_channels, _CHANNELS),
     "c25_adjacency": (c25_adjacency, f"""WITH {POS}, e AS ({" UNION ALL ".join(f"SELECT config, s{i} AS a, q AS b FROM p, range(64) t(q) WHERE {sql_attack(i, 'q')}" for i in range(3))}),
 w AS (SELECT config, unnest([16, 17, 18, 19]) AS channel, unnest([CAST(b % 8 - a % 8 AS DOUBLE) / 7, CAST(b // 8 - a // 8 AS DOUBLE) / 7, CAST(abs(b % 8 - a % 8) + abs(b // 8 - a // 8) AS DOUBLE) / 14, CAST(greatest(abs(b % 8 - a % 8), abs(b // 8 - a // 8)) AS DOUBLE) / 7]) AS w FROM e)
 SELECT config, channel, count(*) AS n, round(sum(w), 3) AS w FROM w GROUP BY 1, 2"""),

@@ -102,7 +102,7 @@ def b3_legal(spark, d):
 
 
 def b4_canonical(spark, d):
-    return _legal(spark, d).where(U.is_canonical(S, F.col("turn"))).groupBy("config").agg(F.count("*").alias("n"))
+    return U.canonical(_legal(spark, d), 3).groupBy("config").agg(F.count("*").alias("n"))
 
 
 def b6_material(spark, d):
@@ -212,7 +212,9 @@ def c28_mirror(spark, d):
 
 def e13_reduction(spark, d):
     keys = _legal(spark, d).select("config", B.packed(S, F.col("turn")).alias("own"), B.canonical_key(S, F.col("turn")).alias("key"))
-    out = keys.groupBy("config").agg(F.count_distinct("own").alias("valid"), F.count_distinct("key").alias("unique_keys"))
+    # each position once, then its orbits: one key to count after the other instead of both from one expanded table
+    orbits = keys.distinct().groupBy("config", "key").agg(F.count("*").alias("n"))
+    out = orbits.groupBy("config").agg(F.sum("n").alias("valid"), F.count("*").alias("unique_keys"))
     return out.withColumn("reduction", F.round(1 - F.col("unique_keys") / F.col("valid"), 6))
 
 

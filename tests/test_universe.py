@@ -81,14 +81,80 @@ def ray_attacks(kind, white, square, occupied):
     return {(r + b) * 8 + f + a for a, b in jumps if 0 <= f + a < 8 and 0 <= r + b < 8}
 
 
-def test_attacks_by_walking(some):
+MEN = ["KRvK", "KBNvK", "KRvKP", "KBBvKN", "KQPvKR"]
+
+
+@pytest.fixture(scope="module", params=MEN)
+def spread(request, spark):
+    """(number of pieces, some placements from all over a space, legal or not)."""
+    n = len(U.pieces_of(request.param))
+    ranks = spark.range(250).select(U.full_cycle(F.col("id"), 11, 1_000_003, math.perm(64, n)).alias("idx"), F.lit(request.param).alias("config"))
+    return n, U.both_turns(U.placed(ranks, [request.param], U.unrank_permutation(n, F.col("idx")))).cache()
+
+
+def walked(p, i, n, others=None):
+    occupied = {p[f"s{j}"] for j in range(n) if j != i} if others is None else others
+    return ray_attacks(p[f"t{i}"], p[f"c{i}"], p[f"s{i}"], occupied)
+
+
+def test_attacks_by_walking(spread):
+    """Attacked squares, and those behind exactly one piece, which are attacked once that piece is gone."""
+    n, df = spread
     edges = {}
-    for r in E.attack_edges(some, 3, ["idx", "turn"]).collect():
-        edges.setdefault((r["idx"], r["turn"], r["src"]), set()).add(r["dst"])
-    for p in some.collect():
-        occupied = {p[f"s{i}"] for i in range(3)}
-        for i in range(3):
-            assert edges.get((p["idx"], p["turn"], p[f"s{i}"]), set()) == ray_attacks(p[f"t{i}"], p[f"c{i}"], p[f"s{i}"], occupied)
+    for r in E.attack_edges(df, n, ["idx", "turn"], xray=True).collect():
+        edges.setdefault((r["idx"], r["turn"], r["src"], r["channel"]), set()).add(r["dst"])
+    for p in df.collect():
+        for i in range(n):
+            open_, others = walked(p, i, n), {p[f"s{j}"] for j in range(n) if j != i}
+            key = (p["idx"], p["turn"], p[f"s{i}"])
+            behind = set().union(*(walked(p, i, n, others - {o}) for o in others)) - open_
+            assert (edges.get((*key, 1), set()), edges.get((*key, 2), set())) == (open_, behind)
+
+
+def test_legal_and_pinned_by_walking(spread):
+    n, df = spread
+    slots = Slot.of(n)
+    sliders = {c for t, c in U.pieces_of(df.first()["config"]) if 3 <= t <= 5}
+    pins = [B.pinned(s, slots).alias(f"pin{i}") for i, s in enumerate(slots)]
+    some_pinned = False
+    for p in df.select("*", U.legal(slots, F.col("turn")).alias("legal"), *pins).collect():
+        kings = {p[f"c{i}"]: p[f"s{i}"] for i in range(n) if p[f"t{i}"] == 6}
+        apart = max(abs(kings[0] % 8 - kings[1] % 8), abs(kings[0] // 8 - kings[1] // 8)) > 1
+        left = 1 - p["turn"]
+        assert p["legal"] == (apart and not any(p[f"c{i}"] != left and kings[left] in walked(p, i, n) for i in range(n)))
+        for i in range(n):
+            own = kings[p[f"c{i}"]]
+            gone = {p[f"s{j}"] for j in range(n) if j != i}
+            want = p[f"t{i}"] != 6 and any(p[f"c{j}"] != p[f"c{i}"] and own not in walked(p, j, n) and own in walked(p, j, n, gone - {p[f"s{j}"]}) for j in range(n) if j != i)
+            assert p[f"pin{i}"] == want
+            some_pinned |= want
+    assert some_pinned or len(sliders) < 2
+
+
+def test_tactics_by_walking(spread):
+    """Pinned, attackers, defenders, hanging, safe squares and king of versions 6 and 7, piece by piece."""
+    n, df = spread
+    slots = Slot.of(n)
+    for p in df.select("*", E.tactics(slots, 7).alias("f"), *[B.pinned(s, slots).alias(f"pin{i}") for i, s in enumerate(slots)]).limit(60).collect():
+        for i in range(n):
+            q, white = p[f"s{i}"], p[f"c{i}"]
+            on = lambda square, side: sum(p[f"c{j}"] == side and square in walked(p, j, n) for j in range(n))
+            safe = sum(on(t, 1 - white) == 0 for t in walked(p, i, n))
+            want = [float(p[f"pin{i}"]), min(on(q, 1 - white) / 3, 1.0), min(on(q, white) / 3, 1.0), float(on(q, 1 - white) > on(q, white)), min(safe / 14, 1.0), float(p[f"t{i}"] == 6)]
+            assert p["f"][q] == pytest.approx(want)
+
+
+def test_keys_by_hand(spark):
+    """White sorts first, then the type, the rank and the file; the side to move leads."""
+    df = U.placed(spark.createDataFrame([("KQvK", [0, 63, 10])], "config string, q array<int>"), ["KQvK"], F.col("q")).withColumn("turn", F.lit(0))
+    key = 1
+    for white, kind, square in [(1, 5, 63), (1, 6, 0), (0, 6, 10)]:
+        key = key * 1024 + (1 - white) * 512 + kind * 64 + square
+    found = df.select(B.packed(Slot.of(3), F.col("turn")).alias("key"), E.canonical_form(Slot.of(3), F.col("turn")).alias("form")).first()
+    assert found["key"] == key
+    # the queen on the lowest square, a1, is the least piece: half a turn brings it there, and of the
+    # two images that do, the one with black's king on the lower square is the smaller
+    assert found["form"]["key"] == ((1 * 1024 + 5 * 64) * 1024 + 6 * 64 + 63) * 1024 + 512 + 6 * 64 + min(53, 46)
 
 
 def test_moves_by_walking(some):
@@ -116,19 +182,3 @@ def test_terminal_by_walking(some):
         if p["idx"] in ended:
             occupied = {p[f"s{i}"] for i in range(3)}
             assert ended[p["idx"]] == any(p["s2"] in ray_attacks(p[f"t{i}"], 1, p[f"s{i}"], occupied) for i in range(2))
-
-
-def test_influence_and_xray_by_walking(some):
-    """Squares of the rook with nothing, and with exactly one piece, in between."""
-    s, squares = Slot.of(3), F.sequence(F.lit(0), F.lit(63))
-    seen = lambda k: F.array_sort(F.filter(squares, lambda q: B.reaches(s[1], q) & (B.blockers(s[1], q, s) == k)))
-    for p in some.select("s0", "s1", "s2", seen(0).alias("open"), seen(1).alias("xray")).limit(80).collect():
-        want = {0: set(), 1: set()}
-        for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1)):
-            x, y, passed = p["s1"] % 8 + a, p["s1"] // 8 + b, 0
-            while 0 <= x < 8 and 0 <= y < 8:
-                if passed < 2:
-                    want[passed].add(y * 8 + x)
-                passed += y * 8 + x in (p["s0"], p["s2"])
-                x, y = x + a, y + b
-        assert (set(p["open"]), set(p["xray"])) == (want[0], want[1])
