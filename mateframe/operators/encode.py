@@ -188,6 +188,10 @@ def square_features(df: DataFrame, n: int, keep: list[str]) -> DataFrame:
     return df.select(*keep, "square", "piece", "white_atk", "black_atk", "mask", flags.alias("flags"))
 
 
+#: Most edges that a board keeps.
+EDGES = 1024
+
+
 def pack_edge(kind: Column, src: Column, dst: Column) -> Column:
     return F.shiftleft(kind, 12).bitwiseOR(F.shiftleft(src, 6)).bitwiseOR(dst)
 

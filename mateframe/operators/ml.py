@@ -30,17 +30,8 @@ def score(df: DataFrame, load: Callable[[], Callable[[np.ndarray], np.ndarray]],
     return df.select(key, x).mapInPandas(run, f"{key} long, probs array<double>, pred int")
 
 
-def onnx_model(path: str) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
-    """A loader for ``score`` from an ONNX file that tasks can read."""
-
-    def load():
-        import onnxruntime
-
-        session = onnxruntime.InferenceSession(path)
-        name = session.get_inputs()[0].name
-        return lambda x: session.run(None, {name: x})[0]
-
-    return load
+def features(df: DataFrame, x: str = "x") -> DataFrame:
+    return df.withColumn("features", array_to_vector(x))
 
 
 def fit(df: DataFrame, *, label: str, x: str = "x", reg: float = 0.01, weight: str | None = None):

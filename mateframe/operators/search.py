@@ -1,4 +1,4 @@
-"""Moves as tables: successors, terminal positions, backup and retrograde labels (no castling, no en passant)."""
+"""Moves as tables: successors, terminal positions, the first score of a cascade (no castling, no en passant)."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from operator import and_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.board import PAWN, Slot, attacks, canonical_key, fixed, in_check, rank, with_kings
+from ..functions.board import PAWN, Slot, attacks, fixed, in_check, rank, with_kings
 
 
 def successors(df: DataFrame, n: int, keep: list[str]) -> DataFrame:
@@ -59,10 +59,6 @@ def terminal(df: DataFrame, n: int, keys: list[str]) -> DataFrame:
     return df.join(moving.hint("merge"), keys, "left_anti").withColumn("checked", checked)
 
 
-def child_key(n: int):
-    return canonical_key(Slot.of(n), F.col("turn"))
-
-
 def cascade_score(df: DataFrame, terminal_score: str, oracle: str, model: str, draw: float = 1.0) -> DataFrame:
     """First of: terminal score, oracle (material changed), model, draw."""
     return df.withColumn("score", F.coalesce(terminal_score, oracle, model, F.lit(draw)))

@@ -72,6 +72,16 @@ def write_shards(df: DataFrame, path: str, rows: int, by: str | None = None) ->
     (writer.partitionBy(by) if by else writer).parquet(path)
 
 
-def manifest(df: DataFrame, **fields: str) -> DataFrame:
-    """One row that describes a data set: rows, configurations, fields as given."""
-    return df.agg(F.count("*").alias("total_positions"), F.count_distinct("config").alias("configs"), *[F.lit(v).alias(k) for k, v in fields.items()])
+def manifest(df: DataFrame, index: str, x: str | None = None, **fields: str) -> DataFrame:
+    """One row that describes a data set: rows, configurations, index range, width and type of its vectors, fields as given."""
+    vectors = [F.max(F.size(x)).alias("dims"), F.lit(df.schema[x].dataType.simpleString()).alias("dtype")] if x else []
+    return df.agg(
+        F.count("*").alias("total_positions"), F.count_distinct("config").alias("configs"), F.min(index).alias("first_index"), F.max(index).alias("last_index"), *vectors, *[F.lit(v).alias(k) for k, v in fields.items()]
+    )
+
+
+def resume(todo: DataFrame, path: str, key: str, work) -> DataFrame:
+    """Do ``work`` for the keys that the table at ``path`` doesn't hold yet, append it, and return the whole table."""
+    done = todo.sparkSession.read.parquet(path)
+    work(todo.join(done.select(key).distinct().hint("merge"), key, "left_anti")).select(*done.columns).write.mode("append").parquet(path)
+    return todo.sparkSession.read.schema(done.schema).parquet(path)

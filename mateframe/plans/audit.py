@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..operators import encode as E
 from ..operators import evaluate as V
 from ..operators import shards as H
-from .common import csv, table
+from ..operators.search import cascade_score
+from ..functions.board import Slot, canonical_key
+from .common import CANONICAL, POS, csv, placements, table
 
 
 def predictions(spark, d):
@@ -91,11 +93,11 @@ def d1_attach(spark, d):
 
 
 def d2_fallback(spark, d):
-    """An order's score: its own, else its customer's balance, else a draw."""
+    """An order's score: its own, else its customer's balance, else a guess by its state, else a draw."""
     o, c = table(spark, d, "orders"), table(spark, d, "customer")
-    own = F.when(F.col("o_totalprice") > 200000, F.col("o_totalprice"))
-    joined = o.join(c.where("c_acctbal > 0"), F.col("o_custkey") == F.col("c_custkey"), "left")
-    return joined.select("o_orderkey", F.coalesce(own, "c_acctbal", F.lit(0.0)).alias("score"))
+    own, guess = F.when(F.col("o_totalprice") > 200000, F.col("o_totalprice")), F.when(F.col("o_orderkey") % 2 == 0, F.lit(100.0))
+    joined = o.join(c.where("c_acctbal > 0"), F.col("o_custkey") == F.col("c_custkey"), "left").withColumns({"own": own, "guess": guess})
+    return cascade_score(joined, "own", "c_acctbal", "guess", 0.0).select("o_orderkey", "score")
 
 
 def d3_cache(spark, d):
@@ -153,6 +155,15 @@ def d11_verify(spark, d):
     return H.fraction(predictions(spark, d), "doc_id", 0.5, 3).agg(F.count("*").alias("checked"), F.count_if(F.col("true") != F.col("pred")).alias("mismatches"))
 
 
+def d12_product(spark, d):
+    """Every pair of priority and state, seen or not, with its number of orders; both sides are small totals."""
+    o = table(spark, d, "orders")
+    sides = [o.select(c).distinct() for c in ("o_orderpriority", "o_orderstatus")]
+    counts = o.groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"))
+    pairs = sides[0].crossJoin(sides[1])
+    return pairs.join(counts, ["o_orderpriority", "o_orderstatus"], "left").fillna(0, "n")
+
+
 def e1_distribution(spark, d):
     return V.distribution(table(spark, d, "labels"), "toxic")
 
@@ -212,7 +223,10 @@ def e15_minimax(spark, d):
     scored = o.join(orders, "o_orderkey", "left").select(F.col("o_custkey").alias("c_custkey"), F.coalesce("v", F.lit(0.0)).alias("v"))
     customers = V.minimax(scored, "c_custkey", "v", False)
     leaf = c.join(customers, "c_custkey", "left").select("c_nationkey", F.coalesce("v", F.lit(0.0)).alias("v"))
-    return V.minimax(leaf, "c_nationkey", "v", True)
+    best = V.minimax(leaf, "c_nationkey", "v", True)
+    # the value in half-even thousands, and as the other side sees it
+    rounded = F.bround(F.col("v") / 1000).cast("int")
+    return best.select("c_nationkey", "v", rounded.alias("rounded"), V.white_view(F.pmod(rounded, F.lit(3)), F.col("c_nationkey") % 2).alias("seen"))
 
 
 def e16_best_move(spark, d):
@@ -229,9 +243,10 @@ def e17_optimal(spark, d):
 
 
 def e18_invariance(spark, d):
-    """Spread of scores over the members of an orbit; here vectors of one label."""
-    s = table(spark, d, "embeddings").select("label", F.get("embedding", F.lit(0)).cast("double").alias("score"))
-    return s.groupBy("label").agg(F.round(F.var_pop("score"), 6).alias("variance"), F.round(F.max("score") - F.min("score"), 6).alias("spread"))
+    """Spread of scores over the members of each orbit, by the orbit's key."""
+    key = canonical_key(Slot.of(3), F.col("turn"))
+    s = placements(spark, d).select("config", key.alias("key"), (F.col("idx") % 97).cast("double").alias("score"))
+    return s.groupBy("config", "key").agg(F.round(F.var_pop("score"), 6).alias("variance"), (F.max("score") - F.min("score")).alias("spread"))
 
 
 def e19_break_even(spark, d):
@@ -389,7 +404,7 @@ QUERIES = {
     "c31_softmax": (c31_softmax, "WITH x AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) * 5 AS a, CAST(embedding[2] AS DOUBLE) * 5 AS b, CAST(embedding[3] AS DOUBLE) * 5 AS c FROM embeddings), y AS (SELECT *, (exp(b) + 2 * exp(c)) / (exp(a) + exp(b) + exp(c)) AS e FROM x) SELECT vec_id, CAST(CASE WHEN a >= b AND a >= c THEN 0 WHEN b >= c THEN 1 ELSE 2 END AS BIGINT) AS best, round(e, 6) AS expected, CAST(round_even(e, 0) AS INTEGER) AS rounded FROM y"),
     "c32_infer": (c32_infer, "WITH l AS (SELECT 10 * n + 2 * n * (n - 1) + 1 AS width, n, 'v1' AS v FROM (VALUES (3), (4), (5)) t(n) UNION ALL SELECT 11 * n + 2 * n * (n - 1), n, x FROM (VALUES (3), (4), (5)) t(n), (VALUES ('v4'), ('v5')) u(x)) SELECT vec_id, CAST(l.width AS INTEGER) AS width, CAST(max(n) AS INTEGER) AS pieces, string_agg(DISTINCT v, '|' ORDER BY v) AS versions, count(*) > 1 AS ambiguous FROM embeddings JOIN l ON vec_id % 60 + 40 = l.width GROUP BY 1, 2"),
     "d1_attach": (d1_attach, f"WITH {PRED} SELECT config, count(*) AS n, CAST(sum(true_) AS BIGINT) AS good FROM pr GROUP BY 1"),
-    "d2_fallback": (d2_fallback, "SELECT o_orderkey, coalesce(CASE WHEN o_totalprice > 200000 THEN o_totalprice END, c_acctbal, 0.0) AS score FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey"),
+    "d2_fallback": (d2_fallback, "SELECT o_orderkey, coalesce(CASE WHEN o_totalprice > 200000 THEN o_totalprice END, c_acctbal, CASE WHEN o_orderkey % 2 = 0 THEN 100.0 END, 0.0) AS score FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey"),
     "d3_cache": (d3_cache, "SELECT l_partkey * 37 % 101 AS score, count(*) AS n FROM lineitem GROUP BY 1"),
     "d5_pairs": (d5_pairs, "WITH x AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) SELECT a.l_orderkey, a.l_partkey AS a, b.l_partkey AS b FROM x a JOIN x b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey"),
     "d6_inventory": (d6_inventory, "SELECT c_nationkey, count(*) AS n, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'there' ELSE 'missing' END AS state FROM customer GROUP BY 1, 3"),
@@ -398,6 +413,7 @@ QUERIES = {
     "d9_sidecar": (d9_sidecar, "SELECT r_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1"),
     "d10_overlay": (d10_overlay, f"WITH {PRED} SELECT count(*) AS n, count(*) AS correct FROM pr"),
     "d11_verify": (d11_verify, f"WITH {PRED} SELECT count(*) AS checked, count(*) FILTER (true_ <> pred) AS mismatches FROM pr WHERE {_U('doc_id', 3)} < 0.5"),
+    "d12_product": (d12_product, "SELECT a.o_orderpriority, b.o_orderstatus, count(o.o_orderkey) AS n FROM (SELECT DISTINCT o_orderpriority FROM orders) a CROSS JOIN (SELECT DISTINCT o_orderstatus FROM orders) b LEFT JOIN orders o ON o.o_orderpriority = a.o_orderpriority AND o.o_orderstatus = b.o_orderstatus GROUP BY 1, 2"),
     "e1_distribution": (e1_distribution, "SELECT toxic, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM labels GROUP BY 1"),
     "e2_weights": (e2_weights, "SELECT quality, count(*) AS n, round(CAST(sum(count(*)) OVER () AS DOUBLE) / (count(*) OVER () * count(*)), 6) AS weight FROM labels GROUP BY 1"),
     "e3_summary": (e3_summary, "SELECT l_returnflag, min(l_quantity) AS lo, max(l_quantity) AS hi, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS std, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag)"),
@@ -410,10 +426,10 @@ QUERIES = {
     "e10_mae": (e10_mae, "SELECT l_returnflag, round(avg(abs(l_quantity - m)), 6) AS mae FROM (SELECT l_returnflag, l_quantity, avg(l_quantity) OVER (PARTITION BY l_partkey) AS m FROM lineitem) GROUP BY 1"),
     "e11_micro_macro": (e11_micro_macro, "WITH g AS (SELECT o_orderpriority AS config, CAST(count(*) FILTER (o_totalprice > 150000) AS BIGINT) AS correct, count(*) AS total FROM orders GROUP BY 1) SELECT config, correct, total, round(CAST(correct AS DOUBLE) / total, 6) AS accuracy FROM g UNION ALL SELECT 'micro', CAST(sum(correct) AS BIGINT), CAST(sum(total) AS BIGINT), round(CAST(sum(correct) AS DOUBLE) / sum(total), 6) FROM g UNION ALL SELECT 'macro', CAST(sum(correct) AS BIGINT), CAST(sum(total) AS BIGINT), round(avg(CAST(correct AS DOUBLE) / total), 6) FROM g"),
     "e14_keep_first": (e14_keep_first, "SELECT md5(text) AS pos_key, min(doc_id) AS doc_id FROM documents GROUP BY 1"),
-    "e15_minimax": (e15_minimax, "WITH o AS (SELECT o_custkey, coalesce(max(l_extendedprice), 0.0) AS v FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_custkey), c AS (SELECT c_nationkey, coalesce(min(v), 0.0) AS v FROM customer LEFT JOIN o ON c_custkey = o_custkey GROUP BY c_custkey, c_nationkey) SELECT c_nationkey, max(v) AS v FROM c GROUP BY 1"),
+    "e15_minimax": (e15_minimax, "WITH o AS (SELECT o_custkey, coalesce(max(l_extendedprice), 0.0) AS v FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_custkey), c AS (SELECT c_nationkey, coalesce(min(v), 0.0) AS v FROM customer LEFT JOIN o ON c_custkey = o_custkey GROUP BY c_custkey, c_nationkey) SELECT c_nationkey, v, r AS rounded, CAST(CASE WHEN c_nationkey % 2 = 0 THEN 2 - r % 3 ELSE r % 3 END AS INTEGER) AS seen FROM (SELECT c_nationkey, max(v) AS v, CAST(round_even(max(v) / 1000, 0) AS INTEGER) AS r FROM c GROUP BY 1)"),
     "e16_best_move": (e16_best_move, "WITH l AS (SELECT l_orderkey, l_linenumber, round((min(l_discount) - 0.05) * 10, 6) AS w, min(l_quantity) AS q FROM lineitem GROUP BY 1, 2), b AS (SELECT *, CASE WHEN w > 0.3 THEN 1 WHEN w < -0.3 THEN -1 ELSE 0 END AS bucket FROM l), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY bucket DESC, CASE WHEN bucket <> 0 THEN -q ELSE 0 END DESC, w DESC, l_linenumber) AS r FROM b) SELECT l_orderkey, l_linenumber, bucket FROM r WHERE r = 1"),
     "e17_optimal": (e17_optimal, "WITH l AS (SELECT l_orderkey, l_linenumber, round((min(l_discount) - 0.05) * 10, 6) AS w, min(l_quantity) AS q FROM lineitem GROUP BY 1, 2), b AS (SELECT *, CASE WHEN w > 0.3 THEN 1 WHEN w < -0.3 THEN -1 ELSE 0 END AS bucket FROM l), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY bucket DESC, CASE WHEN bucket <> 0 THEN -q ELSE 0 END DESC, w DESC, l_linenumber) AS r, row_number() OVER (PARTITION BY l_orderkey ORDER BY bucket DESC, CASE WHEN bucket <> 0 THEN -floor(q / 10) ELSE 0 END DESC, w DESC, l_linenumber) AS s FROM b) SELECT count(*) FILTER (r = 1) AS n, count(*) FILTER (r = 1 AND s = 1) AS optimal FROM r"),
-    "e18_invariance": (e18_invariance, "SELECT label, round(var_pop(CAST(embedding[1] AS DOUBLE)), 6) AS variance, round(max(CAST(embedding[1] AS DOUBLE)) - min(CAST(embedding[1] AS DOUBLE)), 6) AS spread FROM embeddings GROUP BY 1"),
+    "e18_invariance": (e18_invariance, f"WITH {POS}, k AS (SELECT config, {CANONICAL} AS key, CAST(idx % 97 AS DOUBLE) AS score FROM p) SELECT config, key, round(var_pop(score), 6) AS variance, max(score) - min(score) AS spread FROM k GROUP BY 1, 2"),
     "e19_break_even": (e19_break_even, f"WITH {PRED}, e AS (SELECT count(*) FILTER (true_ <> pred) AS errors, count(*) AS n FROM pr) SELECT errors, errors * 5 + 350 AS bytes, round(956.0::DOUBLE / (errors * 5 + 350), 6) AS compression, round(1 - (956 - 350) / (n * 5.0::DOUBLE), 6) AS break_even FROM e"),
     "e20_neighbours": (e20_neighbours, "WITH f AS (SELECT user_id % 64 AS src, count(*) AS feature FROM events GROUP BY 1) SELECT event_id % 64 AS dst, event_id % 4 AS etype, CAST(sum(feature) AS BIGINT) AS message FROM events JOIN f ON user_id % 64 = src GROUP BY 1, 2"),
     "e21_pooling": (e21_pooling, "SELECT user_id % 64 AS board, round(avg(value), 4) AS mean, max(value) AS most FROM events GROUP BY 1"),

@@ -18,13 +18,15 @@ from ..operators import universe as U
 from ..sources import logs, npz
 from ..streaming import streams
 from .audit import event_classes
-from .common import LEGAL, POS, indexed, placements, sql_attack, sql_between, table
+from .common import CANONICAL, LEGAL, POS, indexed, placements, sql_attack, sql_between, sql_key, table
 
 
 def _place(spark, name):
-    """A fresh folder that all executors share; a temporary one only where none is set."""
+    """A fresh folder that all executors share; a temporary one only in local mode, where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -40,7 +42,7 @@ def a11_npz(spark, d):
     """Vectors to archives and back."""
     v = table(spark, d, "embeddings").select(F.col("embedding").alias("x"), (F.col("label") % 3).cast("int").alias("wdl"), F.col("vec_id").cast("int").alias("dtz"))
     path = _place(spark, "npz")
-    npz.write(v.repartition(4, "dtz"), path).agg(F.sum("rows")).collect()
+    npz.write(v, path).agg(F.sum("rows")).collect()
     return npz.read(spark, path).groupBy("wdl").agg(F.count("*").alias("n"), F.sum("dtz").alias("dtz"), F.max(F.size("x")).alias("width"))
 
 
@@ -55,30 +57,34 @@ def a12_union(spark, d):
 def a13_shards(spark, d):
     """Shards of at most 2,000 rows per configuration, then their sizes."""
     path = _place(spark, "shards")
-    H.write_shards(indexed(spark, d).select("config", "id", "idx", "turn").repartition("config"), path, 2000, "config")
+    # a configuration may hold most rows, so hash buckets deal it over tasks
+    H.write_shards(indexed(spark, d).select("config", "id", "idx", "turn").repartition("config", F.pmod(F.xxhash64("id"), F.lit(16))), path, 2000, "config")
     files = spark.read.parquet(path).groupBy("config", F.input_file_name().alias("f")).agg(F.count("*").alias("n"))
     return files.groupBy("config").agg(F.sum("n").alias("rows"), (F.max("n") <= 2000).alias("bounded"))
 
 
 def a14_combine(spark, d):
-    """Chunk files combined into one: same rows."""
+    """Chunk files combined into fewer, of a bounded number of rows: same rows."""
     parts, whole = _place(spark, "chunks"), _place(spark, "combined")
     table(spark, d, "orders").select("o_orderkey", "o_orderpriority").repartition(6, "o_orderkey").write.parquet(parts)
-    spark.read.parquet(parts).coalesce(1).write.parquet(whole)
+    chunks = spark.read.parquet(parts)
+    chunks.coalesce(max(chunks.count() // 1_000_000, 1)).write.option("maxRecordsPerFile", 1_000_000).parquet(whole)
     return spark.read.parquet(whole).groupBy("o_orderpriority").agg(F.count("*").alias("n"))
 
 
 def a15_manifest(spark, d):
     path = _place(spark, "manifest")
-    H.manifest(indexed(spark, d), version="v4", enumeration="permutation").write.json(path)
-    return spark.read.schema("total_positions long, configs long, version string, enumeration string").json(path)
+    v = table(spark, d, "embeddings").select(F.col("label").alias("config"), "vec_id", "embedding")
+    H.manifest(v, "vec_id", "embedding", version="v4", canonical="auto", enumeration="permutation").write.json(path)
+    return spark.read.schema("total_positions long, configs long, first_index long, last_index long, dims int, dtype string, version string, canonical string, enumeration string").json(path)
 
 
 def a16_resume(spark, d):
-    """What a finished run leaves to do: orders of customers not mapped yet."""
-    o = table(spark, d, "orders")
-    done = o.where("o_orderkey % 3 = 0").select("o_custkey").distinct()
-    return o.join(done, "o_custkey", "left_anti").groupBy("o_orderpriority").agg(F.count("*").alias("todo"))
+    """A run that maps some customers, and one that takes up the rest and appends it; nobody is mapped twice."""
+    path, o = _place(spark, "mapped"), table(spark, d, "orders")
+    mapped = lambda rows, run: rows.groupBy("o_custkey").agg(F.count("*").alias("orders")).withColumn("run", F.lit(run))
+    mapped(o.where("o_custkey % 3 = 0"), 1).write.parquet(path)
+    return H.resume(o, path, "o_custkey", lambda rest: mapped(rest, 2)).groupBy("run").agg(F.count("*").alias("customers"), F.sum("orders").alias("orders"))
 
 
 def a17_training_log(spark, d):
@@ -155,9 +161,12 @@ def d4_successors(spark, d):
 
 
 def h1_sample(spark, d):
-    """The first 500 legal positions in shuffled order, without replacement."""
-    n = _legal(spark, d).withColumn("place", U.full_cycle(F.col("idx"), 777, 100003, 249984))
-    return n.orderBy("place", "id").limit(500).select("id", "config", "turn")
+    """The first 500 canonical positions in shuffled order, each once, among the first 200,000 places tried."""
+    place = U.full_cycle(F.col("idx"), 777, 100003, 249984)
+    tried = U.canonical(_legal(spark, d).withColumn("place", place).where("place < 200000"), 3)
+    keyed = tried.select("id", "config", "turn", "place", B.packed(Slot.of(3), F.col("turn")).alias("key"))
+    once = keyed.groupBy("key").agg(F.min(F.struct("place", "id", "config", "turn")).alias("r"))
+    return once.select("r.*").orderBy("place", "id").limit(500).select("id", "config", "turn")
 
 
 def _vectors(spark, d):
@@ -185,6 +194,13 @@ def j2_fit(spark, d):
     return ml.predict(ml.fit(v, label="label"), v).groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("pred") == F.col("label")).alias("correct"))
 
 
+def j2_distance(spark, d):
+    """The regressor beside the classifier: a distance from vectors, and its mean error by class."""
+    v = _vectors(spark, d).withColumn("dtz", (F.col("vec_id") % 50).cast("double"))
+    found = ml.fit_distance(v, label="dtz").transform(ml.features(v))
+    return found.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("prediction") - F.col("dtz"))), 4).alias("mae"))
+
+
 def j3_refit(spark, d):
     v = _vectors(spark, d)
     return ml.predict(ml.refit_on_errors(v, label="label", key="vec_id"), v).agg(F.count("*").alias("n"), F.count_if(F.col("pred") == F.col("label")).alias("correct"))
@@ -214,7 +230,9 @@ def k2_totals(spark, d):
 
 
 def k3_metrics(spark, d):
-    return streams.drain(streams.best_so_far(_events_stream(spark, d), "user_id", "value"), _place(spark, "k3"), _place(spark, "cp"))
+    """Lines of a live log, each with the best so far and the change to the line before in its run."""
+    lines = streams.drain(_events_stream(spark, d), _place(spark, "k3"), _place(spark, "cp"), "append")
+    return streams.progress(lines, "user_id", ["ts", "event_id"], "value").select("event_id", "user_id", "best", "better", F.round("delta", 4).alias("delta"))
 
 
 def k4_dedup(spark, d):
@@ -238,8 +256,8 @@ QUERIES = {
     "a12_union": (a12_union, "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1"),
     "a13_shards": (a13_shards, f"WITH {POS} SELECT config, count(*) AS rows, true AS bounded FROM ix GROUP BY 1"),
     "a14_combine": (a14_combine, "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1"),
-    "a15_manifest": (a15_manifest, f"WITH {POS} SELECT count(*) AS total_positions, count(DISTINCT config) AS configs, 'v4' AS version, 'permutation' AS enumeration FROM ix"),
-    "a16_resume": (a16_resume, "SELECT o_orderpriority, count(*) AS todo FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0) GROUP BY 1"),
+    "a15_manifest": (a15_manifest, "SELECT count(*) AS total_positions, count(DISTINCT label) AS configs, min(vec_id) AS first_index, max(vec_id) AS last_index, CAST(max(len(embedding)) AS INTEGER) AS dims, 'array<float>' AS dtype, 'v4' AS version, 'auto' AS canonical, 'permutation' AS enumeration FROM embeddings"),
+    "a16_resume": (a16_resume, "SELECT CASE WHEN o_custkey % 3 = 0 THEN 1 ELSE 2 END AS run, count(DISTINCT o_custkey) AS customers, count(*) AS orders FROM orders GROUP BY 1"),
     "a17_training_log": (a17_training_log, "SELECT CAST(event_id % 100 AS INTEGER) AS epoch, round(max(value), 4) AS loss, CAST(sum(event_id % 7) AS DOUBLE) AS val_loss, CAST(sum(event_id % 11) AS DOUBLE) AS val_acc FROM events GROUP BY 1"),
     "a18_engine": (a18_engine, "SELECT doc_id, CAST(CASE n_chars % 3 WHEN 0 THEN (n_chars % 100) * 100 + 25 WHEN 1 THEN -n_chars ELSE -10000 END AS INTEGER) AS cp FROM documents"),
     "a19_result_map": (a19_result_map, f"WITH {_EV} SELECT CAST(user_id % 5 AS VARCHAR) AS config, round(avg(CASE WHEN t = p THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS samples FROM ev GROUP BY 1"),
@@ -254,13 +272,14 @@ QUERIES = {
 w AS (SELECT config, unnest([16, 17, 18, 19]) AS channel, unnest([CAST(b % 8 - a % 8 AS DOUBLE) / 7, CAST(b // 8 - a // 8 AS DOUBLE) / 7, CAST(abs(b % 8 - a % 8) + abs(b // 8 - a // 8) AS DOUBLE) / 14, CAST(greatest(abs(b % 8 - a % 8), abs(b // 8 - a // 8)) AS DOUBLE) / 7]) AS w FROM e)
 SELECT config, channel, count(*) AS n, round(sum(w), 3) AS w FROM w GROUP BY 1, 2"""),
     "d4_successors": (d4_successors, None),
-    "h1_sample": (h1_sample, f"WITH {POS} SELECT id, config, turn FROM p WHERE {LEGAL} ORDER BY (777 + idx * 100003) % 249984, id LIMIT 500"),
+    "h1_sample": (h1_sample, f"WITH {POS}, k AS (SELECT id, config, turn, (777 + idx * 100003) % 249984 AS place, {sql_key(0)} AS key FROM p WHERE {LEGAL} AND {sql_key(0)} = {CANONICAL} AND (777 + idx * 100003) % 249984 < 200000) SELECT id, config, turn FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY place, id) AS r FROM k) WHERE r = 1 ORDER BY place, id LIMIT 500"),
     "j1_score": (j1_score, None),
     "j2_fit": (j2_fit, None),
+    "j2_distance": (j2_distance, None),
     "j3_refit": (j3_refit, None),
     "j4_sweep": (j4_sweep, None),
     "k1_shards": (k1_shards, "SELECT event_type, count(*) AS n FROM events GROUP BY 1"),
     "k2_totals": (k2_totals, "SELECT event_type, count(*) AS n FROM events GROUP BY 1"),
-    "k3_metrics": (k3_metrics, "SELECT user_id, max(value) AS best, count(*) AS lines FROM events GROUP BY 1"),
+    "k3_metrics": (k3_metrics, "WITH w AS (SELECT event_id, user_id, value, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS best, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) SELECT event_id, user_id, best, past IS NULL OR value > past AS better, round(coalesce(value - before, 0), 4) AS delta FROM w"),
     "k4_dedup": (k4_dedup, "SELECT DISTINCT user_id, event_type FROM events"),
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,19 +74,40 @@ def read(spark: SparkSession, path: str, kind: str = "mlp") -> DataFrame:
     return spark.read.format("npz").option("kind", kind).load(path)
 
 
-def write(df: DataFrame, path: str) -> DataFrame:
-    """Vectors (x, wdl, dtz) as one archive per partition; returns file names and rows."""
+#: Rows of one archive.
+ARCHIVE = 1 << 16
+
+
+def write(df: DataFrame, path: str, rows: int = ARCHIVE) -> DataFrame:
+    """Vectors (x, wdl, dtz) as archives of about ``rows`` rows (less than twice as many); returns file names and rows.
+
+    An archive is written under a temporary name and moved when complete, so a task that runs
+    again replaces its own. Distances take 16 bits, or 32 where an archive needs them.
+    """
     from pyspark import TaskContext
 
     def part(batches):
-        rows = [b for b in batches if b.num_rows]
-        if rows:
-            t = pa.Table.from_batches(rows)
-            files, base = _filesystem(path)
-            files.create_dir(base, recursive=True)
-            name = f"{base}/shard_{TaskContext.get().partitionId():05d}.npz"
-            with files.open_output_stream(name) as out:
-                np.savez_compressed(out, x=np.array(t["x"].to_pylist(), np.float32), wdl=t["wdl"].to_numpy().astype(np.int8), dtz=t["dtz"].to_numpy().astype(np.int16))
-            yield pa.RecordBatch.from_pydict({"file": [name], "rows": [t.num_rows]})
+        held, number = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                held.append(batch.slice(at, rows))
+                if sum(b.num_rows for b in held) >= rows:
+                    yield save(held, number)
+                    held, number = [], number + 1
+        if held:
+            yield save(held, number)
+
+    def save(held, number):
+        t = pa.Table.from_batches(held).combine_chunks()
+        files, base = _filesystem(path)
+        files.create_dir(base, recursive=True)
+        x, dtz = t["x"].combine_chunks(), t["dtz"].to_numpy()
+        width = len(x.flatten()) // max(len(x), 1)
+        name = f"shard_{TaskContext.get().partitionId():05d}_{number:04d}.npz"
+        temporary = f"{base}/.{name}-{uuid.uuid4().hex}"
+        with files.open_output_stream(temporary) as out:
+            np.savez_compressed(out, x=x.flatten().to_numpy().astype(np.float32).reshape(-1, width), wdl=t["wdl"].to_numpy().astype(np.int8), dtz=dtz.astype(np.int16 if abs(dtz).max(initial=0) < 1 << 15 else np.int32))
+        files.move(temporary, f"{base}/{name}")
+        return pa.RecordBatch.from_pydict({"file": [f"{base}/{name}"], "rows": [t.num_rows]})
 
     return df.select("x", "wdl", "dtz").mapInArrow(part, "file string, rows long")

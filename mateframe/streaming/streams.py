@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -16,9 +16,12 @@ def totals(stream: DataFrame, by: str) -> DataFrame:
     return stream.groupBy(by).agg(F.count("*").alias("n"))
 
 
-def best_so_far(stream: DataFrame, run: str, metric: str) -> DataFrame:
-    """Live best metric and number of lines per run."""
-    return stream.groupBy(run).agg(F.max(metric).alias("best"), F.count("*").alias("lines"))
+def progress(lines: DataFrame, run: str, order: list[str], metric: str) -> DataFrame:
+    """Add to each line of a run the best metric so far, whether the line is better than all before, and its change."""
+    w = Window.partitionBy(run).orderBy(*order)
+    past = F.max(metric).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    best = F.max(metric).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return lines.withColumns({"best": best, "better": past.isNull() | (F.col(metric) > past), "delta": F.coalesce(F.col(metric) - F.lag(metric).over(w), F.lit(0.0))})
 
 
 def distinct_keys(stream: DataFrame, keys: list[str], time: str | None = None, delay: str = "1 hour") -> DataFrame:
