@@ -32,7 +32,6 @@ FEATURES = 4096
 PRIOR = 0.1
 STEPS, RATE, DECAY = 400, 0.05, 1e-4
 LETTERS = r"[^\W\d_]+"
-PIECE = 1 << 20
 
 
 @dataclass
@@ -42,16 +41,28 @@ class Model:
 
 
 def words(text: str | None) -> set[str]:
-    text = text or ""
-    if len(text) <= PIECE:
-        return set(re.findall(LETTERS, text.lower()))
-    return {m.group() for m in re.finditer(LETTERS, text.lower())}
+    return {m.group() for m in re.finditer(LETTERS, (text or "").lower())}
 
 
 def code(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass"))
 
 
+def risk(score: np.ndarray, n_p: int, prior: float) -> tuple[float, np.ndarray]:
+    """The part of the risk that a step goes down, and its derivative by each score; the first ``n_p`` are confirmed.
+
+    That is the whole risk while the bracket is not negative, and else the bracket's negative.
+    """
+    n_u, is_p = len(score) - n_p, np.arange(len(score)) < n_p
+    p = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+    toxic, clean = np.logaddexp(0, -score), np.logaddexp(0, score)
+    bracket = clean[n_p:].mean() - prior * clean[:n_p].mean()
+    # derivative of each loss by the score: l+ gives p - 1, l- gives p
+    if bracket >= 0:
+        return prior * toxic[:n_p].mean() + bracket, np.where(is_p, prior * ((p - 1) - p) / n_p, p / n_u)
+    return -bracket, np.where(is_p, prior * p / n_p, -p / n_u)
+
+
 def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, features: int = FEATURES, steps: int = STEPS, rate: float = RATE, decay: float = DECAY) -> Model:
     """Fit on arrays of word codes, one per text."""
     start = float(np.log(prior / (1 - prior)))
@@ -74,16 +85,9 @@ def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
 
     w, b = np.zeros(len(chosen)), start
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    is_p = np.arange(len(rows)) < n_p
     for t in range(1, steps + 1):
         score = np.bincount(row, weights=w[column], minlength=len(rows)) + b
-        p = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-        clean_p, clean_u = np.logaddexp(0, score[:n_p]).mean(), np.logaddexp(0, score[n_p:]).mean()
-        # derivative of each mean by the score: l+ gives p - 1, l- gives p
-        if clean_u - prior * clean_p >= 0:
-            g = np.where(is_p, prior * ((p - 1) - p) / n_p, p / n_u)
-        else:
-            g = np.where(is_p, prior * p / n_p, -p / n_u)
+        _, g = risk(score, n_p, prior)
         gw, gb = np.bincount(column, weights=g[row], minlength=len(w)) + decay * w, g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw**2
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2

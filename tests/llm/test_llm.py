@@ -61,6 +61,35 @@ def test_language(spark, sf, docs, none):
     assert {r["lang_pred"] for r in langid.predict(docs, [], np.zeros((0, 64), np.float32)).collect()} == {"und"}
 
 
+def test_language_vectors_by_hand():
+    """Each trigram bound and added one by one; a gap stands before, between and behind words."""
+    encoder, texts = langid.Encoder(64), ["Ab, c-é 12 x", "", "zz", "ÀB ab ab"]
+    for text, got in zip(texts, encoder.vectors(texts)):
+        codes, want = [0], np.zeros(64)
+        for c in text.lower() + " ":
+            code = ord(c) if c.isalpha() else 0
+            codes += [code] if code or codes[-1] else []
+        for a, b, c in zip(codes, codes[1:], codes[2:]):
+            want += np.roll(encoder.letter(a), 2).astype(int) * np.roll(encoder.letter(b), 1) * encoder.letter(c)
+        assert np.allclose(got, want)
+
+
+def test_language_query_by_brute_force(spark):
+    """Prototypes and cosines worked out text by text; ties go to the first language."""
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join("".join(rng.choice(list("abcdef" if i % 2 else "defghi"), 4)) for _ in range(12)) if i % 11 else None, "xy"[i % 2] if i % 7 else None) for i in range(60)]
+    df = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string, lang string")
+    encoder, sums = langid.Encoder(), collections.defaultdict(lambda: np.zeros(langid.DIMENSION))
+    vector = lambda text: langid.unit(encoder.vectors([text]))[0].astype(np.float64)
+    for i, text, lang in [*rows, rows[3]]:
+        if lang and zlib.crc32(str(i).encode()) % 5:
+            sums[lang] += vector(text)
+    for r in langid.identify(df).collect():
+        cosine = {lang: vector(r["text"]) @ v / np.linalg.norm(v) for lang, v in sums.items()}
+        best = min(cosine, key=lambda lang: (-cosine[lang], lang)) if r["text"] else "und"
+        assert r["lang_pred"] == best and r["score"] == pytest.approx(max(cosine[best], 0) if r["text"] else 0, abs=1e-5)
+
+
 def test_language_pieces_agree(monkeypatch):
     text = "alpha beta, gamma " * 40
     whole = langid.Encoder(128).vectors([text])
@@ -116,6 +145,32 @@ def test_repeated_rows_cost_what_they_hold(spark, dedup, n):
     assert [r["n"] - r["gone"] for r in found if r["doc_id"] == 9] == [2 if n == "n_words" else len("before ") + len(" behind")]
 
 
+def test_segments_over_chunks(monkeypatch):
+    """Every window has the same minimizer, whether or not its text is cut into chunks."""
+    from mateframe.llm import segments
+
+    x = np.random.default_rng(2).integers(0, 4, 2000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    of = lambda: {int(s) + k: int(m) for o, ss, ns, ms, _ in segments.Segmenter(35, 8).segments([x[:20], x, x[:50]]) for i, s, n, m in zip(o, ss, ns, ms) if i == 1 for k in range(n)}
+    whole = of()
+    monkeypatch.setattr(segments, "CHUNK", 128)
+    assert of() == whole and whole.keys() == set(range(2000 - 34))
+
+
+def test_suffix_query_by_brute_force(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    raw = [(r["text"] or "").encode() for r in rows]
+    seen = collections.Counter(b[i : i + 200] for b in raw for i in range(len(b) - 199))
+    want = []
+    for r, b in zip(rows, raw):
+        gone = np.zeros(len(b) + 1, bool)
+        for i in range(len(b) - 199):
+            if seen[b[i : i + 200]] > 1:
+                gone[i : i + 200] = True
+        left = np.frombuffer(b, np.uint8)[~gone[:-1]].tobytes()
+        want.append((r["doc_id"], len(b), int(gone.sum()), int(np.count_nonzero(np.diff(gone.astype(int), prepend=0) == 1)), hashlib.sha256(left).hexdigest()))
+    assert sorted(map(tuple, llm.queries()["op5_suffix_dedup"](spark, sf).collect())) == sorted(want)
+
+
 def test_fm_index_counts():
     rng = np.random.default_rng(7)
     for _ in range(100):
@@ -233,6 +288,15 @@ def test_pii(spark, docs):
     assert clean == "write <email> or call <phone> now"
 
 
+def test_mixing_without_ids(spark):
+    """Rows without an id, and rows that repeat, count one by one."""
+    rows = [(None, " ".join(words(n, n, 9)), "a") for n in (3, 5, 9, 9)] + [(1, "x y", "b"), (1, "x y", "b"), (1, None, "b")]
+    found = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for source in "ab":
+        mine = [r for r in found if r["source"] == source]
+        assert len(mine) == (4 if source == "a" else 3) and sum(r["taken"] for r in mine) == math.floor(mine[0]["target"]) and all(0 <= r["taken"] <= 2 * r["size"] for r in mine)
+
+
 def test_mixing(docs, none):
     rows = mixing.mix(docs).collect()
     total = sum(r["size"] for r in rows)
@@ -342,6 +406,31 @@ def test_toxicity(spark, docs, none):
     assert rng is not None
 
 
+def test_risk_by_differences():
+    """The derivative of the risk against finite differences, on both sides of the turn."""
+    rng = np.random.default_rng(3)
+    for shift in (-2.0, 2.0):
+        score = rng.normal(size=12)
+        score[:5] -= shift
+        score[5:] += shift
+        value, slope = toxicity.risk(score, 5, 0.4)
+        for i in range(12):
+            step = np.zeros(12)
+            step[i] = 1e-6
+            up, down = toxicity.risk(score + step, 5, 0.4)[0], toxicity.risk(score - step, 5, 0.4)[0]
+            assert slope[i] == pytest.approx((up - down) / 2e-6, abs=1e-6)
+
+
+def test_toxicity_query(spark, sf):
+    """Every row once; on held-out rows the toxic ones score higher."""
+    found = llm.queries()["op9_toxicity"](spark, sf).toPandas()
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert len(found) == docs.count() and found.score.between(0, 1).all() and ((found.score >= 0.5) == (found.predicted == 1)).all()
+    assert (found.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in found.doc_id]).all()
+    both = found.merge(spark.read.parquet(f"{sf}/labels.parquet").toPandas(), on="doc_id")
+    assert both[both.toxic == 1].score.mean() > both[both.toxic == 0].score.mean() + 0.3
+
+
 def test_token_files(spark, docs, none):
     from tokenizers import Tokenizer
 
@@ -386,6 +475,28 @@ def test_word_encoder_is_exact():
         assert plain.encode(text, add_special_tokens=False).ids == ids.tolist()
 
 
+def test_word_encoder_forgets(monkeypatch):
+    """A cache that overflows at every column, and one text of more words than it holds, change nothing."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens.WordEncoder, "KEPT", 20)
+    plain, own = Tokenizer.from_file(tokens.vocabulary_path()), tokens.WordEncoder(tokens.vocabulary_path())
+    for seed in range(4):
+        texts = [" ".join(words(300, seed, 1000)) + " (Ümlaut), 3.5 l'eau", None, "a-b|c <x>"]
+        for text, ids in zip(texts, own.encode(pa.array(texts))):
+            assert plain.encode(text or "", add_special_tokens=False).ids == ids.tolist()
+
+
+def test_pipeline_rejects_what_is_like_no_language(spark, sf):
+    known = [(i, " ".join(words(40, i, 30)).replace("w", "the quick ") + " and so on it goes", "en", "s", 1) for i in range(40)]
+    odd = [(100, "щука лежит под мостом и ждёт пока рыбак уйдёт домой " * 4, None, "s", 1), (101, "щука", None, "s", 1), (102, "12 34", "en", "s", 1), (103, None, "en", "s", 1)]
+    docs = spark.createDataFrame(known + odd + known[:1], "doc_id long, text string, lang string, source string, n_chars long")
+    left = [r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, sf).collect()]
+    assert sorted(left) == sorted([*range(40), 0, 101])
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0
+
+
 @pytest.mark.parametrize("lang", [None, "und"])
 def test_pipeline_language_needs_no_labels(spark, sf, lang):
     docs = spark.createDataFrame([(i, t, lang, "s", 1) for i, t in enumerate(["some words here", "é", "12 34", "", None] * 4)], "doc_id long, text string, lang string, source string, n_chars long")
@@ -415,5 +526,5 @@ def test_pipeline(spark, sf):
         counts.append(docs.count())
     assert counts[0] >= counts[1] >= counts[2]
     plain = spark.read.parquet(f"{sf}/documents.parquet")
-    assert counts[0] == plain.where("text rlike '\\\\p{L}'").count()
+    assert counts[0] == plain.where("text rlike '\\\\p{L}'").count()  # no clean document is below the floor
     assert corpus_pipeline.run(spark, sf).count() == counts[3]
