@@ -10,7 +10,8 @@ from mateframe.llm.common import stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Least cosine with a language, for texts of so many letters or more. On sf0.1 the least of these
-#: is 0.16 (a text of one short word over and over); letters at random and other alphabets stay below 0.1.
+#: is 0.16 (a text of one short word over and over); a text in an alphabet of none of the languages
+#: stays below 0.1 in the tests.
 FLOOR, LETTERS = 0.1, 60
 
 
