@@ -284,6 +284,14 @@ def test_pii(spark, docs):
         assert [(p["kind"], p["start"], p["end"]) for p in r["pii"] if p["base"]] == brute_pii(r["text"] or ""), r["text"]
     extra = [[(p["kind"], p["start"], p["end"]) for p in r["pii"] if not p["base"]] for r in pii.find(df.where("doc_id >= 405")).orderBy("doc_id").collect()]
     assert extra == [[("iban", 5, 27)], [("ssn", 10, 21)], []]
+    secret = "0a" * 12
+    scored = {  # the text, the only span's kind and score
+        "1.2.3.4": ("ip", 0.5), "host 1.2.3.4": ("ip", 0.7), "1.2.3.4 is my host": ("ip", 0.7), "version 1.2.3.4": ("ip", 0.3), "1.2.3.4 and far behind is the host": ("ip", 0.5),
+        "order 4111111111111111": ("card", 0.4), "card, order 4111111111111111": ("card", 0.6), "ssn 123-45-6789": ("ssn", 0.7), "123-45-6789 (SSN)": ("ssn", 0.7), "part 123-45-6789 ssn": ("ssn", 0.5),
+        f"API_KEY='{secret}'": ("secret", 0.7), f'token = "{secret}"': ("secret", 0.7), f"the token {secret}": None, f"page = {secret}": None, "token = " + "a" * 30: None, "token = 0a": None,
+    }
+    found = pii.find(spark.createDataFrame([(t,) for t in scored], "text string")).collect()
+    assert {r["text"]: tuple((p["kind"], p["score"]) for p in r["pii"]) for r in found} == {t: (s,) if s else () for t, s in scored.items()}
     clean = pii.redact(pii.find(spark.createDataFrame([("write a@b.co or call +1 555 555 0100 now",)], "text string"))).first()["text"]
     assert clean == "write <email> or call <phone> now"
 
