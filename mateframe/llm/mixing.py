@@ -8,6 +8,8 @@ That is a distributed prefix sum; no task ever holds a whole source.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from .common import WORD, table
 WEIGHTS = (5, 2, 1)
 #: Share of all words that the mix takes, and the most often a word may be taken.
 SHARE, MOST = 1.5, 2
+#: Rows of a range on average, at most; a range is what one window sorts.
+RANGE_ROWS = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -52,24 +56,28 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return ranked.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 7, digits: int = 3) -> DataFrame:
+def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 7, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Add ``size, source_size, target, taken`` to every row of ``docs`` (doc_id, text, source).
 
     Each source repeats ``floor(target / source_size)`` whole epochs and then takes rows in key
     order up to exactly the rest of its budget, so the row at the cut gives only some of its
-    words. Keys are md5 of seed and id: reruns agree. ``digits`` hex digits of the key make
-    16**digits ranges per source.
+    words. Keys are md5 of seed, id and text: reruns agree, and rows that share an id, or have
+    none, are spread like all others. A range holds the keys with the same leading hex digits,
+    three or more of them, so that it has ``range_rows`` rows at most on average; the result is
+    the same for any number.
 
     Null text and empty text have size 0 and take nothing; a null source is a source of its own,
-    last in order; a null doc_id gets the key of the empty id; repeated rows are rows of their
-    own (ties in key are ordered by doc_id and size); an empty table gives an empty result; columns of the added names are replaced.
+    last in order; a null doc_id counts as the empty one; repeated rows are rows of their own and
+    stand together (which of them is cut makes no difference); an empty table gives an empty
+    result; columns of the added names are replaced.
     """
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary"))
+    digits = max(3, math.ceil(math.log(max(docs.count() / range_rows, 1), 16)))
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("text")).cast("binary"))
     rows = docs.withColumns({"__size": word_count(F.col("text")), "__key": key}).withColumn("__range", F.substring("__key", 1, digits))
     ranges = rows.groupBy("source", "__range").agg(F.sum("__size").alias("__words"))
     sums = ranges.withColumn("__from", F.sum("__words").over(Window.partitionBy("source").orderBy("__range")) - F.col("__words"))
     want = targets(ranges.groupBy("source").agg(F.sum("__words").alias("source_size")), weights, share, most)
-    # one row per source against at most 16**digits rows per source
+    # one row per source against its ranges
     plan = sums.alias("s").join(want.hint("merge").alias("w"), F.col("s.source").eqNullSafe(F.col("w.source"))).select(
         F.col("s.source").alias("__source"), F.col("s.__range").alias("__r"), "__from", F.col("w.source_size").alias("__whole"), F.col("w.target").alias("__target")
     )
@@ -105,7 +113,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5(concat_ws('|', '7', CAST(doc_id AS VARCHAR))) AS k FROM documents),
+         md5(concat_ws('|', '7', CAST(doc_id AS VARCHAR), text)) AS k FROM documents),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighed AS (
   SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight,

@@ -305,6 +305,15 @@ def test_mixing_without_ids(spark):
         assert len(mine) == (4 if source == "a" else 3) and sum(r["taken"] for r in mine) == math.floor(mine[0]["target"]) and all(0 <= r["taken"] <= 2 * r["size"] for r in mine)
 
 
+def test_mixing_ranges(spark):
+    """Rows without an id are spread over ranges, and how many there are makes no difference."""
+    df = spark.createDataFrame([(None, f"w{i} x", "a") for i in range(3000)] + [(1, " ".join(["w"] * (i % 7)), "b") for i in range(300)], "doc_id long, text string, source string")
+    rows = mixing.mix(df).collect()
+    assert sorted(map(str, mixing.mix(df.repartition(5), range_rows=0.01).collect())) == sorted(map(str, rows))
+    taken = [r["taken"] for r in rows if r["source"] == "a"]
+    assert len(set(taken)) > 1 and sum(taken) == math.floor(next(r["target"] for r in rows if r["source"] == "a"))
+
+
 def test_mixing(docs, none):
     rows = mixing.mix(docs).collect()
     total = sum(r["size"] for r in rows)
