@@ -96,7 +96,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = K, block: int = BL
     """
     spark = vectors.sparkSession
     largest = lambda df: df.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("w"), F.max(F.array_max(F.transform("x", F.abs))).alias("top")).first()
-    queries = queries.groupBy("vec_id").agg(F.min("x").alias("x"))
+    # numbers of rows are written, so that a task that runs again finds the same ones
+    vectors = stored(vectors.select("vec_id", "x", F.monotonically_increasing_id().alias("__row")), "topk-vectors")
+    queries = queries.groupBy("vec_id").agg(F.min("x").alias("x")).withColumn("__row", F.lit(0))
     found, asked = largest(vectors), largest(queries)
     n, n_queries = found["n"], asked["n"]
     width = max(found["w"] or 0, asked["w"] or 0, 1)
@@ -118,8 +120,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = K, block: int = BL
 
         return blocks
 
-    # ranges of the order, split further by id where many vectors are alike; rows that share an id stay in one block
-    in_ranges = lambda df, parts, name: df.withColumn("__sign", signs).repartitionByRange(parts, "__sign", "vec_id").withColumn(name, F.spark_partition_id().cast("long")).select(name, "vec_id", "x")
+    # ranges of the order, split further by id where many vectors are alike, and by row where they share an id
+    in_ranges = lambda df, parts, name: df.withColumn("__sign", signs).repartitionByRange(parts, "__sign", "vec_id", "__row").withColumn(name, F.spark_partition_id().cast("long")).select(name, "vec_id", "x")
     docs = stored(in_ranges(vectors, n_blocks, "block").groupBy("block").applyInPandas(gather("block", True), "block long, ids binary, m binary, high binary, low binary"), "topk-blocks")
     asks = stored(in_ranges(queries, n_query_blocks, "qblock").groupBy("qblock").applyInPandas(gather("qblock", False), "qblock long, ids binary, m binary"), "topk-queries")
 

@@ -254,6 +254,23 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), df).count() == 0
 
 
+def test_top_k_splits_rows_of_one_id(spark, monkeypatch):
+    """Many rows with one id and one vector are dealt over blocks, and are candidates each."""
+    sizes, kept = [], topk.stored
+
+    def seen(df, name):
+        out = kept(df, name)
+        if name == "topk-blocks":
+            sizes.extend(r[0] // 8 for r in out.select(F.length("ids")).collect())
+        return out
+
+    monkeypatch.setattr(topk, "stored", seen)
+    df = topk.quantize(spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(64)] + [(7, [9.0, 9.0])] * 600, "vec_id long, embedding array<double>"))
+    got = topk.top_k(df, df.where("vec_id % 20 = 0"), block=64, query_block=4, first=2).collect()
+    assert sum(sizes) == 664 and max(sizes) < 200
+    assert len(got) == 4 * 20 and {r["vec_id"] for r in got} == {7}
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
