@@ -17,6 +17,7 @@ REGISTER = [
     ("op10_token_ids", "tokens", False),
     ("op7_mixing", "mixing", True),
     ("op12_conversation_repair", "conversations", True),
+    ("op13_periodic_runs", "periods", True),
 ]
 
 
