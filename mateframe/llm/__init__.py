@@ -16,6 +16,7 @@ REGISTER = [
     ("op1_language_id", "langid", False),
     ("op10_token_ids", "tokens", False),
     ("op7_mixing", "mixing", True),
+    ("op11_secrets", "secrets", True),
     ("op12_conversation_repair", "conversations", True),
     ("op13_periodic_runs", "periods", True),
 ]
