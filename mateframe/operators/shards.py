@@ -60,12 +60,6 @@ def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("__r")).select(*keys, "__r.*")
 
 
-def shard_offsets(df: DataFrame, shard: str) -> DataFrame:
-    """First global row of every shard, from the shards' sizes."""
-    sizes = df.groupBy(shard).agg(F.count("*").alias("n"))
-    return sizes.withColumn("first_row", F.sum("n").over(Window.orderBy(shard)) - F.col("n"))
-
-
 def write_shards(df: DataFrame, path: str, rows: int, by: str | None = None) -> None:
     """Files of at most so many rows, in folders by a column if given; a task's files commit as one."""
     writer = df.write.mode("errorifexists").option("maxRecordsPerFile", rows)

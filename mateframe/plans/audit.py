@@ -314,10 +314,6 @@ def f6_patience(spark, d):
     return waited.groupBy("user_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("stop_at"))
 
 
-def f7_offsets(spark, d):
-    return H.shard_offsets(table(spark, d, "lineitem"), "l_suppkey")
-
-
 def f8_first_last(spark, d):
     w = run_order().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     e = table(spark, d, "events").select("user_id", F.first("value").over(w).alias("first_value"), F.last("value").over(w).alias("last_value"), F.nth_value("value", 3).over(w).alias("third"))
@@ -334,12 +330,6 @@ def g2_first_failures(spark, d):
     return predictions(spark, d).where(F.col("true") != F.col("pred")).orderBy("doc_id").limit(20).select("doc_id", "config", "true", "pred")
 
 
-def g4_shuffle(spark, d):
-    """The seeded global order, as each document's successor in it within its source."""
-    docs = H.shuffled(table(spark, d, "documents").select("doc_id", "source"), "doc_id", 11)
-    return docs.select("doc_id", F.lead("doc_id").over(Window.partitionBy("source").orderBy("place")).alias("next_id"))
-
-
 def h2_fraction(spark, d):
     return H.fraction(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", 0.3, 1)
 
@@ -440,11 +430,9 @@ QUERIES = {
     "f4_best_epoch": (f4_best_epoch, "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, ts, event_id) AS r FROM events) WHERE r = 1"),
     "f5_checkpoints": (f5_checkpoints, f"WITH b AS (SELECT *, max(value) OVER ({_RUN} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events) SELECT user_id, count(*) AS checkpoints, max(value) AS best FROM b WHERE coalesce(value > before, true) GROUP BY 1"),
     "f6_patience": (f6_patience, f"WITH b AS (SELECT *, coalesce(value > max(value) OVER ({_RUN} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS up FROM events), i AS (SELECT *, sum(CASE WHEN up THEN 1 ELSE 0 END) OVER ({_RUN}) AS island FROM b), w AS (SELECT *, row_number() OVER (PARTITION BY user_id, island ORDER BY ts, event_id) - 1 AS wait FROM i) SELECT user_id, arg_min(event_id, (ts, event_id)) AS stop_at FROM w WHERE wait = 5 GROUP BY 1"),
-    "f7_offsets": (f7_offsets, "SELECT l_suppkey, count(*) AS n, CAST(sum(count(*)) OVER (ORDER BY l_suppkey) - count(*) AS BIGINT) AS first_row FROM lineitem GROUP BY 1"),
     "f8_first_last": (f8_first_last, f"SELECT DISTINCT user_id, first(value) OVER w AS first_value, last(value) OVER w AS last_value, nth_value(value, 3) OVER w AS third, round(last(value) OVER w - first(value) OVER w, 4) AS gain FROM events WINDOW w AS ({_RUN} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"),
     "g1_ranked": (g1_ranked, "WITH a AS (SELECT o_orderpriority, round(avg(CASE WHEN o_totalprice > 150000 THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM orders GROUP BY 1) SELECT *, CASE WHEN accuracy < 0.4 THEN 'weak' WHEN accuracy < 0.6 THEN 'fair' ELSE 'good' END AS status FROM a"),
     "g2_first_failures": (g2_first_failures, f'WITH {PRED} SELECT doc_id, config, true_ AS "true", pred FROM pr WHERE true_ <> pred ORDER BY doc_id LIMIT 20'),
-    "g4_shuffle": (g4_shuffle, f"SELECT doc_id, lead(doc_id) OVER (PARTITION BY source ORDER BY {_H('doc_id', 11)}) AS next_id FROM documents"),
     "h2_fraction": (h2_fraction, f"SELECT doc_id, lang FROM documents WHERE {_U('doc_id', 1)} < 0.3"),
     "h3_split": (h3_split, f"SELECT doc_id, CASE WHEN {_U('doc_id', 2)} < 0.1 THEN 'validation' ELSE 'train' END AS part FROM documents"),
     "h4_quota": (h4_quota, f"WITH {_QUOTA('documents', 'lang', 'doc_id', 150, 4)} SELECT doc_id, lang, copies FROM quota WHERE copies > 0"),

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import board as B
 from ..functions.board import Slot
+from ..functions.storage import scratch as _place
 from ..operators import encode as E
 from ..operators import evaluate as V
 from ..operators import ml
@@ -21,17 +19,6 @@ from .audit import event_classes
 from .common import CANONICAL, LEGAL, POS, indexed, placements, sql_attack, sql_between, sql_key, table
 
 
-def _place(spark, name):
-    """A fresh folder that all executors share; a temporary one only in local mode, where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def a9_available(spark, d):
     names = F.concat(F.element_at(F.array(F.lit("KQvK"), F.lit("KRvK"), F.lit("KPvK")), (F.col("o_orderkey") % 3 + 1).cast("int")), F.when(F.col("o_orderkey") % 2 == 0, "_canonical.npz").otherwise(".npz"))
     o = table(spark, d, "orders").select(names.alias("name"))
