@@ -8,6 +8,8 @@ is ever brought together, to add up the ranges' sizes.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,12 +33,17 @@ def sized(table: DataFrame) -> DataFrame:
 def _before(sizes: DataFrame, by: list[str]) -> DataFrame:
     """Rows of earlier ranges (of the group, if there is one): ``sizes`` is (by, __range, __n), a stored row per range. Ranges are added up in blocks, then the blocks."""
     rows = sizes.withColumn("__block", F.floor(F.col("__range") / _BLOCK))
-    blocks = rows.groupBy(*by, "__block").agg(F.sum("__n").alias("__b")).groupBy(*by).agg(F.sum("__b").alias("__size"), F.collect_list(F.struct("__block", "__b")).alias("__bs"))
+    sums = rows.groupBy(*by, "__block").agg(F.sum("__n").alias("__b"))
     inside = F.sum("__n").over(Window.partitionBy(*by, "__block").orderBy("__range")) - F.col("__n")
-    earlier = F.aggregate(F.filter("__bs", lambda b: b["__block"] < F.col("__block")), F.lit(0).cast("long"), lambda a, b: a + b["__b"])
     inner = rows.withColumn("__inside", inside)
-    every = _null_safe(inner, sized(stored(blocks, "range-blocks")), by) if by else inner.join(F.broadcast(blocks))
-    return every.select(*by, "__range", "__size", (F.col("__inside") + earlier).alias("__before"))
+    if not by:  # a row per block of ranges comes to the driver
+        found = sorted((r["__block"], r["__b"]) for r in sums.collect())
+        ends = list(accumulate(b for _, b in found))
+        starts = F.create_map(*[F.lit(v) for (block, b), end in zip(found, ends, strict=True) for v in (block, end - b)]) if found else F.create_map().cast("map<bigint, bigint>")
+        return inner.select("__range", F.lit(ends[-1] if ends else 0).cast("long").alias("__size"), (F.col("__inside") + starts[F.col("__block")]).alias("__before"))
+    blocks = sums.groupBy(*by).agg(F.sum("__b").alias("__size"), F.collect_list(F.struct("__block", "__b")).alias("__bs"))
+    earlier = F.aggregate(F.filter("__bs", lambda b: b["__block"] < F.col("__block")), F.lit(0).cast("long"), lambda a, b: a + b["__b"])
+    return _null_safe(inner, sized(stored(blocks, "range-blocks")), by).select(*by, "__range", "__size", (F.col("__inside") + earlier).alias("__before"))
 
 
 def ranked(df: DataFrame, order: list[Column | str], *, within: str | None = None, rank: str = "rank", size: str = "size") -> DataFrame:

@@ -212,14 +212,37 @@ def k1_shards(spark, d):
     return out.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+def _arriving(spark, rows, time, run):
+    """Rows as files that arrive in four slices of time, with a stream over them that ``run`` starts anew after each."""
+    path = _place(spark, "arriving")
+    streams.in_slices(spark, rows, time, path, 4, lambda k: run(streams.shards(spark, path, rows.schema, 1 << 20)))
+
+
 def k2_totals(spark, d):
-    return streams.drain(streams.totals(_events_stream(spark, d), "event_type"), _place(spark, "k2"), _place(spark, "cp"))
+    """Counts that each batch brings up to date, over four restarts."""
+    path, checkpoint, e = _place(spark, "k2"), _place(spark, "cp"), table(spark, d, "events")
+    _arriving(spark, e, "ts", lambda stream: streams.live_totals(stream, "event_type", path, checkpoint).awaitTermination())
+    return streams.latest(spark, path, streams.totals(e, "event_type").schema)
 
 
 def k3_metrics(spark, d):
-    """Lines of a live log, each with the best so far and the change to the line before in its run."""
-    lines = streams.drain(_events_stream(spark, d), _place(spark, "k3"), _place(spark, "cp"), "append")
-    return streams.progress(lines, "user_id", ["ts", "event_id"], "value").select("event_id", "user_id", "best", "better", F.round("delta", 4).alias("delta"))
+    """Lines of a live log, each with the best so far and the change to the line before in its run, across batches and restarts."""
+    path, checkpoint = _place(spark, "k3"), _place(spark, "cp")
+    e = table(spark, d, "events").select("event_id", "user_id", "ts", "value")
+    _arriving(spark, e, "ts", lambda stream: streams.live_log(stream, path, checkpoint, run="user_id", order=["ts", "event_id"], metrics=["value"], lead="value").awaitTermination())
+    return streams.log_lines(spark, path, e.schema, ["value"]).select("event_id", "user_id", "best", "better", F.round("delta_value", 4).alias("delta"))
+
+
+def k3_log(spark, d):
+    """The same over text lines of training runs, parsed as they arrive."""
+    path, checkpoint, k = _place(spark, "k3"), _place(spark, "cp"), F.col("event_id")
+    acc = F.concat(F.lit("0."), F.lpad((k * 7919 % 1000).cast("string"), 3, "0"))
+    line = F.concat(F.date_format("ts", "HH:mm:ss"), F.lit(" | Epoch "), (k % 7).cast("string"), F.lit(" | Batch "), k.cast("string"), F.lit(" | Loss: "), F.col("value").cast("string"), F.lit(" (+0.0) | Acc: "), acc, F.lit(" (+0.0) | MAE: "), (k % 13).cast("string"), F.lit(".5 (-0.1)"))
+    e = table(spark, d, "events").select("event_id", "user_id", "ts", line.alias("value"))
+    parsed = logs.metric_log(e)
+    metrics = ["loss", "acc", "mae"]
+    _arriving(spark, e, "ts", lambda stream: streams.live_log(logs.metric_log(stream), path, checkpoint, run="user_id", order=["ts", "event_id"], metrics=metrics, lead="acc").awaitTermination())
+    return streams.log_lines(spark, path, parsed.schema, metrics).select("event_id", "elapsed", F.col("epoch").cast("int").alias("epoch"), "best", "better", *[F.round(f"delta_{m}", 4).alias(f"delta_{m}") for m in metrics])
 
 
 def k4_dedup(spark, d):
@@ -227,6 +250,15 @@ def k4_dedup(spark, d):
     return streams.drain(streams.distinct_keys(s, ["user_id", "event_type"]), _place(spark, "k4"), _place(spark, "cp"), "append")
 
 
+def k4_event_time(spark, d):
+    """Events of which every third is sent again half an hour later: each once, with a state of two hours."""
+    path, checkpoint, e = _place(spark, "k4"), _place(spark, "cp"), table(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    again = e.where("event_id % 3 = 0").withColumn("ts", F.col("ts") + F.expr("INTERVAL 30 MINUTES"))
+    found = []
+    _arriving(spark, e.unionByName(again), "ts", lambda stream: found.append(streams.drain(streams.distinct_keys(stream, ["event_id"], "ts", "2 hours"), path, checkpoint, "append")))
+    return found[-1].select("event_id", "user_id")
+
+
 _EV = "ev AS (SELECT event_id, user_id, value, event_id % 3 AS t, CASE WHEN value - 50 > 25 THEN 2 WHEN value - 50 < -25 THEN 0 ELSE 1 END AS p FROM events)"
 _MICRO = "WITH g AS (SELECT o_orderpriority AS config, CAST(count(*) FILTER (o_totalprice > 150000) AS BIGINT) AS correct, count(*) AS total FROM orders GROUP BY 1) SELECT config, correct, total, round(CAST(correct AS DOUBLE) / total, 6) AS accuracy FROM g UNION ALL SELECT 'micro', CAST(sum(correct) AS BIGINT), CAST(sum(total) AS BIGINT), round(CAST(sum(correct) AS DOUBLE) / sum(total), 6) FROM g UNION ALL SELECT 'macro', CAST(sum(correct) AS BIGINT), CAST(sum(total) AS BIGINT), round(avg(CAST(correct AS DOUBLE) / total), 6) FROM g"
 
@@ -268,5 +300,10 @@ SELECT config, channel, count(*) AS n, round(sum(w), 3) AS w FROM w GROUP BY 1,
     "k1_shards": (k1_shards, "SELECT event_type, count(*) AS n FROM events GROUP BY 1"),
     "k2_totals": (k2_totals, "SELECT event_type, count(*) AS n FROM events GROUP BY 1"),
     "k3_metrics": (k3_metrics, "WITH w AS (SELECT event_id, user_id, value, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS best, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) SELECT event_id, user_id, best, past IS NULL OR value > past AS better, round(coalesce(value - before, 0), 4) AS delta FROM w"),
+    "k3_log": (k3_log, """WITH e AS (SELECT *, CAST(event_id * 7919 % 1000 AS DOUBLE) / 1000 AS acc, CAST(event_id % 13 AS DOUBLE) + 0.5 AS mae FROM events),
+w AS (SELECT *, max(acc) OVER r AS best, max(acc) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past, lag(value) OVER r AS l, lag(acc) OVER r AS a, lag(mae) OVER r AS m FROM e WINDOW r AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT event_id, CAST(extract(hour FROM ts) * 3600 + extract(minute FROM ts) * 60 + floor(extract(second FROM ts)) AS INTEGER) AS elapsed, CAST(event_id % 7 AS INTEGER) AS epoch, best, past IS NULL OR acc > past AS better,
+round(coalesce(value - l, 0), 4) AS delta_loss, round(coalesce(acc - a, 0), 4) AS delta_acc, round(coalesce(mae - m, 0), 4) AS delta_mae FROM w"""),
     "k4_dedup": (k4_dedup, "SELECT DISTINCT user_id, event_type FROM events"),
+    "k4_event_time": (k4_event_time, "SELECT event_id, user_id FROM events"),
 }

@@ -22,12 +22,13 @@ def training_log(lines: DataFrame, col: str = "value") -> DataFrame:
 
 
 def metric_log(lines: DataFrame, col: str = "value") -> DataFrame:
-    """``time | Epoch e | Batch b | Loss: x (d) | Acc: x (d) | MAE: x (d)`` lines, elapsed time in seconds."""
+    """``time | Epoch e | Batch b | Loss: x (d) | Acc: x (d) | MAE: x (d)`` lines: elapsed time in seconds and the numbers, beside all other columns."""
     text = F.col(col)
     clock = F.split(F.regexp_extract(text, r"^(\d+:\d+:\d+)", 1), ":")
     seconds = F.get(clock, F.lit(0)).try_cast("int") * 3600 + F.get(clock, F.lit(1)).try_cast("int") * 60 + F.get(clock, F.lit(2)).try_cast("int")
-    rows = lines.where(text.contains("| Batch "))
-    return rows.select(seconds.alias("elapsed"), number(text, r"Epoch (\d+)").alias("epoch"), number(text, r"Batch (\d+)").alias("batch"), number(text, r"Loss: ([0-9.-]+)").alias("loss"), number(text, r"Acc: ([0-9.-]+)").alias("acc"), number(text, r"MAE: ([0-9.-]+)").alias("mae"))
+    fields = {"elapsed": seconds, "epoch": number(text, r"Epoch (\d+)"), "batch": number(text, r"Batch (\d+)"), "loss": number(text, r"Loss: ([0-9.-]+)"), "acc": number(text, r"Acc: ([0-9.-]+)"), "mae": number(text, r"MAE: ([0-9.-]+)")}
+    rest = [c for c in lines.columns if c != col and c not in fields]
+    return lines.where(text.contains("| Batch ")).select(*rest, *[v.alias(k) for k, v in fields.items()])
 
 
 def engine_score(text: Column) -> Column:
