@@ -205,6 +205,25 @@ def edge_weights(src: Column, dst: Column) -> list[Column]:
     return [(file(dst) - file(src)) / 7.0, (rank(dst) - rank(src)) / 7.0, manhattan(src, dst) / 14.0, chebyshev(src, dst) / 7.0]
 
 
+#: Logical channels of an adjacency; geometric ones follow.
+LOGICAL = 16
+
+
+def adjacency(edges: DataFrame, keep: list[str]) -> DataFrame:
+    """Coordinates of the 20-channel adjacency of graphs: keep..., channel, src, dst, w.
+
+    ``edges`` is (keep..., kind, src, dst). An edge sets its kind's channel (0 to 15) to 1, and the four geometric channels
+    to its weights, whatever its kind; so several kinds between two squares share these. Each coordinate stands once,
+    also where edges repeat; edges of other kinds set the geometric ones alone.
+    """
+    weights = edge_weights(F.col("src"), F.col("dst"))
+    # equal edges fall together before they are multiplied, and squares' weights are made once per pair
+    kinds = edges.groupBy(*keep, "src", "dst").agg(F.collect_set(F.when(F.col("kind").between(0, LOGICAL - 1), F.col("kind").cast("int"))).alias("__kinds"))
+    logical = F.transform("__kinds", lambda k: F.struct(k.alias("channel"), F.lit(1.0).alias("w")))
+    geometric = F.array(*[F.struct(F.lit(LOGICAL + i).alias("channel"), w.cast("double").alias("w")) for i, w in enumerate(weights)])
+    return kinds.select(*keep, "src", "dst", F.inline(F.concat(logical, geometric))).select(*keep, "channel", "src", "dst", "w")
+
+
 def pad(x: Column, width: Column | int, keep_last: bool = False) -> Column:
     """Fill a vector with zeros up to a width; version 1 keeps its last entry last."""
     width = F.lit(width) if isinstance(width, int) else width

@@ -14,6 +14,8 @@ from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import stored
+
 
 def score(df: DataFrame, load: Callable[[], Callable[[np.ndarray], np.ndarray]], *, key: str, x: str = "x", batch: int = 8192) -> DataFrame:
     """Class probabilities by a model that ``load`` opens once per task: key, probs, pred."""
@@ -54,13 +56,28 @@ def fit_distance(df: DataFrame, *, label: str, x: str = "x"):
     return LinearRegression(regParam=0.01, maxIter=30).fit(df.select(array_to_vector(x).alias("features"), F.col(label).cast("double").alias("label")))
 
 
-def refit_on_errors(df: DataFrame, *, label: str, key: str, rounds: int = 2, weight: float = 2.0):
-    """Fit, weigh wrong rows up, fit again."""
-    model = fit(df, label=label)
-    for epoch in range(rounds):
-        wrong = predict(model, df.select(key, label, "x")).select("*", F.when(F.col("pred") != F.col(label), 1.0 + weight * (1 + min(epoch / 100, 2))).otherwise(1.0).alias("w"))
-        model = fit(wrong, label=label, weight="w")
-    return model
+def refit_on_errors(df: DataFrame, *, label: str, key: str, rounds: int = 2, copies: int = 2):
+    """Fit, join the rows that come out wrong to the training rows ``copies`` more times, and fit again.
+
+    Returns the last model and a table of rounds (round, rows trained on, rows wrong). A round's training rows are written
+    before they are fitted, so plans don't grow with the rounds and a lost executor costs a part of one
+    round. Hard rows are those of the last round only. Keys that repeat are judged row by row.
+    """
+    base = stored(df.select(key, label, "x"), "refit-base")
+    train, log, n = base, [], base.count()
+    for k in range(rounds + 1):
+        model = fit(train, label=label)
+        if k == rounds or not n:
+            wrong = predict(model, base).where(F.col("pred") != F.col(label)).count() if n else 0
+            log.append((k, train.count(), wrong))
+            break
+        hard = predict(model, base).where(F.col("pred") != F.col(label)).select(base.columns)
+        again = hard.select("*", F.explode(F.sequence(F.lit(1), F.lit(copies)))).select(base.columns)
+        grown = stored(base.unionByName(again), f"refit-round-{k + 1}")
+        held = grown.count()
+        log.append((k, train.count(), (held - n) // copies))
+        train = grown
+    return model, df.sparkSession.createDataFrame(log, "round int, rows long, wrong long")
 
 
 def sweep(df: DataFrame, *, label: str, x: str = "x"):

@@ -66,12 +66,24 @@ def write_shards(df: DataFrame, path: str, rows: int, by: str | None = None) ->
     (writer.partitionBy(by) if by else writer).parquet(path)
 
 
-def manifest(df: DataFrame, index: str, x: str | None = None, **fields: str) -> DataFrame:
-    """One row that describes a data set: rows, configurations, index range, width and type of its vectors, fields as given."""
-    vectors = [F.max(F.size(x)).alias("dims"), F.lit(df.schema[x].dataType.simpleString()).alias("dtype")] if x else []
-    return df.agg(
-        F.count("*").alias("total_positions"), F.count_distinct("config").alias("configs"), F.min(index).alias("first_index"), F.max(index).alias("last_index"), *vectors, *[F.lit(v).alias(k) for k, v in fields.items()]
-    )
+def write_described(df: DataFrame, path: str, index: str, x: str | None = None, **fields: str) -> DataFrame:
+    """Write a data set below ``path`` and describe it in the same pass; returns the manifest, a row.
+
+    Rows, configurations, index range, width and type of the vectors are counted while rows are written
+    (``path/data``), so nothing is read twice; the row goes to ``path/manifest`` as JSON, with ``fields`` as given. The set of
+    configurations is gathered, which are few.
+    """
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    vectors = [F.max(F.size(x)).alias("dims")] if x else []
+    counts = [F.count("*").alias("total_positions"), F.size(F.collect_set("config")).cast("long").alias("configs"), F.min(index).cast("long").alias("first_index"), F.max(index).cast("long").alias("last_index"), *vectors]
+    df.observe(seen, *counts).write.mode("errorifexists").parquet(f"{path}/data")
+    row = {**seen.get, **({"dtype": df.schema[x].dataType.simpleString()} if x else {}), **fields}
+    kinds = {"total_positions": "long", "configs": "long", "first_index": "long", "last_index": "long", "dims": "int"}
+    schema = ", ".join(f"{k} {kinds.get(k, 'string')}" for k in row)
+    df.sparkSession.createDataFrame([tuple(row.values())], schema).coalesce(1).write.json(f"{path}/manifest")
+    return df.sparkSession.read.schema(schema).json(f"{path}/manifest")
 
 
 def resume(todo: DataFrame, path: str, key: str, work) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import backup as D
 from ..operators import encode as E
 from ..operators import evaluate as V
 from ..operators import shards as H
@@ -229,6 +230,18 @@ def e15_minimax(spark, d):
     return best.select("c_nationkey", "v", rounded.alias("rounded"), V.white_view(F.pmod(rounded, F.lit(3)), F.col("c_nationkey") % 2).alias("seen"))
 
 
+def e15_depth(spark, d):
+    """The same tree as a table of parents and children, backed up to each depth; nodes at that depth count their own score."""
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    li = table(spark, d, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey")).alias("parent"), F.concat_ws(":", F.concat(F.lit("l"), F.col("l_orderkey")), F.col("l_extendedprice").cast("decimal(18,4)")).alias("child"), F.col("l_extendedprice").alias("value"))
+    named = lambda letter, col: F.concat(F.lit(letter), F.col(col))
+    children = c.select(named("n", "c_nationkey").alias("parent"), named("c", "c_custkey").alias("child")).unionByName(o.select(named("c", "o_custkey").alias("parent"), named("o", "o_orderkey").alias("child"))).unionByName(li.select("parent", "child"))
+    scores = c.select(named("c", "c_custkey").alias("node"), F.col("c_acctbal").alias("value")).unionByName(o.select(named("o", "o_orderkey").alias("node"), F.col("o_totalprice").alias("value"))).unionByName(li.select(F.col("child").alias("node"), "value").distinct())
+    roots = table(spark, d, "nation").select(named("n", "n_nationkey").alias("node"), F.lit(True).alias("maximise"))
+    found = D.backups(roots, children, scores, [0, 1, 2, 3])
+    return found.select(F.expr("CAST(substr(node, 2) AS BIGINT)").alias("n_nationkey"), F.col("plies").alias("depth"), F.round("value", 2).alias("v"))
+
+
 def e16_best_move(spark, d):
     li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_discount").alias("x"), F.min("l_quantity").alias("q"))
     return V.best_move(li, "l_orderkey", "l_linenumber", F.round((F.col("x") - 0.05) * 10, 6), F.col("q"))
@@ -417,6 +430,10 @@ QUERIES = {
     "e11_micro_macro": (e11_micro_macro, "WITH g AS (SELECT o_orderpriority AS config, CAST(count(*) FILTER (o_totalprice > 150000) AS BIGINT) AS correct, count(*) AS total FROM orders GROUP BY 1) SELECT config, correct, total, round(CAST(correct AS DOUBLE) / total, 6) AS accuracy FROM g UNION ALL SELECT 'micro', CAST(sum(correct) AS BIGINT), CAST(sum(total) AS BIGINT), round(CAST(sum(correct) AS DOUBLE) / sum(total), 6) FROM g UNION ALL SELECT 'macro', CAST(sum(correct) AS BIGINT), CAST(sum(total) AS BIGINT), round(avg(CAST(correct AS DOUBLE) / total), 6) FROM g"),
     "e14_keep_first": (e14_keep_first, "SELECT md5(text) AS pos_key, min(doc_id) AS doc_id FROM documents GROUP BY 1"),
     "e15_minimax": (e15_minimax, "WITH o AS (SELECT o_custkey, coalesce(max(l_extendedprice), 0.0) AS v FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_custkey), c AS (SELECT c_nationkey, coalesce(min(v), 0.0) AS v FROM customer LEFT JOIN o ON c_custkey = o_custkey GROUP BY c_custkey, c_nationkey) SELECT c_nationkey, v, r AS rounded, CAST(CASE WHEN c_nationkey % 2 = 0 THEN 2 - r % 3 ELSE r % 3 END AS INTEGER) AS seen FROM (SELECT c_nationkey, max(v) AS v, CAST(round_even(max(v) / 1000, 0) AS INTEGER) AS r FROM c GROUP BY 1)"),
+    "e15_depth": (e15_depth, """WITH o AS (SELECT o_custkey, o_totalprice, coalesce(max(l_extendedprice), o_totalprice) AS v FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_custkey, o_totalprice),
+c AS (SELECT c_nationkey, c_acctbal, coalesce(min(o_totalprice), c_acctbal) AS v2, coalesce(min(v), c_acctbal) AS v3 FROM customer LEFT JOIN o ON c_custkey = o_custkey GROUP BY c_custkey, c_nationkey, c_acctbal),
+n AS (SELECT n_nationkey, coalesce(max(c_acctbal), 0) AS v1, coalesce(max(v2), 0) AS v2, coalesce(max(v3), 0) AS v3 FROM nation LEFT JOIN c ON n_nationkey = c_nationkey GROUP BY 1)
+SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CAST(depth AS INTEGER) AS depth, round(CAST(CASE depth WHEN 0 THEN 0 WHEN 1 THEN v1 WHEN 2 THEN v2 ELSE v3 END AS DOUBLE), 2) AS v FROM n, range(4) t(depth)"""),
     "e16_best_move": (e16_best_move, "WITH l AS (SELECT l_orderkey, l_linenumber, round((min(l_discount) - 0.05) * 10, 6) AS w, min(l_quantity) AS q FROM lineitem GROUP BY 1, 2), b AS (SELECT *, CASE WHEN w > 0.3 THEN 1 WHEN w < -0.3 THEN -1 ELSE 0 END AS bucket FROM l), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY bucket DESC, CASE WHEN bucket <> 0 THEN -q ELSE 0 END DESC, w DESC, l_linenumber) AS r FROM b) SELECT l_orderkey, l_linenumber, bucket FROM r WHERE r = 1"),
     "e17_optimal": (e17_optimal, "WITH l AS (SELECT l_orderkey, l_linenumber, round((min(l_discount) - 0.05) * 10, 6) AS w, min(l_quantity) AS q FROM lineitem GROUP BY 1, 2), b AS (SELECT *, CASE WHEN w > 0.3 THEN 1 WHEN w < -0.3 THEN -1 ELSE 0 END AS bucket FROM l), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY bucket DESC, CASE WHEN bucket <> 0 THEN -q ELSE 0 END DESC, w DESC, l_linenumber) AS r, row_number() OVER (PARTITION BY l_orderkey ORDER BY bucket DESC, CASE WHEN bucket <> 0 THEN -floor(q / 10) ELSE 0 END DESC, w DESC, l_linenumber) AS s FROM b) SELECT count(*) FILTER (r = 1) AS n, count(*) FILTER (r = 1 AND s = 1) AS optimal FROM r"),
     "e18_invariance": (e18_invariance, f"WITH {POS}, k AS (SELECT config, {CANONICAL} AS key, CAST(idx % 97 AS DOUBLE) AS score FROM p) SELECT config, key, round(var_pop(score), 6) AS variance, max(score) - min(score) AS spread FROM k GROUP BY 1, 2"),

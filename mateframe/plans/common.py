@@ -29,6 +29,14 @@ def placements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed(indexed(spark, sf_dir), list(CONFIGS.values()), unrank_permutation(3, F.col("idx")))
 
 
+def customer_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as placements of three pieces, some ten times fewer than line items."""
+    idx = F.pmod(F.col("c_custkey") * 15485863 + F.col("c_nationkey") * 31, F.lit(249984))
+    config = F.when(F.col("c_nationkey") % 3 == 0, "KQvK").when(F.col("c_nationkey") % 3 == 1, "KRvK").otherwise("KPvK")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), config.alias("config"), idx.alias("idx"), (F.col("c_custkey") % 2).cast("int").alias("turn"))
+    return placed(rows, list(CONFIGS.values()), unrank_permutation(3, F.col("idx")))
+
+
 def csv(x: Column) -> Column:
     """A vector as text with six decimals, for comparing."""
     return F.array_join(F.transform(x, lambda v: F.floor(v * 1000000 + 0.5).cast("string")), ",")
@@ -45,6 +53,10 @@ p AS (SELECT id, config, idx, turn, s0, s1,
         6 AS t0, CASE config WHEN 'KQvK' THEN 5 WHEN 'KRvK' THEN 4 ELSE 1 END AS t1, 6 AS t2, 1 AS c0, 1 AS c1, 0 AS c2 FROM v)
 """
 
+CUSTOMER_POS = """
+ix AS (SELECT c_custkey AS id, CASE c_nationkey % 3 WHEN 0 THEN 'KQvK' WHEN 1 THEN 'KRvK' ELSE 'KPvK' END AS config, (c_custkey * 15485863 + c_nationkey * 31) % 249984 AS idx, CAST(c_custkey % 2 AS INTEGER) AS turn FROM customer),
+""" + POS[POS.index("u AS") :]
+
 
 def sql_between(a: str, b: str, x: str) -> str:
     return (

@@ -16,7 +16,7 @@ from ..operators import universe as U
 from ..sources import logs, npz
 from ..streaming import streams
 from .audit import event_classes
-from .common import CANONICAL, LEGAL, POS, indexed, placements, sql_attack, sql_between, sql_key, table
+from .common import CANONICAL, CUSTOMER_POS, LEGAL, POS, customer_placements, indexed, placements, sql_attack, sql_between, sql_key, table
 
 
 def a9_available(spark, d):
@@ -60,10 +60,9 @@ def a14_combine(spark, d):
 
 
 def a15_manifest(spark, d):
-    path = _place(spark, "manifest")
+    """A data set's description, counted while it is written."""
     v = table(spark, d, "embeddings").select(F.col("label").alias("config"), "vec_id", "embedding")
-    H.manifest(v, "vec_id", "embedding", version="v4", canonical="auto", enumeration="permutation").write.json(path)
-    return spark.read.schema("total_positions long, configs long, first_index long, last_index long, dims int, dtype string, version string, canonical string, enumeration string").json(path)
+    return H.write_described(v, _place(spark, "manifest"), "vec_id", "embedding", version="v4", canonical="auto", enumeration="permutation")
 
 
 def a16_resume(spark, d):
@@ -142,6 +141,12 @@ def c25_adjacency(spark, d):
     return tall.groupBy("config", "channel").agg(F.count("*").alias("n"), F.round(F.sum("w"), 3).alias("w"))
 
 
+def c25_channels(spark, d):
+    """All coordinates of the 20 channels, of positions that customers name: influence in channel 1, x-rays in 2."""
+    e = E.attack_edges(customer_placements(spark, d), 3, ["id"], xray=True).withColumnRenamed("channel", "kind")
+    return E.adjacency(e, ["id"]).select("id", "channel", F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"), F.round("w", 6).alias("w"))
+
+
 def d4_successors(spark, d):
     """Children per position."""
     return M.successors(_legal(spark, d), 3, ["id"]).groupBy("id").agg(F.count("*").alias("children"))
@@ -189,8 +194,8 @@ def j2_distance(spark, d):
 
 
 def j3_refit(spark, d):
-    v = _vectors(spark, d)
-    return ml.predict(ml.refit_on_errors(v, label="label", key="vec_id"), v).agg(F.count("*").alias("n"), F.count_if(F.col("pred") == F.col("label")).alias("correct"))
+    """Rounds of fitting with the wrong rows joined in: rows trained on and rows wrong, per round."""
+    return ml.refit_on_errors(_vectors(spark, d), label="label", key="vec_id")[1]
 
 
 def j4_sweep(spark, d):
@@ -264,7 +269,7 @@ _MICRO = "WITH g AS (SELECT o_orderpriority AS config, CAST(count(*) FILTER (o_t
 
 _REACH = "CASE t{i} WHEN 1 THEN false WHEN 5 THEN s{i} % 8 = q % 8 OR s{i} // 8 = q // 8 OR abs(s{i} % 8 - q % 8) = abs(s{i} // 8 - q // 8) WHEN 4 THEN s{i} % 8 = q % 8 OR s{i} // 8 = q // 8 ELSE false END"
 _PASSED = lambda i: " + ".join(f"CAST({sql_between(f's{i}', 'q', f's{j}')} AS INT)" for j in range(3) if j != i)
-_CHANNELS = f"WITH {POS} " + " UNION ALL ".join(
+_CHANNELS = " UNION ALL ".join(
     f"SELECT id, 1 AS channel, s{i} AS src, CAST(q AS INTEGER) AS dst FROM p, range(64) t(q) WHERE {sql_attack(i, 'q')} UNION ALL SELECT id, 2, s{i}, CAST(q AS INTEGER) FROM p, range(64) t(q) WHERE q <> s{i} AND {_REACH.format(i=i)} AND {_PASSED(i)} = 1"
     for i in range(3)
 )
@@ -286,10 +291,14 @@ QUERIES = {
     "c12_encode_v6": (_tactical(6), None),
     "c13_encode_v7": (_tactical(7), None),
     "c19_moves": (c19_moves, None),
-    "c20_channels": (c20_channels, _CHANNELS),
+    "c20_channels": (c20_channels, f"WITH {POS} {_CHANNELS}"),
     "c25_adjacency": (c25_adjacency, f"""WITH {POS}, e AS ({" UNION ALL ".join(f"SELECT config, s{i} AS a, q AS b FROM p, range(64) t(q) WHERE {sql_attack(i, 'q')}" for i in range(3))}),
 w AS (SELECT config, unnest([16, 17, 18, 19]) AS channel, unnest([CAST(b % 8 - a % 8 AS DOUBLE) / 7, CAST(b // 8 - a // 8 AS DOUBLE) / 7, CAST(abs(b % 8 - a % 8) + abs(b // 8 - a // 8) AS DOUBLE) / 14, CAST(greatest(abs(b % 8 - a % 8), abs(b // 8 - a // 8)) AS DOUBLE) / 7]) AS w FROM e)
 SELECT config, channel, count(*) AS n, round(sum(w), 3) AS w FROM w GROUP BY 1, 2"""),
+    "c25_channels": (c25_channels, f"""WITH {CUSTOMER_POS}, e AS ({_CHANNELS}),
+g AS (SELECT DISTINCT id, src, dst, src % 8 AS x, src // 8 AS y, dst % 8 AS u, dst // 8 AS v FROM e)
+SELECT DISTINCT id, CAST(channel AS INTEGER) AS channel, src, dst, 1.0::DOUBLE AS w FROM e
+UNION ALL SELECT id, CAST(16 + i AS INTEGER) AS channel, src, dst, round(CASE i WHEN 0 THEN CAST(u - x AS DOUBLE) / 7 WHEN 1 THEN CAST(v - y AS DOUBLE) / 7 WHEN 2 THEN CAST(abs(u - x) + abs(v - y) AS DOUBLE) / 14 ELSE CAST(greatest(abs(u - x), abs(v - y)) AS DOUBLE) / 7 END, 6) AS w FROM g, range(4) t(i)"""),
     "d4_successors": (d4_successors, None),
     "h1_sample": (h1_sample, f"WITH {POS}, k AS (SELECT id, config, turn, (777 + idx * 100003) % 249984 AS place, {sql_key(0)} AS key FROM p WHERE {LEGAL} AND {sql_key(0)} = {CANONICAL} AND (777 + idx * 100003) % 249984 < 200000) SELECT id, config, turn FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY place, id) AS r FROM k) WHERE r = 1 ORDER BY place, id LIMIT 500"),
     "j1_score": (j1_score, None),
