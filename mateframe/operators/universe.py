@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import math
 from functools import reduce
-from operator import and_
+from operator import add, and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.board import KING, LETTERS, PAWN, Slot, canonical_key, chebyshev, fixed, in_check, king, packed, rank, with_kings, with_masks
+from ..functions.board import LETTERS, PAWN, Slot, attacks, canonical_key, chebyshev, file, fixed, in_check, king, packed, rank, with_kings, with_masks
 
 
 def unrank_permutation(n: int, index: Column, squares: int = 64) -> Column:
@@ -108,9 +108,23 @@ def ascending_twins(slots: list[Slot]) -> Column:
     return reduce(and_, [~((a.kind == b.kind) & (a.white == b.white)) | (a.square < b.square) for a, b in pairs])
 
 
+def possible_checks(slots: list[Slot], turn: Column) -> Column:
+    """No move gives more checks than two, nor two along one line through the king."""
+    if len(slots) < 4:
+        return F.lit(True)
+    own = king(turn)
+    gives = [(s.white != turn) & attacks(s, own, slots) for s in slots]
+    checks = reduce(add, [g.cast("int") for g in gives])
+    # a checker's line through the king: same file, same rank, or one of the diagonals
+    line = lambda s: F.when(file(s.square) == file(own), 0).when(rank(s.square) == rank(own), 1).when(file(s.square) - file(own) == rank(s.square) - rank(own), 2).when(file(s.square) - file(own) == rank(own) - rank(s.square), 3)
+    on = [F.when(g, line(s)) for g, s in zip(gives, slots, strict=True)]
+    in_line = reduce(or_, [F.coalesce(a == b, F.lit(False)) for k, a in enumerate(on) for b in on[:k]])
+    return (checks < 2) | ((checks == 2) & ~in_line)
+
+
 def legal(slots: list[Slot], turn: Column) -> Column:
-    """Kings apart, and the side that has just moved is not in check."""
-    return (chebyshev(king(1), king(0)) > 1) & ~in_check(slots, 1 - turn)
+    """Kings apart, the side that has just moved not in check, and checks that a move can have given."""
+    return (chebyshev(king(1), king(0)) > 1) & ~in_check(slots, 1 - turn) & possible_checks(slots, turn)
 
 
 def is_canonical(slots: list[Slot], turn: Column, mode: str = "auto") -> Column:

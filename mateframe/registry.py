@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import audit, balance, flows, universe
+from .plans import audit, balance, flows, many, universe
 
-MODULES = (universe, audit, balance, flows)
+MODULES = (universe, many, audit, balance, flows)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,7 +7,7 @@ from mateframe import registry
 
 SQL = registry.oracle_sql()
 #: Of the slower ones, pytest runs a few; the driver runs all.
-SKIP = {"c1_orbit", "c10_encode_v2", "c11_encode_v4", "c28_mirror", "c17_square_features", "c25_adjacency"}
+SKIP = {"c1_orbit", "c10_encode_v2", "c28_mirror", "c17_square_features", "c25_adjacency", "c20_channels_five", "c11_encode_five"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL.keys() - SKIP))

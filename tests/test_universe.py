@@ -1,5 +1,6 @@
 """Golden counts and properties of enumeration, symmetry and encodings."""
 
+import itertools
 import math
 
 import pytest
@@ -111,6 +112,25 @@ def test_attacks_by_walking(spread):
             assert (edges.get((*key, 1), set()), edges.get((*key, 2), set())) == (open_, behind)
 
 
+def checks_can_arise(p, n):
+    """Two checks at most, and not from two squares of one line through the king."""
+    own = next(p[f"s{i}"] for i in range(n) if p[f"t{i}"] == 6 and p[f"c{i}"] == p["turn"])
+    by = [p[f"s{i}"] for i in range(n) if p[f"c{i}"] != p["turn"] and own in walked(p, i, n)]
+    lines = [{own + k * (dr * 8 + df) for k in range(-7, 8) if 0 <= own % 8 + k * df < 8 and 0 <= own // 8 + k * dr < 8} for df, dr in ((1, 0), (0, 1), (1, 1), (1, -1))]
+    return len(by) < 2 or (len(by) == 2 and not any(set(by) <= line for line in lines))
+
+
+@pytest.mark.parametrize("config", ["KRRvK", "KQBNvK", "KPBvK", "KQQvK"])
+def test_checks_that_no_move_gives(spark, config):
+    """All places of the other pieces around black's king on d4, black to move."""
+    n = len(U.pieces_of(config))
+    near = [q for q in range(64) if max(abs(q % 8 - 3), abs(q // 8 - 3)) <= 2 and q != 27]
+    ways = [(0, *pick, 27) for pick in itertools.permutations(near[:: n - 3], n - 2)]
+    df = U.placed(spark.createDataFrame([(config, list(w), 0) for w in ways], "config string, q array<int>, turn int"), [config], F.col("q"))
+    df = B.with_masks(df, n).select("*", U.possible_checks(Slot.of(n, masks=True), F.col("turn")).alias("ok")).collect()
+    assert all(p["ok"] == checks_can_arise(p, n) for p in df) and {p["ok"] for p in df} == {True, False}
+
+
 def test_legal_and_pinned_by_walking(spread):
     n, df = spread
     slots = Slot.of(n)
@@ -121,7 +141,7 @@ def test_legal_and_pinned_by_walking(spread):
         kings = {p[f"c{i}"]: p[f"s{i}"] for i in range(n) if p[f"t{i}"] == 6}
         apart = max(abs(kings[0] % 8 - kings[1] % 8), abs(kings[0] // 8 - kings[1] // 8)) > 1
         left = 1 - p["turn"]
-        assert p["legal"] == (apart and not any(p[f"c{i}"] != left and kings[left] in walked(p, i, n) for i in range(n)))
+        assert p["legal"] == (apart and not any(p[f"c{i}"] != left and kings[left] in walked(p, i, n) for i in range(n)) and checks_can_arise(p, n))
         for i in range(n):
             own = kings[p[f"c{i}"]]
             gone = {p[f"s{j}"] for j in range(n) if j != i}
