@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.board import KING, PAWN, Slot, attack_count, attack_mask, chebyshev, distances, file, fixed, has, images, manhattan, move_distance, packed_images, pinned, rank, with_kings, with_masks, xray_mask
@@ -188,6 +188,25 @@ def square_features(df: DataFrame, n: int, keep: list[str]) -> DataFrame:
     return df.select(*keep, "square", "piece", "white_atk", "black_atk", "mask", flags.alias("flags"))
 
 
+def graphs(df: DataFrame, n: int, keep: list[str]) -> DataFrame:
+    """Boards as graphs: keep..., p_ids (64 codes), node_tac (64 times ``square_features``' counts, mask and flags), edges (packed, ascending), edge_counts.
+
+    ``keep`` tells boards apart. Edges are influence (kind 1) and x-rays (kind 2), at most ``EDGES``. Needs k1 and k0.
+    """
+    slots = Slot.of(n)
+    reached = [(kind, s, mask) for kind, of in ((1, attack_mask), (2, xray_mask)) for s, mask in ((s, of(s, slots)) for s in slots)]
+    df = fixed(df, **{f"__e{i}": mask for i, (_, _, mask) in enumerate(reached)})
+    squares = F.sequence(F.lit(0), F.lit(63))
+    of = lambda i, kind, s: F.transform(F.filter(squares, lambda q: F.getbit(F.col(f"__e{i}"), q) == 1), lambda q: pack_edge(F.lit(kind), s.square, q))
+    edges = F.slice(F.array_sort(F.concat(*[of(i, kind, s) for i, (kind, s, _) in enumerate(reached)])), 1, EDGES)
+    boards = df.select(*keep, board_array(slots).alias("p_ids"), edges.alias("edges")).withColumn("edge_counts", F.size("edges"))
+    # one group is the 64 squares of a board
+    nodes = square_features(df, n, keep).groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct("square", F.array("white_atk", "black_atk", "mask", "flags").alias("f")))).alias("__n"))
+    nodes = nodes.select(*[F.col(k).alias(f"__{k}") for k in keep], F.flatten(F.transform("__n", lambda x: x["f"])).alias("node_tac"))
+    joined = boards.hint("merge").join(nodes.hint("merge"), [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keep])
+    return joined.select(*keep, "p_ids", "node_tac", "edges", "edge_counts")
+
+
 #: Most edges that a board keeps.
 EDGES = 1024
 
@@ -196,6 +215,13 @@ def pack_edge(kind: Column, src: Column, dst: Column) -> Column:
     return F.shiftleft(kind, 12).bitwiseOR(F.shiftleft(src, 6)).bitwiseOR(dst)
 
 
+def packed_edges(edges: DataFrame, board: str, most: int = EDGES) -> DataFrame:
+    """Edges (board, kind, src, dst) as numbers, of each board the ``most`` smallest: board, edge."""
+    order = Window.partitionBy(board).orderBy("edge")
+    packed = edges.select(board, pack_edge(F.col("kind"), F.col("src"), F.col("dst")).alias("edge"))
+    return packed.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= most).drop("__place")
+
+
 def unpack_edge(edge: Column) -> list[Column]:
     return [F.shiftright(edge, 12).alias("kind"), F.shiftright(edge, 6).bitwiseAND(63).alias("src"), edge.bitwiseAND(63).alias("dst")]
 
@@ -231,6 +257,29 @@ def pad(x: Column, width: Column | int, keep_last: bool = False) -> Column:
     return F.concat(F.slice(x, F.lit(1), F.size(x) - 1), zeros, F.slice(x, F.size(x), F.lit(1))) if keep_last else F.concat(x, zeros)
 
 
+def widths() -> list[tuple[int, int, str]]:
+    """(width, pieces, version) of every encoding of three to five pieces."""
+    out = []
+    for n in (3, 4, 5):
+        pairs = n * (n - 1) // 2
+        of = {"v1": 10 * n + 4 * pairs + 1, "v2_old": 10 * n + 5 * pairs + 1, "v2": 10 * n + 11 * pairs + 1, "v4": 11 * n + 4 * pairs, "v5": 11 * n + 4 * pairs, "v6": 15 * n + 4 * pairs, "v7": 17 * n + 4 * pairs, "compact": 64 * n}
+        out += [(w, n, v) for v, w in of.items()]
+    return out
+
+
+def infer(width: Column) -> Column:
+    """What a vector's width says: pieces and versions (several where widths are the same), null if it is no encoding's."""
+    by: dict[int, list[tuple[int, str]]] = {}
+    for w, n, v in widths():
+        by.setdefault(w, []).append((n, v))
+    out = F.lit(None).cast("struct<pieces: array<int>, versions: array<string>>")
+    for w, found in by.items():
+        pieces, versions = sorted({n for n, _ in found}), sorted({v for _, v in found})
+        known = F.struct(F.array(*map(F.lit, pieces)).alias("pieces"), F.array(*map(F.lit, versions)).alias("versions"))
+        out = F.when(width == w, known).otherwise(out)
+    return out
+
+
 def mirror_vector(x: Column, n: int) -> Column:
     """File mirror of a version 4 vector: columns become 1 - column, dx changes sign."""
     pieces = 11 * n

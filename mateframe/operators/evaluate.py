@@ -20,6 +20,18 @@ def label_class(wdl: Column, rule: str = "sign") -> Column:
     }[rule]
 
 
+def label_arity(df: DataFrame, by: str, wdl: str) -> DataFrame:
+    """Number of classes that each data set's labels ask for: five if any is cursed or blessed (1 or -1), else three."""
+    odd = F.max(F.when(F.col(wdl).isin(-1, 1), 1).otherwise(0))
+    return df.groupBy(by).agg(F.when(odd == 1, 5).otherwise(3).alias("arity"))
+
+
+def mapped_class(wdl: Column, arity: Column) -> Column:
+    """Class of a value by its data set's arity: -2, 0, 2 as 0, 1, 2, or -2 to 2 as 0 to 4; null for others."""
+    three = F.when(wdl.isin(-2, 0, 2), (wdl / 2 + 1).cast("int"))
+    return F.when(arity == 5, F.when(wdl.between(-2, 2), (wdl + 2).cast("int"))).otherwise(three)
+
+
 def threshold_class(score: Column, bound: float) -> Column:
     return F.when(score > bound, 2).when(score < -bound, 0).otherwise(1)
 
@@ -52,11 +64,10 @@ def per_class(df: DataFrame, true: str = "true", pred: str = "pred") -> DataFram
 
 
 def confusion(df: DataFrame, classes: int, true: str = "true", pred: str = "pred") -> DataFrame:
-    """One row per true class, one column per predicted one, zeros filled in."""
-    spark = df.sparkSession
-    rows = spark.range(classes).select(F.col("id").cast("int").alias(true))
-    counts = df.groupBy(true).agg(*[F.count_if(F.col(pred) == k).alias(f"pred_{k}") for k in range(classes)])
-    return F.broadcast(rows).join(counts, true, "left").fillna(0)
+    """One row per true class, one column per predicted one, zeros filled in; at most ``classes`` rows are joined."""
+    rows = df.sparkSession.range(classes).select(F.col("id").cast("int").alias(true))
+    counts = df.where(F.col(true).between(0, classes - 1)).groupBy(true).agg(*[F.count_if(F.col(pred) == k).alias(f"pred_{k}") for k in range(classes)])
+    return rows.join(F.broadcast(counts), true, "left").fillna(0)
 
 
 def accuracy(df: DataFrame, true: str = "true", pred: str = "pred") -> DataFrame:
@@ -97,15 +108,32 @@ def break_even(df: DataFrame, wrong: Column, model_bytes: int, table_bytes: int,
     return df.agg(errors.alias("errors"), need.alias("bytes"), F.round(F.lit(table_bytes) / need, 6).alias("compression"), F.round(1 - (table_bytes - model_bytes) / (F.count("*") * float(exception_bytes)), 6).alias("break_even"))
 
 
+#: Rows that a product may have.
+PRODUCT = 1 << 24
+
+
+def product(a: DataFrame, b: DataFrame, most: int = PRODUCT) -> DataFrame:
+    """All pairs of two small tables; both are counted first, and a product of over ``most`` rows is refused."""
+    n, m = a.count(), b.count()
+    if n * m > most:
+        raise ValueError(f"{n} times {m} rows is over {most}")
+    return a.crossJoin(F.broadcast(b)) if m <= n else F.broadcast(a).crossJoin(b)
+
+
 def overlay(pred: DataFrame, exceptions: DataFrame, key: str, value: str) -> DataFrame:
     """Predictions with the stored exceptions laid over them."""
     return pred.join(exceptions.select(key, F.col(value).alias("__fix")), key, "left").withColumn(value, F.coalesce("__fix", value)).drop("__fix")
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, not in every place that names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def softmax(x: Column) -> Column:
-    top = F.array_max(x)
-    e = F.transform(x, lambda v: F.exp(v - top))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda a, b: a + b)
+    shares = lambda e: _bound(total(e), lambda t: F.transform(e, lambda v: v / t))
+    return _bound(x, lambda y: _bound(F.array_max(y), lambda top: _bound(F.transform(y, lambda v: F.exp(v - top)), shares)))
 
 
 def minimax(children: DataFrame, parent: str, value: str, maximise: bool) -> DataFrame:

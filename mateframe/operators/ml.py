@@ -80,6 +80,23 @@ def refit_on_errors(df: DataFrame, *, label: str, key: str, rounds: int = 2, cop
     return model, df.sparkSession.createDataFrame(log, "round int, rows long, wrong long")
 
 
+def grid_scores(df: DataFrame, *, label: str, x: str, scales: list[float], classes: int = 10) -> DataFrame:
+    """How often each component of a vector, times each scale and rounded down modulo the classes, is the label: place, scale, correct.
+
+    Components become rows once, scales are counted side by side and turned into rows of the result, so nothing is multiplied by the grid.
+    """
+    tall = df.select(label, F.posexplode(x).alias("place", "v"))
+    hit = lambda s: F.count_if(F.pmod(F.floor(F.col("v").cast("double") * s), F.lit(classes)) == F.col(label))
+    wide = tall.groupBy("place").agg(*[hit(s).alias(f"__{i}") for i, s in enumerate(scales)])
+    return wide.select("place", F.inline(F.array(*[F.struct(F.lit(float(s)).alias("scale"), F.col(f"__{i}").alias("correct")) for i, s in enumerate(scales)])))
+
+
+def best_of_grid(scores: DataFrame) -> DataFrame:
+    """The cell of the grid with the most hits; of equal ones the first place, then the least scale."""
+    order = F.struct("correct", -F.col("place"), -F.col("scale"))
+    return scores.agg(F.max_by(F.struct("place", "scale", "correct"), order).alias("r")).select("r.*")
+
+
 def sweep(df: DataFrame, *, label: str, x: str = "x"):
     """The best regularisation by a held-out fifth."""
     data = df.select(array_to_vector(x).alias("features"), F.col(label).cast("double").alias("label"))

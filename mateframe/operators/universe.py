@@ -72,7 +72,7 @@ def enumerate_placements(spark: SparkSession, config: str, *, offset: int = 0, l
     ``limit`` 0 means no limit. ``turns`` is ``both`` or ``white``.
     """
     n = len(pieces_of(config))
-    stop = math.perm(64, n) if not limit else min(offset + limit, math.perm(64, n))
+    stop = slice_end(n, offset, limit)
     ranks = spark.range(offset, stop, 1, partitions) if partitions else spark.range(offset, stop)
     df = ranks.withColumnRenamed("id", "idx").withColumn("config", F.lit(config))
     return both_turns(placed(df, [config], unrank_permutation(n, F.col("idx"))), turns)
@@ -86,6 +86,11 @@ def placed(df: DataFrame, configs: list[str], squares: Column) -> DataFrame:
     return with_kings(fixed(df, **{f"{p}{i}": F.col(f"{p}{i}") for i in range(n) for p in "tc"}) if len(configs) > 1 else df, n)
 
 
+def slice_end(n: int, offset: int, limit: int) -> int:
+    """Rank behind the last of a slice of the placements of n pieces; ``limit`` 0 means to the end."""
+    return min(offset + limit, math.perm(64, n)) if limit else math.perm(64, n)
+
+
 def enumerate_combinations(spark: SparkSession, config: str, turns: str = "both") -> DataFrame:
     """One placement per square set: slot 0 gets the highest square."""
     n = len(pieces_of(config))

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import backup as D
 from ..operators import encode as E
 from ..operators import evaluate as V
+from ..operators import ml
 from ..operators import shards as H
 from ..operators.search import cascade_score
 from ..functions.board import Slot, canonical_key
-from .common import CANONICAL, POS, csv, placements, table
+from .common import CANONICAL, POS, csv, customer_placements, placements, table
 
 
 def predictions(spark, d):
@@ -74,19 +77,31 @@ def c30_white_view(spark, d):
 
 
 def c31_softmax(spark, d):
-    x = F.transform(F.slice("embedding", 1, 3), lambda v: v.cast("double") * 5)
+    """Probabilities over a whole vector: the best class, the expected one, and that rounded half to even."""
+    x = F.transform("embedding", lambda v: v.cast("double") * 5)
     p = table(spark, d, "embeddings").select("vec_id", V.softmax(x).alias("p"))
     expected = F.aggregate(F.transform("p", lambda v, i: v * i), F.lit(0.0), lambda a, b: a + b)
-    return p.select("vec_id", (F.array_position("p", F.array_max("p")) - 1).alias("best"), F.round(expected, 6).alias("expected"), F.bround(expected).cast("int").alias("rounded"))
+    return p.select("vec_id", (F.array_position("p", F.array_max("p")) - 1).alias("best"), F.round(expected, 6).alias("expected"), F.bround(F.round(expected, 6)).cast("int").alias("rounded"))
 
 
 def c32_infer(spark, d):
-    """Pieces and version that a vector's width allows; more than one answer is reported as such."""
-    widths = [(10 * n + 4 * n * (n - 1) // 2 + 1, n, "v1") for n in (3, 4, 5)] + [(11 * n + 4 * n * (n - 1) // 2, n, v) for n in (3, 4, 5) for v in ("v4", "v5")]
-    lut = spark.createDataFrame(widths, "width int, pieces int, version string")
-    w = (F.pmod("vec_id", F.lit(60)) + 40).cast("int")
-    v = table(spark, d, "embeddings").select("vec_id", w.alias("width"))
-    return v.join(F.broadcast(lut), "width").groupBy("vec_id", "width").agg(F.max("pieces").alias("pieces"), F.array_join(F.sort_array(F.collect_set("version")), "|").alias("versions"), (F.count("*") > 1).alias("ambiguous"))
+    """Pieces and versions that vectors' widths allow: embeddings, and positions of customers in four encodings."""
+    rows = customer_placements(spark, d)
+    ways = [(1, False), (1, True), (4, False), (5, False)]
+    encoded = [E.encode(rows.where(F.col("id") % 4 == k), 3, version, moves=moves).select(F.lit("position").alias("source"), "id", F.size("x").alias("width")) for k, (version, moves) in enumerate(ways)]
+    vectors = table(spark, d, "embeddings").select(F.lit("embedding").alias("source"), F.col("vec_id").alias("id"), F.size("embedding").alias("width"))
+    every = reduce(DataFrame.unionByName, encoded, vectors).withColumn("i", E.infer(F.col("width")))
+    return every.select("source", "id", "width", F.array_join("i.pieces", "|").alias("pieces"), F.array_join("i.versions", "|").alias("versions"), (F.size("i.versions") > 1).alias("ambiguous"))
+
+
+def c32_arity(spark, d):
+    """Data sets with three or five kinds of labels, told by the labels, and their classes."""
+    k = F.col("event_id")
+    wdl = F.when(F.col("event_type").isin("click", "view"), (k % 3 - 1) * 2).otherwise(k % 5 - 2).cast("int")
+    e = table(spark, d, "events").select("event_type", wdl.alias("wdl"))
+    arity = V.label_arity(e, "event_type", "wdl").withColumnRenamed("event_type", "__t")
+    mapped = e.join(arity.hint("merge"), F.col("event_type").eqNullSafe(F.col("__t"))).withColumn("class", V.mapped_class(F.col("wdl"), F.col("arity")))
+    return mapped.groupBy("event_type", "arity", "class").agg(F.count("*").alias("n"))
 
 
 def d1_attach(spark, d):
@@ -157,11 +172,11 @@ def d11_verify(spark, d):
 
 
 def d12_product(spark, d):
-    """Every pair of priority and state, seen or not, with its number of orders; both sides are small totals."""
+    """Every pair of priority and state, seen or not, with its number of orders; both sides are counted before they are multiplied."""
     o = table(spark, d, "orders")
     sides = [o.select(c).distinct() for c in ("o_orderpriority", "o_orderstatus")]
     counts = o.groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"))
-    pairs = sides[0].crossJoin(sides[1])
+    pairs = V.product(*sides)
     return pairs.join(counts, ["o_orderpriority", "o_orderstatus"], "left").fillna(0, "n")
 
 
@@ -380,13 +395,16 @@ def i3_distinct(spark, d):
     return table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber").distinct()
 
 
+SCALES = [10.0, 20.0, 30.0]
+
+
 def j5_sweep(spark, d):
-    """A grid of scales and places: which reads the label best from a vector."""
-    grid = spark.range(12).select(F.col("id").alias("grid_id"), (F.col("id") % 4).cast("int").alias("place"), (F.floor(F.col("id") / 4) * 10 + 10).alias("scale"))
-    v = table(spark, d, "embeddings").select("label", "embedding")
-    guess = F.pmod(F.floor(F.get("embedding", F.col("place")).cast("double") * F.col("scale")), F.lit(10))
-    scores = v.join(F.broadcast(grid)).groupBy("grid_id").agg(F.count_if(guess == F.col("label")).alias("correct"))
-    return scores
+    """A grid of places and scales over whole vectors: how often each reads the label."""
+    return ml.grid_scores(table(spark, d, "embeddings"), label="label", x="embedding", scales=SCALES)
+
+
+def j5_best(spark, d):
+    return ml.best_of_grid(j5_sweep(spark, d))
 
 
 _H = lambda key, seed: f"md5(concat_ws('|', CAST({key} AS VARCHAR), '{seed}'))"
@@ -396,6 +414,8 @@ _QUOTA = lambda src, stratum, key, rows, seed: f"""z AS (SELECT *, count(*) OVER
 y AS (SELECT *, {rows} // size AS epochs, row_number() OVER (PARTITION BY {stratum} ORDER BY md5(concat_ws('|', CAST({key} AS VARCHAR), '{seed}', CAST({rows} // size AS VARCHAR)))) AS r FROM z),
 quota AS (SELECT *, epochs + CASE WHEN r <= {rows} - epochs * size THEN 1 ELSE 0 END AS copies FROM y)"""
 
+_GRID = "SELECT CAST(i AS INTEGER) AS place, CAST(s AS DOUBLE) AS scale, count(*) FILTER (((CAST(floor(CAST(embedding[i + 1] AS DOUBLE) * s) AS BIGINT) % 10) + 10) % 10 = label) AS correct FROM embeddings, range(64) t(i), (VALUES (10), (20), (30)) u(s) GROUP BY 1, 2"
+
 QUERIES = {
     "b7_mispredicted": (b7_mispredicted, f'WITH {PRED} SELECT doc_id, true_ AS "true", pred FROM pr WHERE true_ <> pred'),
     "b8_outliers": (b8_outliers, "SELECT l_partkey, count(*) AS n FROM (SELECT l_partkey, l_quantity, avg(l_quantity) OVER (PARTITION BY l_partkey) AS m FROM lineitem) WHERE abs(l_quantity - m) > 20 GROUP BY 1"),
@@ -404,8 +424,13 @@ QUERIES = {
     "c26_pad": (c26_pad, "WITH v AS (SELECT vec_id, list_transform(embedding[1 : vec_id % 5 + 2], lambda y: CAST(y AS DOUBLE)) AS x FROM embeddings), w AS (SELECT max(len(x)) AS w FROM v) SELECT vec_id, array_to_string(list_transform(x[1 : len(x) - 1] || list_transform(range(0, w - len(x)), lambda i: CAST(0 AS DOUBLE)) || x[len(x) : len(x)], lambda y: CAST(CAST(floor(y * 1000000 + 0.5) AS BIGINT) AS VARCHAR)), ',') AS x FROM v, w"),
     "c29_labels": (c29_labels, "WITH e AS (SELECT event_id, value, CAST(event_id % 5 - 2 AS INTEGER) AS w FROM events) SELECT event_id, CAST(sign(w) + 1 AS INTEGER) AS sign, CAST(floor(w / 2.0) + 1 AS INTEGER) AS floor, CASE w WHEN -2 THEN 0 WHEN 2 THEN 2 ELSE 1 END AS exact, CASE w WHEN -2 THEN 0 WHEN 0 THEN 1 ELSE 2 END AS else_win, w + 2 AS five, CASE WHEN value - 50 > 25 THEN 2 WHEN value - 50 < -25 THEN 0 ELSE 1 END AS by_value FROM e"),
     "c30_white_view": (c30_white_view, "SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 2 - o_orderkey % 3 ELSE o_orderkey % 3 END AS INTEGER) AS white_class FROM orders"),
-    "c31_softmax": (c31_softmax, "WITH x AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) * 5 AS a, CAST(embedding[2] AS DOUBLE) * 5 AS b, CAST(embedding[3] AS DOUBLE) * 5 AS c FROM embeddings), y AS (SELECT *, (exp(b) + 2 * exp(c)) / (exp(a) + exp(b) + exp(c)) AS e FROM x) SELECT vec_id, CAST(CASE WHEN a >= b AND a >= c THEN 0 WHEN b >= c THEN 1 ELSE 2 END AS BIGINT) AS best, round(e, 6) AS expected, CAST(round_even(e, 0) AS INTEGER) AS rounded FROM y"),
-    "c32_infer": (c32_infer, "WITH l AS (SELECT 10 * n + 2 * n * (n - 1) + 1 AS width, n, 'v1' AS v FROM (VALUES (3), (4), (5)) t(n) UNION ALL SELECT 11 * n + 2 * n * (n - 1), n, x FROM (VALUES (3), (4), (5)) t(n), (VALUES ('v4'), ('v5')) u(x)) SELECT vec_id, CAST(l.width AS INTEGER) AS width, CAST(max(n) AS INTEGER) AS pieces, string_agg(DISTINCT v, '|' ORDER BY v) AS versions, count(*) > 1 AS ambiguous FROM embeddings JOIN l ON vec_id % 60 + 40 = l.width GROUP BY 1, 2"),
+    "c31_softmax": (c31_softmax, "WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: exp(CAST(v AS DOUBLE) * 5)) AS e, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS v FROM embeddings), y AS (SELECT vec_id, v, round(list_sum(list_transform(range(len(e)), lambda i: e[i + 1] * i)) / list_sum(e), 6) AS m FROM x) SELECT vec_id, CAST(list_position(v, list_max(v)) - 1 AS BIGINT) AS best, m AS expected, CAST(round_even(m, 0) AS INTEGER) AS rounded FROM y"),
+    "c32_infer": (c32_infer, """WITH w AS (SELECT 'embedding' AS source, vec_id AS id, CAST(len(embedding) AS INTEGER) AS width FROM embeddings UNION ALL SELECT 'position', c_custkey, CAST(CASE c_custkey % 4 WHEN 0 THEN 43 WHEN 1 THEN 64 ELSE 45 END AS INTEGER) FROM customer),
+l AS (SELECT n, unnest(['v1', 'v2_old', 'v2', 'v4', 'v5', 'v6', 'v7', 'compact']) AS v, unnest([10 * n + 2 * n * (n - 1) + 1, 10 * n + 5 * (n * (n - 1) // 2) + 1, 10 * n + 11 * (n * (n - 1) // 2) + 1, 11 * n + 2 * n * (n - 1), 11 * n + 2 * n * (n - 1), 15 * n + 2 * n * (n - 1), 17 * n + 2 * n * (n - 1), 64 * n]) AS width FROM (VALUES (3), (4), (5)) t(n))
+SELECT source, id, w.width, string_agg(DISTINCT CAST(n AS VARCHAR), '|' ORDER BY CAST(n AS VARCHAR)) AS pieces, string_agg(DISTINCT v, '|' ORDER BY v) AS versions, count(DISTINCT v) > 1 AS ambiguous FROM w JOIN l ON w.width = l.width GROUP BY 1, 2, 3"""),
+    "c32_arity": (c32_arity, """WITH e AS (SELECT event_type, CASE WHEN event_type IN ('click', 'view') THEN (event_id % 3 - 1) * 2 ELSE event_id % 5 - 2 END AS wdl FROM events),
+a AS (SELECT event_type AS t, CASE WHEN count(*) FILTER (wdl IN (-1, 1)) > 0 THEN 5 ELSE 3 END AS arity FROM e GROUP BY 1)
+SELECT event_type, CAST(arity AS INTEGER) AS arity, CAST(CASE arity WHEN 5 THEN wdl + 2 ELSE wdl // 2 + 1 END AS INTEGER) AS class, count(*) AS n FROM e JOIN a ON t = event_type GROUP BY 1, 2, 3"""),
     "d1_attach": (d1_attach, f"WITH {PRED} SELECT config, count(*) AS n, CAST(sum(true_) AS BIGINT) AS good FROM pr GROUP BY 1"),
     "d2_fallback": (d2_fallback, "SELECT o_orderkey, coalesce(CASE WHEN o_totalprice > 200000 THEN o_totalprice END, c_acctbal, CASE WHEN o_orderkey % 2 = 0 THEN 100.0 END, 0.0) AS score FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey"),
     "d3_cache": (d3_cache, "SELECT l_partkey * 37 % 101 AS score, count(*) AS n FROM lineitem GROUP BY 1"),
@@ -458,5 +483,6 @@ SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CAST(depth AS INTEGER) AS dep
     "i1_union": (i1_union, "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1"),
     "i2_sets": (i2_sets, "SELECT c_custkey AS k, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'both' ELSE 'only' END AS part FROM customer"),
     "i3_distinct": (i3_distinct, "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem"),
-    "j5_sweep": (j5_sweep, "SELECT g AS grid_id, count(*) FILTER (((CAST(floor(CAST(embedding[g % 4 + 1] AS DOUBLE) * (g // 4 * 10 + 10)) AS BIGINT) % 10) + 10) % 10 = label) AS correct FROM embeddings, range(12) t(g) GROUP BY 1"),
+    "j5_sweep": (j5_sweep, _GRID),
+    "j5_best": (j5_best, f"SELECT * FROM ({_GRID}) ORDER BY correct DESC, place, scale LIMIT 1"),
 }

@@ -97,3 +97,11 @@ def sql_key(image: int) -> str:
 
 KEYS = "[" + ", ".join(sql_key(i) for i in range(8)) + "]"
 CANONICAL = f"CASE WHEN t1 = 1 THEN least({sql_key(0)}, {sql_key(4)}) ELSE list_min({KEYS}) END"
+
+#: Influence (channel 1) and x-ray (2) edges of p: id, channel, src, dst.
+_SQL_REACH = "CASE t{i} WHEN 1 THEN false WHEN 5 THEN s{i} % 8 = q % 8 OR s{i} // 8 = q // 8 OR abs(s{i} % 8 - q % 8) = abs(s{i} // 8 - q // 8) WHEN 4 THEN s{i} % 8 = q % 8 OR s{i} // 8 = q // 8 ELSE false END"
+_SQL_PASSED = lambda i: " + ".join(f"CAST({sql_between(f's{i}', 'q', f's{j}')} AS INT)" for j in range(3) if j != i)
+SQL_CHANNELS = " UNION ALL ".join(
+    f"SELECT id, 1 AS channel, s{i} AS src, CAST(q AS INTEGER) AS dst FROM p, range(64) t(q) WHERE {sql_attack(i, 'q')} UNION ALL SELECT id, 2, s{i}, CAST(q AS INTEGER) FROM p, range(64) t(q) WHERE q <> s{i} AND {_SQL_REACH.format(i=i)} AND {_SQL_PASSED(i)} = 1"
+    for i in range(3)
+)

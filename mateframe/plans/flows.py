@@ -16,7 +16,7 @@ from ..operators import universe as U
 from ..sources import logs, npz
 from ..streaming import streams
 from .audit import event_classes
-from .common import CANONICAL, CUSTOMER_POS, LEGAL, POS, customer_placements, indexed, placements, sql_attack, sql_between, sql_key, table
+from .common import CANONICAL, CUSTOMER_POS, LEGAL, POS, SQL_CHANNELS as _CHANNELS, customer_placements, indexed, placements, sql_attack, sql_key, table
 
 
 def a9_available(spark, d):
@@ -33,6 +33,16 @@ def a11_npz(spark, d):
     return npz.read(spark, path).groupBy("wdl").agg(F.count("*").alias("n"), F.sum("dtz").alias("dtz"), F.max(F.size("x")).alias("width"))
 
 
+def a11_graph(spark, d):
+    """Boards that customers name, as graph archives and back: pieces, node features and edges of each."""
+    legal = U.positions(customer_placements(spark, d), 3)
+    path = _place(spark, "graphs")
+    g = E.graphs(legal, 3, ["id", "turn"]).select("p_ids", "node_tac", "edges", "edge_counts", (F.col("id") % 5 - 2).cast("int").alias("wdl"), F.col("id").cast("int").alias("dtz"), "turn")
+    npz.write(g, path, 1000, "graph").agg(F.sum("rows")).collect()
+    text = lambda c: F.md5(F.array_join(F.col(c).cast("array<string>"), ",").cast("binary")).alias(c)
+    return npz.read(spark, path, "graph").select(F.col("dtz").cast("long").alias("id"), "turn", "wdl", "edge_counts", text("p_ids"), text("node_tac"), text("edges"))
+
+
 def a12_union(spark, d):
     li = table(spark, d, "lineitem")
     paths = [_place(spark, "part") for _ in range(2)]
@@ -54,8 +64,8 @@ def a14_combine(spark, d):
     """Chunk files combined into fewer, of a bounded number of rows: same rows."""
     parts, whole = _place(spark, "chunks"), _place(spark, "combined")
     table(spark, d, "orders").select("o_orderkey", "o_orderpriority").repartition(6, "o_orderkey").write.parquet(parts)
-    chunks = spark.read.parquet(parts)
-    chunks.coalesce(max(chunks.count() // 1_000_000, 1)).write.option("maxRecordsPerFile", 1_000_000).parquet(whole)
+    # files of an even, advised size by adaptive execution; the bound on rows holds besides
+    spark.read.parquet(parts).hint("rebalance").write.option("maxRecordsPerFile", 1_000_000).parquet(whole)
     return spark.read.parquet(whole).groupBy("o_orderpriority").agg(F.count("*").alias("n"))
 
 
@@ -81,9 +91,10 @@ def a17_training_log(spark, d):
 
 
 def a18_engine(spark, d):
+    """Scores read from engine output that stands at the end of long texts."""
     k = F.col("n_chars")
-    text = F.when(k % 3 == 0, F.concat(F.lit("Final evaluation +"), (k % 100).cast("string"), F.lit(".25 (white side)"))).when(k % 3 == 1, F.concat(F.lit("info depth 1 score cp -"), k.cast("string"), F.lit(" nodes 1"))).otherwise("info score mate -3")
-    return table(spark, d, "documents").select("doc_id", logs.engine_score(text).alias("cp"))
+    line = F.when(k % 3 == 0, F.concat(F.lit("Final evaluation +"), (k % 100).cast("string"), F.lit(".25 (white side)"))).when(k % 3 == 1, F.concat(F.lit("info depth 1 score cp -"), k.cast("string"), F.lit(" nodes 1"))).otherwise("info score mate -3")
+    return table(spark, d, "documents").select("doc_id", logs.engine_score(F.concat_ws("\n", "text", line)).alias("cp"))
 
 
 def a19_result_map(spark, d):
@@ -267,16 +278,19 @@ def k4_event_time(spark, d):
 _EV = "ev AS (SELECT event_id, user_id, value, event_id % 3 AS t, CASE WHEN value - 50 > 25 THEN 2 WHEN value - 50 < -25 THEN 0 ELSE 1 END AS p FROM events)"
 _MICRO = "WITH g AS (SELECT o_orderpriority AS config, CAST(count(*) FILTER (o_totalprice > 150000) AS BIGINT) AS correct, count(*) AS total FROM orders GROUP BY 1) SELECT config, correct, total, round(CAST(correct AS DOUBLE) / total, 6) AS accuracy FROM g UNION ALL SELECT 'micro', CAST(sum(correct) AS BIGINT), CAST(sum(total) AS BIGINT), round(CAST(sum(correct) AS DOUBLE) / sum(total), 6) FROM g UNION ALL SELECT 'macro', CAST(sum(correct) AS BIGINT), CAST(sum(total) AS BIGINT), round(avg(CAST(correct AS DOUBLE) / total), 6) FROM g"
 
-_REACH = "CASE t{i} WHEN 1 THEN false WHEN 5 THEN s{i} % 8 = q % 8 OR s{i} // 8 = q // 8 OR abs(s{i} % 8 - q % 8) = abs(s{i} // 8 - q // 8) WHEN 4 THEN s{i} % 8 = q % 8 OR s{i} // 8 = q // 8 ELSE false END"
-_PASSED = lambda i: " + ".join(f"CAST({sql_between(f's{i}', 'q', f's{j}')} AS INT)" for j in range(3) if j != i)
-_CHANNELS = " UNION ALL ".join(
-    f"SELECT id, 1 AS channel, s{i} AS src, CAST(q AS INTEGER) AS dst FROM p, range(64) t(q) WHERE {sql_attack(i, 'q')} UNION ALL SELECT id, 2, s{i}, CAST(q AS INTEGER) FROM p, range(64) t(q) WHERE q <> s{i} AND {_REACH.format(i=i)} AND {_PASSED(i)} = 1"
-    for i in range(3)
-)
-
 QUERIES = {
     "a9_available": (a9_available, "SELECT CASE o_orderkey % 3 WHEN 0 THEN 'KQvK' WHEN 1 THEN 'KRvK' ELSE 'KPvK' END AS config, o_orderkey % 2 = 0 AS canonical, count(*) AS n FROM orders GROUP BY 1, 2"),
     "a11_npz": (a11_npz, "SELECT CAST(label % 3 AS INTEGER) AS wdl, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS dtz, CAST(max(len(embedding)) AS INTEGER) AS width FROM embeddings GROUP BY 1"),
+    "a11_graph": (a11_graph, f"""WITH {CUSTOMER_POS}, l AS (SELECT * FROM p WHERE {LEGAL}), e AS ({_CHANNELS.replace("FROM p,", "FROM l AS p,")}),
+es AS (SELECT id, count(*) AS n, array_to_string(list(channel * 4096 + src * 64 + dst ORDER BY channel * 4096 + src * 64 + dst), ',') AS edges FROM e GROUP BY id),
+a AS (SELECT id, turn, q, s0, s1, s2, t1, CAST({sql_attack(0, "q")} AS INT) + CAST({sql_attack(1, "q")} AS INT) AS w, CAST({sql_attack(2, "q")} AS INT) AS b,
+    CASE WHEN {sql_attack(0, "q")} OR {sql_attack(2, "q")} THEN 32 ELSE 0 END | CASE WHEN {sql_attack(1, "q")} THEN CAST(power(2, t1 - 1) AS INTEGER) ELSE 0 END AS m,
+    CASE WHEN q IN (s0, s1) THEN 1 WHEN q = s2 THEN 0 ELSE turn END AS who, CASE WHEN q = s0 THEN 6 WHEN q = s1 THEN t1 WHEN q = s2 THEN 12 ELSE 0 END AS code FROM l, range(64) t(q)),
+f AS (SELECT *, CASE WHEN who = 1 THEN b ELSE w END AS theirs, CASE WHEN who = 1 THEN w ELSE b END AS ours FROM a),
+g AS (SELECT *, CASE WHEN (turn = 1 AND q = s0 AND b > 0) OR (turn = 0 AND q = s2 AND w > 0) THEN 1 ELSE 0 END + CASE WHEN theirs = 0 THEN 4 ELSE 0 END
+    + CASE WHEN code > 0 AND theirs > 0 AND ours = 0 THEN 8 ELSE 0 END + CASE WHEN ours > 0 THEN 16 ELSE 0 END AS flags FROM f),
+ns AS (SELECT id, turn, array_to_string(list(code ORDER BY q), ',') AS p_ids, array_to_string(list(concat_ws(',', w, b, m, flags) ORDER BY q), ',') AS node_tac FROM g GROUP BY id, turn)
+SELECT ns.id, turn, CAST(ns.id % 5 - 2 AS INTEGER) AS wdl, CAST(n AS INTEGER) AS edge_counts, md5(p_ids) AS p_ids, md5(node_tac) AS node_tac, md5(edges) AS edges FROM ns JOIN es ON ns.id = es.id"""),
     "a12_union": (a12_union, "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1"),
     "a13_shards": (a13_shards, f"WITH {POS} SELECT config, count(*) AS rows, true AS bounded FROM ix GROUP BY 1"),
     "a14_combine": (a14_combine, "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1"),

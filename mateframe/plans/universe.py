@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import board as B
 from ..functions.board import Slot
 from ..operators import encode as E
 from ..operators import universe as U
-from .common import CANONICAL, KEYS, LEGAL, POS, csv, indexed, placements, sql_attack, sql_between, sql_image, sql_key, table
+from .common import CANONICAL, CUSTOMER_POS, KEYS, LEGAL, POS, SQL_CHANNELS, csv, customer_placements, indexed, placements, sql_attack, sql_between, sql_image, sql_key, table
 
 
 
@@ -28,6 +27,10 @@ class _Slots(list):
 S = _Slots()
 
 
+#: Offset and limit (0: none) of each configuration's slice.
+SLICES = {"KQvK": (50_000, 100_000), "KRvK": (0, 0), "KPvK": (200_000, 0)}
+
+
 def _legal(spark, d):
     return U.positions(placements(spark, d), 3)
 
@@ -55,9 +58,12 @@ def a5_turns(spark, d):
 
 
 def a6_slice(spark, d):
-    """A resumed slice: ranks from an offset on, up to a limit, and whether the space is complete."""
-    rows = indexed(spark, d).where((F.col("idx") >= 50000) & (F.col("idx") < 150000))
-    return rows.groupBy("config").agg(F.count("*").alias("n"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), ((F.min("idx") == 0) & (F.max("idx") == 249983)).alias("complete"))
+    """Resumed slices of ranks, from an offset up to a limit: what they hold, and whether that is all there is of a configuration."""
+    bounds = F.create_map(*[F.lit(x) for c, (offset, limit) in SLICES.items() for x in (c, F.struct(F.lit(offset).alias("first"), F.lit(U.slice_end(3, offset, limit)).alias("stop")))])
+    rows = indexed(spark, d).withColumn("b", bounds[F.col("config")])
+    inside = (F.col("idx") >= F.col("b.first")) & (F.col("idx") < F.col("b.stop"))
+    held = F.when(inside, F.col("idx"))
+    return rows.groupBy("config").agg(F.count(held).alias("n"), F.min(held).alias("first_idx"), F.max(held).alias("last_idx"), (F.count(held) == F.count("idx")).alias("complete"))
 
 
 def a7_catalogue(spark, d):
@@ -66,7 +72,7 @@ def a7_catalogue(spark, d):
     at = lambda x: F.substr(F.lit(letters), (x % 5 + 1).cast("int"), F.lit(1))
     k = F.col("p_partkey")
     spelled = table(spark, d, "part").select(F.concat(F.lit("K"), at(k), F.lit("vK"), at(F.floor(k / 5))).alias("config")).groupBy("config").agg(F.count("*").alias("n"))
-    return F.broadcast(U.config_catalogue(spark, 4)).join(spelled, "config", "left").select("config", F.coalesce("n", F.lit(0)).alias("n"))
+    return U.config_catalogue(spark, 4).hint("merge").join(spelled.hint("merge"), "config", "left").select("config", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def a8_explode_config(spark, d):
@@ -182,11 +188,9 @@ def c18_pinned(spark, d):
 
 
 def c21_pack(spark, d):
-    e = table(spark, d, "events").select("event_id", E.pack_edge((F.col("event_id") % 16).cast("int"), (F.col("user_id") % 64).cast("int"), (F.col("event_id") % 64).cast("int")).alias("edge"))
-    # of a board's edges, the first 1,024 are kept; ranks are limited before they are sorted out
-    order = Window.partitionBy(F.col("src") % 4).orderBy("event_id")
-    rows = e.select("event_id", "edge", *E.unpack_edge(F.col("edge"))).withColumn("place", F.row_number().over(order))
-    return rows.where(F.col("place") <= E.EDGES).drop("place")
+    """Influence edges of boards that customers name as numbers, of a board the first 1,024, and back."""
+    e = E.attack_edges(customer_placements(spark, d), 3, ["id"], xray=True).withColumnRenamed("channel", "kind")
+    return E.packed_edges(e, "id").select("id", "edge", *E.unpack_edge(F.col("edge")))
 
 
 def c22_edge_weights(spark, d):
@@ -299,7 +303,8 @@ r3 AS (SELECT id, r, s0, list_max(list_filter(range(64), lambda s: s * (s - 1) /
 SELECT id, CAST(s0 AS INTEGER) AS s0, CAST(s1 AS INTEGER) AS s1, CAST(r - s1 * (s1 - 1) // 2 AS INTEGER) AS s2 FROM r3""")),
     "a4_odometer": (a4_odometer, _w("SELECT * FROM (SELECT id, CAST(idx // 4096 % 64 AS INTEGER) AS s0, CAST(idx // 64 % 64 AS INTEGER) AS s1, CAST(idx % 64 AS INTEGER) AS s2 FROM ix) WHERE s0 <> s1 AND s0 <> s2 AND s1 <> s2")),
     "a5_turns": (a5_turns, _w("SELECT config, t AS turn, count(*) AS n FROM ix, (VALUES (1), (0)) v(t) GROUP BY 1, 2")),
-    "a6_slice": (a6_slice, _w("SELECT config, count(*) AS n, min(idx) AS first_idx, max(idx) AS last_idx, min(idx) = 0 AND max(idx) = 249983 AS complete FROM ix WHERE idx BETWEEN 50000 AND 149999 GROUP BY 1")),
+    "a6_slice": (a6_slice, _w(""", b AS (SELECT config, idx, CASE WHEN config = 'KRvK' OR (config = 'KQvK' AND idx BETWEEN 50000 AND 149999) OR (config = 'KPvK' AND idx >= 200000) THEN idx END AS h FROM ix)
+SELECT config, count(h) AS n, min(h) AS first_idx, max(h) AS last_idx, count(h) = count(*) AS complete FROM b GROUP BY 1""")),
     "a7_catalogue": (a7_catalogue, f"""WITH l AS (SELECT unnest(range(1, 6)) AS i), s AS (SELECT i, substr('QRBNP', i, 1) AS x FROM l),
 c AS (SELECT 'K' || a.x || b.x || 'vK' AS config FROM s a JOIN s b ON a.i <= b.i UNION SELECT 'K' || a.x || 'vK' || b.x FROM s a, s b),
 n AS (SELECT 'K' || {_LETTER('p_partkey')} || 'vK' || {_LETTER('(p_partkey // 5)')} AS config, count(*) AS n FROM part GROUP BY 1)
@@ -342,7 +347,8 @@ SELECT id, CAST(sum(w) AS BIGINT) AS white_atk, CAST(sum(b) AS BIGINT) AS black_
   CAST(sum((q + 1) * (CASE WHEN (turn = 1 AND q = s0 AND b > 0) OR (turn = 0 AND q = s2 AND w > 0) THEN 1 ELSE 0 END + CASE WHEN theirs = 0 THEN 4 ELSE 0 END
     + CASE WHEN q IN (s0, s1, s2) AND theirs > 0 AND ours = 0 THEN 8 ELSE 0 END + CASE WHEN ours > 0 THEN 16 ELSE 0 END)) AS BIGINT) AS flags FROM f GROUP BY id""")),
     "c18_pinned": (c18_pinned, _w(f"SELECT id, (s0 % 8 = s2 % 8 OR s0 // 8 = s2 // 8) AND {sql_between('s0', 's2', 's1')} AS pinned FROM p")),
-    "c21_pack": (c21_pack, "SELECT event_id, CAST((event_id % 16) * 4096 + (user_id % 64) * 64 + event_id % 64 AS INTEGER) AS edge, CAST(event_id % 16 AS INTEGER) AS kind, CAST(user_id % 64 AS INTEGER) AS src, CAST(event_id % 64 AS INTEGER) AS dst FROM events QUALIFY row_number() OVER (PARTITION BY user_id % 64 % 4 ORDER BY event_id) <= 1024"),
+    "c21_pack": (c21_pack, f"""WITH {CUSTOMER_POS}, e AS ({SQL_CHANNELS})
+SELECT id, CAST(channel * 4096 + src * 64 + dst AS INTEGER) AS edge, CAST(channel AS INTEGER) AS kind, CAST(src AS INTEGER) AS src, CAST(dst AS INTEGER) AS dst FROM e QUALIFY row_number() OVER (PARTITION BY id ORDER BY channel * 4096 + src * 64 + dst) <= 1024"""),
     "c22_edge_weights": (c22_edge_weights, """WITH e AS (SELECT event_id, user_id % 64 AS a, event_id % 64 AS b FROM events)
 SELECT event_id, array_to_string(list_transform([CAST((b % 8 - a % 8) / 7.0 AS DOUBLE), CAST((b // 8 - a // 8) / 7.0 AS DOUBLE), CAST((abs(b % 8 - a % 8) + abs(b // 8 - a // 8)) / 14.0 AS DOUBLE), CAST(greatest(abs(b % 8 - a % 8), abs(b // 8 - a // 8)) / 7.0 AS DOUBLE)],
   lambda v: CAST(CAST(floor(v * 1000000 + 0.5) AS BIGINT) AS VARCHAR)), ',') AS w FROM e"""),

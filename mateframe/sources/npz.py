@@ -10,9 +10,13 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
 
 MLP_SCHEMA = "x array<float>, wdl int, dtz int"
-GRAPH_SCHEMA = "p_ids array<int>, edges array<int>, edge_counts int, wdl int, dtz int, turn int"
+GRAPH_SCHEMA = "p_ids array<int>, node_tac array<int>, edges array<int>, edge_counts int, wdl int, dtz int, turn int"
+SCHEMAS = {"mlp": MLP_SCHEMA, "graph": GRAPH_SCHEMA}
+#: How arrays are kept: type and, beyond one dimension, the shape of a row (None: rows are filled up to the widest).
+LAYOUT = {"x": (np.float32, (-1,)), "p_ids": (np.int8, (64,)), "node_tac": (np.uint8, (64, 4)), "edges": (np.uint16, None), "edge_counts": (np.uint16, ()), "wdl": (np.int8, ()), "turn": (np.int8, ()), "dtz": (np.int16, ())}
 
 
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -52,7 +56,8 @@ class NpzReader(DataSourceReader):
                         arrays.append(pa.array(list(flat.astype(np.float32 if kind == pa.float32() else np.int32)), pa.list_(kind)))
                     else:
                         arrays.append(pa.array(part.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays(arrays, self.fields)
+                if arrays:
+                    yield pa.RecordBatch.from_arrays(arrays, self.fields)
 
 
 class NpzSource(DataSource):
@@ -63,7 +68,7 @@ class NpzSource(DataSource):
         return "npz"
 
     def schema(self) -> str:
-        return GRAPH_SCHEMA if self.options.get("kind") == "graph" else MLP_SCHEMA
+        return SCHEMAS[self.options.get("kind", "mlp")]
 
     def reader(self, schema) -> DataSourceReader:
         return NpzReader(self.options["path"], [f.name for f in schema.fields])
@@ -78,14 +83,33 @@ def read(spark: SparkSession, path: str, kind: str = "mlp") -> DataFrame:
 ARCHIVE = 1 << 16
 
 
-def write(df: DataFrame, path: str, rows: int = ARCHIVE) -> DataFrame:
-    """Vectors (x, wdl, dtz) as archives of about ``rows`` rows (less than twice as many); returns file names and rows.
+def _array(name: str, column: pa.ChunkedArray) -> np.ndarray:
+    """A column as the array that an archive holds."""
+    kind, shape = LAYOUT[name]
+    x = column.combine_chunks()
+    if shape == ():
+        flat = x.to_numpy(zero_copy_only=False)
+        # distances take 16 bits, or 32 where an archive needs them
+        return flat.astype(np.int32 if name == "dtz" and len(flat) and abs(flat.astype(np.int64)).max() >= 1 << 15 else kind)
+    if shape is not None:
+        width = len(x.flatten()) // max(len(x), 1)
+        return x.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape((len(x), width) if shape == (-1,) else (len(x), *shape))
+    lengths = np.diff(x.offsets.to_numpy())
+    out = np.zeros((len(x), int(lengths.max(initial=0))), kind)
+    out[np.arange(out.shape[1]) < lengths[:, None]] = x.flatten().to_numpy(zero_copy_only=False).astype(kind)
+    return out
+
+
+def write(df: DataFrame, path: str, rows: int = ARCHIVE, kind: str = "mlp") -> DataFrame:
+    """Vectors (x, wdl, dtz) or graphs (as in ``GRAPH_SCHEMA``) as archives of about ``rows`` rows (less than twice as many); returns file names and rows.
 
     An archive is written under a temporary name and moved when complete, so a task that runs
-    again replaces its own. Distances take 16 bits, or 32 where an archive needs them.
+    again replaces its own. Lists of edges are filled up with zeros; their counts tell where they end.
     """
     from pyspark import TaskContext
 
+    names = StructType.fromDDL(SCHEMAS[kind]).names
+
     def part(batches):
         held, number = [], 0
         for batch in batches:
@@ -98,16 +122,14 @@ def write(df: DataFrame, path: str, rows: int = ARCHIVE) -> DataFrame:
             yield save(held, number)
 
     def save(held, number):
-        t = pa.Table.from_batches(held).combine_chunks()
+        t = pa.Table.from_batches(held)
         files, base = _filesystem(path)
         files.create_dir(base, recursive=True)
-        x, dtz = t["x"].combine_chunks(), t["dtz"].to_numpy()
-        width = len(x.flatten()) // max(len(x), 1)
         name = f"shard_{TaskContext.get().partitionId():05d}_{number:04d}.npz"
         temporary = f"{base}/.{name}-{uuid.uuid4().hex}"
         with files.open_output_stream(temporary) as out:
-            np.savez_compressed(out, x=x.flatten().to_numpy().astype(np.float32).reshape(-1, width), wdl=t["wdl"].to_numpy().astype(np.int8), dtz=dtz.astype(np.int16 if abs(dtz).max(initial=0) < 1 << 15 else np.int32))
+            np.savez_compressed(out, **{c: _array(c, t[c]) for c in names})
         files.move(temporary, f"{base}/{name}")
         return pa.RecordBatch.from_pydict({"file": [f"{base}/{name}"], "rows": [t.num_rows]})
 
-    return df.select("x", "wdl", "dtz").mapInArrow(part, "file string, rows long")
+    return df.select(*names).mapInArrow(part, "file string, rows long")
