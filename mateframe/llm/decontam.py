@@ -89,19 +89,24 @@ def _none() -> Column:
     return F.array().cast("array<struct<pos:int,seed:bigint>>")
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """What rows of one id and text have in common, in 128 bits: a clash would make a clean document share a dirty one's lot."""
+    return F.unhex(F.md5(F.concat_ws("\0", F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(text, F.lit(""))).cast("binary")))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, similar: float = SIMILAR, key: Column | None = None) -> DataFrame:
     """(key, doc_id, item_id, width, matched) of documents that hold a passage of an item.
 
     ``matched`` is the largest number of agreeing words in a window of ``width``. Texts and items
     without a word match nothing; short ones follow the same rule as long ones (of up to three
     words all must agree). Rows with the same id and text give one result; a null doc_id is kept
-    as null; rows of the benchmark that share an item_id are items each, of which the best counts.
+    as null; rows of the benchmark that share an item_id are items each, of which the best counts; those without one are left out.
     Every place of every text is hashed, with each mask that the items ask for. Benchmark items
     are few, so their seeds are broadcast up to a checked number, and shuffled beyond it.
     """
     if width > 62:
         raise ValueError("windows have 62 words at most")
-    key = F.xxhash64(F.col("doc_id"), F.col("text")) if key is None else key
+    key = row_key(F.col("doc_id"), F.col("text")) if key is None else key
     items = benchmark.where("item_id IS NOT NULL").select("item_id", tokens(F.col("text")).alias("item"))
     items = items.withColumn("wide", F.least(F.size("item"), F.lit(width))).where("wide > 0")
     items = items.withColumn("other", F.col("wide") - F.ceil(F.col("wide") * similar).cast("int"))
@@ -149,7 +154,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, s
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no passage of ``benchmark``, with all their columns."""
-    key = F.xxhash64(F.col("doc_id"), F.col("text"))
+    key = row_key(F.col("doc_id"), F.col("text"))
     bad = contaminated(docs, benchmark).select(F.col("key").alias("__key")).distinct()
     return docs.join(bad.hint("merge"), key == F.col("__key"), "left_anti")
 

@@ -16,7 +16,7 @@ a text that repeats very often costs as much as its rows. Hot keys: equal segmen
 before they move; totals by a key are written before rows join them on that key, so that
 adaptive execution can split a hot key's rows; shards have a bounded share of the work. Segments
 and lone windows count as equal if two 64-bit hashes of theirs are (of the minimizer and of the
-content), texts if one is; bytes are compared inside the shards only.
+content), texts if their 128-bit digests are; bytes are compared inside the shards only.
 """
 
 from __future__ import annotations
@@ -42,8 +42,8 @@ SHARDS = 32
 
 
 def text_key(text: Column) -> Column:
-    """What rows with equal texts have in common."""
-    return F.xxhash64(text)
+    """What rows with equal texts have in common: 128 bits, so that no two of 10^10 different texts are likely to share them (1e-19)."""
+    return F.unhex(F.md5(text.cast("binary")))
 
 
 def spans_of(docs: DataFrame, *, window: int, gram: int, symbols: Callable[[], Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]], cut: Callable[[], Callable[[str | None], Callable[[int, int], bytes]]], find: Callable[[list[bytes]], list[np.ndarray]], places: int, shard_symbols: int) -> DataFrame:
@@ -61,12 +61,12 @@ def spans_of(docs: DataFrame, *, window: int, gram: int, symbols: Callable[[], C
         for batch in batches:
             reader, segmenter = reader or symbols(), segmenter or Segmenter(window, gram)
             for part in parts(batch, 1, 1 << 20):
-                keys = part.column(0).to_numpy(zero_copy_only=False)
+                keys = part.column(0)
                 edges, x = reader(part.column(1))
                 for owner, start, n, mini, seg in segmenter.segments([x[a:b] for a, b in zip(edges[:-1], edges[1:])]):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[owner]), pa.array(start), pa.array(n.astype(np.int32)), pa.array(mini), pa.array(seg)], ["key", "start", "n", "mini", "seg"])
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(owner)), pa.array(start), pa.array(n.astype(np.int32)), pa.array(mini), pa.array(seg)], ["key", "start", "n", "mini", "seg"])
 
-    segments = stored(docs.select("key", "text").mapInArrow(segment, "key long, start long, n int, mini long, seg long"), "segments")
+    segments = stored(docs.select("key", "text").mapInArrow(segment, "key binary, start long, n int, mini long, seg long"), "segments")
     minis = segments.groupBy("mini").agg(F.count("*").alias("c"), F.min("seg").alias("a"), F.max("seg").alias("b")).where("c > 1")
     minis = stored(minis.select("mini", F.expr("a = b").alias("same")), "repeated-minimizers")
     again = stored(segments.join(minis.hint("merge"), "mini"), "repeated-segments")
