@@ -101,25 +101,29 @@ def learn(docs: DataFrame, labels: DataFrame, *, prior: float | None = None, pos
     """Fit on ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), held-out ids left out of both.
 
     A document with several labels is toxic if one says so. ``prior`` is the share of toxic
-    labels unless given. The confirmed ids are a sample of bounded size, so they are broadcast.
+    labels unless given. The confirmed ids are a sample of bounded size, so they are broadcast. Rows of either set
+    are taken by a hash of id and text, and rows equal in both count once, so what comes to the driver is bounded also where very many
+    rows share an id or a text; copies under other ids count as texts of their own. Null ids are held out.
     """
     known = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = known.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0)).alias("toxic")).first()
     pool = docs.where(~held_out(F.col("doc_id")))
-    n_pool = pool.count()
     if prior is None:
         prior = counts["toxic"] / counts["n"] if 0 < counts["toxic"] < counts["n"] else PRIOR
-    chance = lambda salt: F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
-    confirmed = known.where((F.col("toxic") == 1) & (chance("positive") < positive / max(counts["toxic"], 1))).select(F.col("doc_id").alias("__id"))
-    picked = pool.select(F.col("doc_id").alias("__doc"), "text").join(F.broadcast(confirmed), F.col("__doc") == F.col("__id"), "left")
-    picked = picked.withColumns({"p": F.col("__id").isNotNull(), "doc_id": F.col("__doc")}).withColumn("u", chance("unlabelled") < unlabelled / max(n_pool, 1))
+    share = lambda salt, *of: F.pmod(F.xxhash64(*of, F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
+    confirmed = known.where((F.col("toxic") == 1) & (share("confirmed", F.col("doc_id").cast("string")) < positive / max(counts["toxic"], 1))).select(F.col("doc_id").alias("__id"))
+    joined = pool.select(F.col("doc_id").alias("__doc"), "text").join(F.broadcast(confirmed), F.col("__doc") == F.col("__id"), "left").withColumn("p", F.col("__id").isNotNull())
+    sizes = joined.agg(F.count("*").alias("n"), F.count_if("p").alias("p")).first()
+    row = (F.col("__doc").cast("string"), F.col("text"))
+    picked = joined.withColumns({"p": F.col("p") & (share("positive", *row) < positive / max(sizes["p"], 1)), "u": share("unlabelled", *row) < unlabelled / max(sizes["n"], 1)})
+    once = picked.where("p OR u").withColumn("h", F.md5(F.col("text").cast("binary"))).dropDuplicates(["__doc", "h"])
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.fromiter({code(w) for w in words(t)}, np.uint32).tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["p", "u", "codes"])
 
-    rows = picked.where("p OR u").select("p", "u", "text").mapInArrow(features, "p boolean, u boolean, codes binary")
+    rows = once.select("p", "u", "text").mapInArrow(features, "p boolean, u boolean, codes binary")
     p_rows, u_rows = [], []
     for r in rows.toLocalIterator(prefetchPartitions=True):  # bounded by the two sample sizes
         x = np.sort(np.frombuffer(r["codes"], np.uint32))
