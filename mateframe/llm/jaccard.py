@@ -4,12 +4,12 @@ A text's set holds the hashes of its distinct word shingles; texts link when the
 Jaccard similarity of at least 3/4. The result is the connected components.
 
 1. Texts with equal sets are one class from the start.
-2. A class keeps its ``SKETCH`` smallest hashes, its size and a bitmap of all its hashes. Linked
-   sets x and y differ by at most max(x, y) / 4 hashes a side, which is at most a third of either,
-   so of sets with up to ``EXACT`` hashes the sketches share ``min(3 n / 4, SKETCH - n / 3)`` hashes
-   or more, and one at least. For larger ones the number of shared sketch hashes is
-   hypergeometric with a mean of 36 or more: that it is below ``SHARED`` has a probability of some
-   5e-13 a link, like a clash of hashes.
+2. A class keeps a sketch of its smallest hashes, its size and a bitmap of all its hashes. Linked sets differ by
+   at most a third of the smaller one's hashes, both sides together, and the k smallest hashes of their union are in the sketches
+   of k hashes; so sketches share k - n / 3 hashes or more. A sketch has ``SKETCH`` hashes, or n / 3 + ``SHARED``
+   if that is more; so they share ``SHARED``, or 3 n / 4 of a small set. That holds for sets of up to ``exact``
+   hashes. Larger ones, unless asked for, have a sketch of ``SKETCH`` too; the number of shared ones is then hypergeometric with a mean of 36 or
+   more, and that it is below ``SHARED`` has a probability of some 5e-13 a link, like a clash of hashes.
 3. Sketch hashes are counted over all classes. Each class keeps the rarest of its hashes, as many
    as must contain a shared one; what very many texts have in common is left aside that way.
 4. A tile is a kept hash and a band of sizes. Bands overlap: a class is in the band of its size and
@@ -39,7 +39,7 @@ from .words import WordHashes, parts
 SHINGLE = 5
 #: Hashes in a sketch, words of 64 bits in a bitmap.
 SKETCH, BITMAP = 48, 32
-#: Largest set for which linked sketches must meet; least number of hashes that those of larger sets share.
+#: Largest set whose sketch grows with it, unless another bound is given; least number of hashes that linked sketches of larger sets share.
 EXACT, SHARED = 188, 13
 #: Ratio of sizes from one band to the next; it exceeds the 4/3 between linked sets, so that rounding can't part them.
 BAND = 1.35
@@ -69,23 +69,32 @@ def shingle_sets(k: int = SHINGLE):
     return of
 
 
-def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    of = None
+def sketch_size(n: int, exact: int | None = EXACT) -> int:
+    """Hashes in the sketch of a set of ``n``; with ``exact`` None every sketch is as large as no link may be missed."""
+    return max(SKETCH, n // 3 + SHARED) if exact is None or n <= exact else SKETCH
+
+
+def _sets(exact: int | None):
     names = ["key", "n", "set1", "set2", "sketch", "bits"]
-    for batch in batches:
-        of = of or shingle_sets()
-        for part in parts(batch, 1):
-            sets = of(part.column(1))
-            bits = np.zeros((len(sets), BITMAP * 64), np.uint8)
-            for row, s in zip(bits, sets, strict=True):
-                row[(s >> np.uint64(32)) % np.uint64(BITMAP * 64)] = 1
-            packed = np.packbits(bits, axis=1)
-            sums = [(s.sum(dtype=np.uint64), mix(s).sum(dtype=np.uint64)) for s in sets]
-            yield pa.RecordBatch.from_arrays([
-                part.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array(np.array([a for a, _ in sums], np.uint64).view(np.int64)), pa.array(np.array([b for _, b in sums], np.uint64).view(np.int64)),
-                pa.array([s[:SKETCH].view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([p.tobytes() for p in packed], pa.binary()),
-            ], names)
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = None
+        for batch in batches:
+            of = of or shingle_sets()
+            for part in parts(batch, 1):
+                sets = of(part.column(1))
+                bits = np.zeros((len(sets), BITMAP * 64), np.uint8)
+                for row, s in zip(bits, sets, strict=True):
+                    row[(s >> np.uint64(32)) % np.uint64(BITMAP * 64)] = 1
+                packed = np.packbits(bits, axis=1)
+                sums = [(s.sum(dtype=np.uint64), mix(s).sum(dtype=np.uint64)) for s in sets]
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(np.array([a for a, _ in sums], np.uint64).view(np.int64)), pa.array(np.array([b for _, b in sums], np.uint64).view(np.int64)),
+                    pa.array([s[: sketch_size(len(s), exact)].view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([p.tobytes() for p in packed], pa.binary()),
+                ], names)
+
+    return rows
 
 
 def _payload(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +168,7 @@ def _near(n1: str, n2: str):
 
 def need(n: Column) -> Column:
     """Least number of sketch hashes that a set of ``n`` shares with any set it links with."""
-    return F.when(n > EXACT, SHARED).otherwise(F.greatest(F.lit(1), F.least(F.ceil(n * 3 / 4), SKETCH - F.floor(n / 3)))).cast("int")
+    return F.greatest(F.lit(1), F.least(F.ceil(n * 3 / 4), F.greatest(F.lit(SHARED), SKETCH - F.floor(n / 3)))).cast("int")
 
 
 def band(n: Column) -> Column:
@@ -206,14 +215,15 @@ def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
 
-def join(docs: DataFrame) -> DataFrame:
+def join(docs: DataFrame, *, exact: int | None = EXACT) -> DataFrame:
     """(key, n_shingles, root) for ``docs`` (key long, text): root is the smallest linked key.
 
     Texts without words, and null ones, have an empty set, link to nothing and are their own
     root. Equal sets link. Keys must be unique; every text is read whole; no pair is left out
-    for the size of its group. An empty table gives no rows.
+    for the size of its group. Sets of up to ``exact`` hashes lose no link, larger ones one in 2e12; with None none does, for
+    sketches of a third of the hashes. An empty table gives no rows.
     """
-    sets = stored(docs.select("key", "text").mapInArrow(_sets, "key long, n long, set1 long, set2 long, sketch array<long>, bits binary"), "shingle-sets")
+    sets = stored(docs.select("key", "text").mapInArrow(_sets(exact), "key long, n long, set1 long, set2 long, sketch array<long>, bits binary"), "shingle-sets")
     full = sets.where("n > 0")
     # totals by a key are written before they are joined on it, so that adaptive execution can split a hot key's rows
     owners = stored(full.groupBy("n", "set1", "set2").agg(F.min("key").alias("id")), "class-owners")
@@ -281,15 +291,15 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
     return stored(rows.withColumn("key", F.monotonically_increasing_id()), "numbered"), False
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for ``docs`` (doc_id, text).
+def near_duplicates(docs: DataFrame, *, exact: int | None = EXACT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for ``docs`` (doc_id, text); ``exact`` as in ``join``.
 
     Rows that share a doc_id, and rows whose id is null, each keep a row of their own: when ids
     aren't unique, a row number stands in for them, ordered by id, so that the smallest id of a
     component is still the id of its smallest row.
     """
     rows, unique = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    found = join(rows.select("key", "text"))
+    found = join(rows.select("key", "text"), exact=exact)
     if unique:
         return found.select(F.col("key").alias("doc_id"), "n_shingles", F.col("root").alias("component_id"))
     id_of = rows.select("key", "doc_id")
