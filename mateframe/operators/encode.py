@@ -286,6 +286,13 @@ def mirror_vector(x: Column, n: int) -> Column:
     return F.transform(x, lambda v, i: F.when((i < pieces) & (i % 11 == 1), 1 - v).when((i >= pieces) & ((i - pieces) % 4 == 2), -v).otherwise(v))
 
 
+def with_mirrors(df: DataFrame, n: int, x: str = "x") -> DataFrame:
+    """Each row and its file mirror, labels and all, as rows of one pass: adds ``mirrored``. Vectors are of version 4."""
+    both = F.array(F.struct(F.lit(False).alias("mirrored"), F.col(x).alias(x)), F.struct(F.lit(True).alias("mirrored"), mirror_vector(F.col(x), n).alias(x)))
+    rest = [c for c in df.columns if c not in (x, "mirrored")]
+    return df.select(*rest, F.inline(both)).select(*rest, x, "mirrored")
+
+
 def fen_board(board: Column) -> Column:
     """The board field of FEN from a board array."""
     letters = F.lit(".PNBRQKpnbrqk")

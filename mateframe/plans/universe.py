@@ -218,6 +218,12 @@ def c28_mirror(spark, d):
     return x.select("id", csv(E.mirror_vector(F.col("x"), 3)).alias("x"))
 
 
+def c28_augmented(spark, d):
+    """Vectors of boards that customers name, and their mirrors."""
+    x = E.encode(customer_placements(spark, d), 3, 4).select("id", "x")
+    return E.with_mirrors(x, 3).select("id", "mirrored", F.md5(csv(F.col("x")).cast("binary")).alias("digest"))
+
+
 def e13_reduction(spark, d):
     keys = _legal(spark, d).select("config", B.packed(S, F.col("turn")).alias("own"), B.canonical_key(S, F.col("turn")).alias("key"))
     # each position once, then its orbits: one key to count after the other instead of both from one expanded table
@@ -290,6 +296,16 @@ x AS (SELECT f.id, flatten(ps) || flatten(qs) {last} AS x FROM f JOIN g ON f.id
 SELECT id, CAST(len(x) AS INTEGER) AS width, {text} AS x FROM x""")
 
 
+def _mirrored(sql):
+    """The encoding of the file mirrors of p."""
+    return sql.replace("FROM p)", f"FROM (SELECT id, turn, {', '.join(f'{sql_image(f's{i}', 4)} AS s{i}, t{i}, c{i}' for i in range(3))} FROM p))")
+
+
+def _augmented():
+    plain = _sql_encoded(4).replace(POS, CUSTOMER_POS)
+    return f"SELECT id, false AS mirrored, md5(x) AS digest FROM ({plain}) UNION ALL SELECT id, true, md5(x) FROM ({_mirrored(plain)})"
+
+
 _ATT = {i: sql_attack(i, "q") for i in range(3)}
 _WHITE, _BLACK = f"CAST({_ATT[0]} AS INT) + CAST({_ATT[1]} AS INT)", f"CAST({_ATT[2]} AS INT)"
 
@@ -355,6 +371,7 @@ SELECT event_id, array_to_string(list_transform([CAST((b % 8 - a % 8) / 7.0 AS D
     "c23_pawn_progress": (c23_pawn_progress, _w("SELECT config, round(sum(CASE WHEN t1 = 1 THEN CAST(s1 // 8 AS DOUBLE) / 7.0 ELSE 0.0 END), 4) AS progress FROM p GROUP BY 1")),
     "c27_decode": (c27_decode, _w(" SELECT id, CASE WHEN t1 = 6 OR t1 > 6 THEN s0 ELSE s1 END AS q0, s0 AS q1, s2 AS q2 FROM p")),
     "c28_mirror": (c28_mirror, _sql_encoded(4).replace("FROM p)", f"FROM (SELECT id, turn, {', '.join(f'{sql_image(f's{i}', 4)} AS s{i}, t{i}, c{i}' for i in range(3))} FROM p))").replace("SELECT id, CAST(len(x) AS INTEGER) AS width, ", "SELECT id, ")),
+    "c28_augmented": (c28_augmented, _augmented()),
     "e12_population": (e12_population, _w(f"SELECT config, count(*) AS attempts, count(*) FILTER (WHERE {LEGAL}) AS hits, round(249984.0 * 2 * count(*) FILTER (WHERE {LEGAL}) / count(*), 3) AS estimate FROM p GROUP BY 1")),
     "e13_reduction": (e13_reduction, _w(f", k AS (SELECT config, {sql_key(0)} AS own, {CANONICAL} AS key FROM p WHERE {LEGAL}) SELECT config, count(DISTINCT own) AS valid, count(DISTINCT key) AS unique_keys, round(1 - CAST(count(DISTINCT key) AS DOUBLE) / count(DISTINCT own), 6) AS reduction FROM k GROUP BY 1")),
     "g3_priority": (g3_priority, f"SELECT config, CAST(length(config) - 1 AS INTEGER) AS pieces, count(*) AS n FROM (SELECT {_PART} AS config FROM part) GROUP BY 1"),

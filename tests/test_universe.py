@@ -59,6 +59,16 @@ def test_flip_and_orbit(some):
     assert keys.where("k <> c").isEmpty()
 
 
+def test_mirrors_beside_their_rows(some):
+    """A vector's mirror is the vector of the mirrored position, and labels go along."""
+    mirrored = some.select(*[c for c in some.columns if c not in ("s0", "s1", "s2")], *[F.col(f"s{i}").bitwiseXOR(F.lit(7)).alias(f"s{i}") for i in range(3)])
+    sided = lambda df: E.encode(df.withColumn("side", F.col("turn")), 3, 4).select("idx", "side", "x")
+    vectors = lambda df: {(r["idx"], r["side"]): r["x"] for r in sided(df).collect()}
+    both = E.with_mirrors(sided(some), 3).collect()
+    plain, turned = vectors(some), vectors(mirrored)
+    assert len(both) == 2 * len(plain) and all(r["x"] == pytest.approx((turned if r["mirrored"] else plain)[r["idx"], r["side"]]) for r in both)
+
+
 def ray_attacks(kind, white, square, occupied):
     f, r = square % 8, square // 8
     line = [(1, 0), (-1, 0), (0, 1), (0, -1)]
