@@ -4,14 +4,14 @@ A text's set holds the hashes of its distinct word shingles; texts link when the
 Jaccard similarity of at least 3/4. The result is the connected components.
 
 1. Texts with equal sets are one class from the start.
-2. A class keeps a sketch of its smallest hashes, its size and a bitmap of all its hashes. Linked sets differ by
-   at most a third of the smaller one's hashes, both sides together, and the k smallest hashes of their union are in the sketches
-   of k hashes; so sketches share k - n / 3 hashes or more. A sketch has ``SKETCH`` hashes, or n / 3 + ``SHARED``
-   if that is more; so they share ``SHARED``, or 3 n / 4 of a small set. That holds for sets of up to ``exact``
-   hashes. Larger ones, unless asked for, have a sketch of ``SKETCH`` too; the number of shared ones is then hypergeometric with a mean of 36 or
-   more, and that it is below ``SHARED`` has a probability of some 5e-13 a link, like a clash of hashes.
-3. Sketch hashes are counted over all classes. Each class keeps the rarest of its hashes, as many
-   as must contain a shared one; what very many texts have in common is left aside that way.
+2. A class has a size and a bitmap of all its hashes. Up to ``exact`` hashes it is searched by all of
+   them: it shares 3 n / 4 or more with any set that it links with. A pair with a larger set is searched by the
+   ``SKETCH`` smallest hashes of both; the number of shared ones is then hypergeometric with a mean of 36 or more, and
+   that it is below ``SHARED`` has a probability of some 5e-13 a link, like a clash of hashes. Sets that may be in
+   pairs of both kinds are searched in both ways.
+3. These hashes are counted over all classes. Of those that others have too, a class leaves aside the commonest,
+   one fewer than it must share, and keeps the rest, which must hold a shared one. So what very many texts have in
+   common is left aside, and a copy too much edited to link with anything keeps nothing.
 4. A tile is a kept hash and a band of sizes. Bands overlap: a class is in the band of its size and
    in the one before, so sizes that can link meet in one band, and others mostly don't. First
    every class is compared with the least and the greatest id of its tiles, which joins large
@@ -39,7 +39,7 @@ from .words import WordHashes, parts
 SHINGLE = 5
 #: Hashes in a sketch, words of 64 bits in a bitmap.
 SKETCH, BITMAP = 48, 32
-#: Largest set whose sketch grows with it, unless another bound is given; least number of hashes that linked sketches of larger sets share.
+#: Largest set that is searched by all its hashes, unless another bound is given; least number of hashes that linked sketches of larger sets share.
 EXACT, SHARED = 188, 13
 #: Ratio of sizes from one band to the next; it exceeds the 4/3 between linked sets, so that rounding can't part them.
 BAND = 1.35
@@ -70,8 +70,8 @@ def shingle_sets(k: int = SHINGLE):
 
 
 def sketch_size(n: int, exact: int | None = EXACT) -> int:
-    """Hashes in the sketch of a set of ``n``; with ``exact`` None every sketch is as large as no link may be missed."""
-    return max(SKETCH, n // 3 + SHARED) if exact is None or n <= exact else SKETCH
+    """Hashes by which a set of ``n`` is searched; with ``exact`` None all are, whatever the size."""
+    return n if exact is None or n <= exact else SKETCH
 
 
 def _sets(exact: int | None):
@@ -166,9 +166,19 @@ def _near(n1: str, n2: str):
     return (F.col(n1) * 4 >= F.col(n2) * 3) & (F.col(n2) * 4 >= F.col(n1) * 3)
 
 
-def need(n: Column) -> Column:
-    """Least number of sketch hashes that a set of ``n`` shares with any set it links with."""
-    return F.greatest(F.lit(1), F.least(F.ceil(n * 3 / 4), F.greatest(F.lit(SHARED), SKETCH - F.floor(n / 3)))).cast("int")
+def kept(n: Column, ts: Column, exact: int | None) -> Column:
+    """Array of (token, wide) that a set of ``n`` keeps of ``ts``, its (df, token, pos) in order of rarity.
+
+    The tokens for pairs with a set above ``exact`` are ``wide``; they are hashed once more, so that tiles are of one kind.
+    """
+    rarest = lambda ts, need: F.slice(ts, F.lit(1), F.greatest(F.size(ts) - need + 1, F.lit(0)))
+    all_ = F.transform(rarest(ts, F.ceil(n * 3 / 4).cast("int")), lambda t: F.struct(t["token"].alias("token"), F.lit(False).alias("wide")))
+    if exact is None:
+        return all_
+    sketch = rarest(F.filter(ts, lambda t: t["pos"] < SKETCH), F.lit(SHARED))
+    wide = F.transform(sketch, lambda t: F.struct(F.xxhash64(t["token"]).alias("token"), F.lit(True).alias("wide")))
+    none = F.array().cast("array<struct<token:bigint,wide:boolean>>")
+    return F.concat(F.when(n <= exact, all_).otherwise(none), F.when(n * 4 > exact * 3, wide).otherwise(none))
 
 
 def band(n: Column) -> Column:
@@ -221,7 +231,7 @@ def join(docs: DataFrame, *, exact: int | None = EXACT) -> DataFrame:
     Texts without words, and null ones, have an empty set, link to nothing and are their own
     root. Equal sets link. Keys must be unique; every text is read whole; no pair is left out
     for the size of its group. Sets of up to ``exact`` hashes lose no link, larger ones one in 2e12; with None none does, for
-    sketches of a third of the hashes. An empty table gives no rows.
+    all hashes of all sets being counted and joined. An empty table gives no rows.
     """
     sets = stored(docs.select("key", "text").mapInArrow(_sets(exact), "key long, n long, set1 long, set2 long, sketch array<long>, bits binary"), "shingle-sets")
     full = sets.where("n > 0")
@@ -230,17 +240,19 @@ def join(docs: DataFrame, *, exact: int | None = EXACT) -> DataFrame:
     member = stored(full.select("key", "n", "set1", "set2").join(owners.hint("merge"), ["n", "set1", "set2"]).select("key", "id", "n"), "classes")
     classes = stored(full.select(F.col("key").alias("id"), "n", "sketch", "bits").join(owners.select("id").hint("merge"), "id", "left_semi"), "class-sketches")
 
-    # hashes that two classes or more have in their sketches, rarest first, as many as must hold a shared one
-    tokens = classes.select("id", "n", F.explode("sketch").alias("token"))
+    # hashes that two classes or more are searched by, rarest first, less the commonest of them
+    tokens = classes.select("id", "n", F.posexplode("sketch").alias("pos", "token"))
     counts = stored(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "hash-counts")
-    shared = tokens.join(counts.hint("merge"), "token").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts"))
-    # two linked classes share ``need`` hashes or more: leaving out the need - 1 most common ones keeps one of them
-    some = F.slice("ts", F.lit(1), F.greatest(F.size("ts") - need(F.col("n")) + 1, F.lit(0)))
-    kept = shared.select("id", "n", F.explode(some).alias("t")).select("id", "n", F.col("t.token").alias("token"))
-    tiles = stored(kept.select("id", "n", "token", F.explode(F.array(band(F.col("n")) - 1, band(F.col("n")))).alias("band")), "tiles")
+    shared = tokens.join(counts.hint("merge"), "token").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token", "pos"))).alias("ts"))
+    found = shared.select("id", "n", F.inline(kept(F.col("n"), F.col("ts"), exact)))
+    tiles = stored(found.select("id", "n", "token", "wide", F.explode(F.array(band(F.col("n")) - 1, band(F.col("n")))).alias("band")), "tiles")
 
     # large families: each class against the least and the greatest id of its tiles
-    ends = stored(tiles.groupBy("token", "band").agg(F.min(F.struct("id", "n")).alias("lo"), F.max(F.struct("id", "n")).alias("hi")).where("lo.id != hi.id"), "tile-ends")
+    ends = tiles.groupBy("token", "band").agg(F.min(F.struct("id", "n")).alias("lo"), F.max(F.struct("id", "n")).alias("hi"), F.min("wide").alias("wide"), F.max("n").alias("most"))
+    # pairs of sets that are both small meet in the tiles of all hashes
+    if exact is not None:
+        ends = ends.where(~F.col("wide") | (F.col("most") > exact))
+    ends = stored(ends.where("lo.id != hi.id").select("token", "band", "lo", "hi"), "tile-ends")
     stars = stored(tiles.join(ends.hint("merge"), ["token", "band"]), "open-tiles")
     star = lambda end: stars.select(F.col(f"{end}.id").alias("a"), F.col("id").alias("b"), F.col(f"{end}.n").alias("m"), "n").where(_near("m", "n") & (F.col("a") != F.col("b"))).select("a", "b")
     pairs = stored(star("lo").union(star("hi")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star-pairs")

@@ -9,19 +9,32 @@ from pyspark.sql import functions as F
 from mateframe.llm import jaccard
 
 
-def test_linked_sketches_share_enough(spark):
-    """Pairs at the very edge of 3/4, of all sizes, with their differences where they hurt most: among the least hashes."""
-    table = spark.range(1, 700).select("id", jaccard.need(F.col("id")).alias("need")).collect()
-    need = {r["id"]: r["need"] for r in table}
-    for n in range(1, 700):
+@pytest.mark.parametrize("exact", [jaccard.EXACT, None])
+def test_linked_sets_keep_a_shared_hash(spark, exact):
+    """Pairs at the very edge of 3/4, of all sizes, whose own hashes are rarer than the shared ones, but not theirs alone."""
+    rows, pairs = [], []
+    for n in range(1, 400 if exact is None else exact + 1, 3):
         for m in {math.ceil(3 * n / 4), (3 * n // 4 + n) // 2, n}:
             common = next((c for c in range(m + 1) if 100 * c >= 75 * (n + m - c)), m + 1)
             if common > m:
                 continue
-            # own hashes first on both sides, then the shared ones
-            x, y = [*range(n - common), *range(10_000, 10_000 + common)], [*range(5_000, 5_000 + m - common), *range(10_000, 10_000 + common)]
-            shared = set(x[: jaccard.sketch_size(n, None)]) & set(y[: jaccard.sketch_size(m, None)])
-            assert len(shared) >= max(need[n], need[m]), (n, m)
+            shared = [(3, 10_000 + i, i) for i in range(common)]
+            for side, own, size in ((0, 0, n), (1, 5_000, m)):
+                rows.append((len(pairs), side, size, [(2, own + i, i) for i in range(size - common)] + shared))
+            pairs.append((n, m))
+    table = spark.createDataFrame(rows, "pair int, side int, n int, ts array<struct<df:int,token:bigint,pos:int>>")
+    tokens = table.select("pair", "side", F.inline(jaccard.kept(F.col("n"), F.col("ts"), exact))).where("NOT wide")
+    met = tokens.groupBy("pair", "token").agg(F.countDistinct("side").alias("sides")).where("sides = 2").select("pair").distinct()
+    assert sorted(r["pair"] for r in met.collect()) == list(range(len(pairs)))
+
+
+def test_copies_edited_too_much_keep_nothing(spark):
+    """All hashes are counted, so one that shares too few with all others is in no tile; pairs across the bound are searched by sketches."""
+    ts = [(2, i, i) for i in range(74)]
+    table = spark.createDataFrame([(100, ts), (141, ts), (142, ts), (189, ts)], "n int, ts array<struct<df:int,token:bigint,pos:int>>")
+    got = {r["n"]: [t["wide"] for t in r["kept"]] for r in table.select("n", jaccard.kept(F.col("n"), F.col("ts"), jaccard.EXACT).alias("kept")).collect()}
+    sketch = [True] * (jaccard.SKETCH - jaccard.SHARED + 1)
+    assert got == {100: [], 141: [], 142: sketch, 189: sketch}
 
 
 @pytest.mark.parametrize("exact", [jaccard.EXACT, None])
