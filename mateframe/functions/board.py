@@ -90,6 +90,14 @@ def _behind_table() -> str:
     return ",".join(str(v) for row in rows for v in row)
 
 
+@functools.cache
+def _push_table() -> str:
+    """Steps of pawns ahead: rows 0 and 1 one step (black, white), rows 2 and 3 the second step from the first rank; place square + 1."""
+    one = lambda white: [0, *(_signed(_steps(q, 0, 2 * white - 1, 1)) for q in range(64))]
+    two = lambda white: [0, *(_signed(_steps(q, 0, 2 * white - 1, 2)[1:] if q // 8 == (1 if white else 6) else []) for q in range(64))]
+    return ",".join(str(v) for row in (one(0), one(1), two(0), two(1)) for v in row)
+
+
 def _at(table: str, place: Column) -> Column:
     """An entry of a literal array, which the optimizer folds to a constant."""
     return F.get(F.split(F.lit(table), ",").cast("array<bigint>"), place)
@@ -109,6 +117,24 @@ def _or(masks: list[Column]) -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), masks, F.lit(0).cast("long"))
 
 
+def square_bit(square: Column) -> Column:
+    """The mask of one square; none off the board."""
+    return F.when(square >= 0, F.call_function("shiftleft", F.lit(1).cast("long"), square)).otherwise(F.lit(0).cast("long"))
+
+
+def occupied(slots: list[Slot], white: Column | None = None) -> Column:
+    """Squares that pieces stand on, or those of one colour."""
+    bits = [square_bit(s.square) if white is None else F.when(s.white == white, square_bit(s.square)).otherwise(F.lit(0).cast("long")) for s in slots]
+    return _or(bits)
+
+
+def push_mask(slot: Slot, taken: Column) -> Column:
+    """Squares a pawn steps to, one or two ahead, where these aren't in ``taken``."""
+    white = F.when(slot.white == 1, 1).otherwise(0)
+    one, two = (_at(_push_table(), (white + far) * 65 + slot.square + 1) for far in (0, 2))
+    return F.when(one.bitwiseAND(taken) == 0, one.bitwiseOR(two.bitwiseAND(F.bitwise_not(taken)))).otherwise(F.lit(0).cast("long"))
+
+
 def attack_mask(slot: Slot, slots: list[Slot]) -> Column:
     """Squares that the piece attacks; other pieces hide what lies behind them (for steps and leaps nothing does)."""
     if slot.mask is not None:
@@ -144,14 +170,15 @@ def with_masks(df: DataFrame, n: int) -> DataFrame:
 
 
 def fixed(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns as plain attributes.
+    """Add columns as plain attributes, behind the others.
 
     The optimizer copies the expression behind a column into every filter that names it, which
-    multiplies large ones; what comes out of a generator is only ever named.
+    multiplies large ones; what comes out of a generator is only ever named. All columns pass
+    through the generator, so Spark compiles each such step to a method of its own: methods of over
+    8,000 bytes would be interpreted by the JVM, some fifty times slower.
     """
     rest = [c for c in df.columns if c not in columns]
-    row = F.explode(F.array(F.struct(*[x.alias(c) for c, x in columns.items()]))).alias("__row")
-    return df.select(*rest, row).select(*rest, "__row.*")
+    return df.select(F.inline(F.array(F.struct(*rest, *[x.alias(c) for c, x in columns.items()]))))
 
 
 def with_kings(df: DataFrame, n: int) -> DataFrame:

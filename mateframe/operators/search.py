@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.board import PAWN, Slot, attacks, fixed, in_check, rank, with_kings
+from ..functions.board import PAWN, Slot, fixed, has, in_check, occupied, push_mask, rank, with_kings, with_masks
 
 
 def successors(df: DataFrame, n: int, keep: list[str]) -> DataFrame:
@@ -17,38 +14,29 @@ def successors(df: DataFrame, n: int, keep: list[str]) -> DataFrame:
     A captured piece stands on its taker's square with colour null in the child. Promotions
     give a queen.
     """
-    slots = Slot.of(n)
+    slots = Slot.of(n, masks=True)
     own = [f"{p}{i}" for i in range(n) for p in "tcs"]
-    dst = F.col("dst")
-    rows = df.select(*keep, *own, "turn", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("dst"))
-    rows = rows.withColumns({
-        "taken": F.coalesce(*[F.when(s.square == dst, F.lit(i)) for i, s in enumerate(slots)]),
-        "__owner": F.coalesce(*[F.when(s.square == dst, s.white) for s in slots]),
-    })
-    empty = F.col("taken").isNull()
-
-    def can(s: Slot):
-        step = F.when(s.white == 1, 8).otherwise(-8)
-        free = reduce(and_, [o.square != s.square + step for o in slots if o is not s])
-        take = attacks(s, dst, slots) & (F.coalesce("__owner", F.lit(-1)) != s.white)
-        double = (dst == s.square + 2 * step) & (rank(s.square) == F.when(s.white == 1, 1).otherwise(6)) & empty & free
-        push = ((dst == s.square + step) & empty) | double
-        return (s.white == F.col("turn")) & F.when(s.kind == PAWN, push | (take & ~empty)).otherwise(take)
-
-    # 64 rows a position in generated code, of which the few that are moves go on
-    rows = rows.withColumns({f"__m{i}": can(s) for i, s in enumerate(slots)})
-    moved = F.array(*[F.when(F.col(f"__m{i}"), F.struct(F.lit(i).alias("slot"), F.col(f"s{i}").alias("src"))) for i in range(n)])
-    rows = rows.select(*keep, *own, "turn", "dst", "taken", F.inline(F.array_compact(moved)))
+    dst, turn, none = F.col("dst"), F.col("turn"), F.lit(0).cast("long")
+    rows = with_masks(df.select(*dict.fromkeys([*keep, *own, "turn"])), n)
+    rows = fixed(rows, __own=occupied(slots, turn), __all=occupied(slots))
+
+    def goes(s: Slot):
+        take = s.mask.bitwiseAND(F.bitwise_not("__own"))
+        return F.when(s.white == turn, F.when(s.kind == PAWN, take.bitwiseAND(F.col("__all")).bitwiseOR(push_mask(s, F.col("__all")))).otherwise(take)).otherwise(none)
+
+    # a row per piece that moves, then its 64 squares in generated code, of which the few it goes to go on
+    rows = fixed(rows, __goes=F.array(*[F.struct(F.lit(i).alias("slot"), s.square.alias("src"), goes(s).alias("__to")) for i, s in enumerate(slots)]))
+    rows = rows.select(*dict.fromkeys([*keep, *own, "turn"]), F.inline("__goes")).where(F.col("__to") != 0)
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("dst")).where(has(F.col("__to"), dst)).drop("__to")
+    rows = fixed(rows, taken=F.coalesce(*[F.when(s.square == dst, F.lit(i)) for i, s in enumerate(slots)]))
     child = {}
     for i in range(n):
         moved, gone = F.col("slot") == i, F.coalesce(F.col("taken") == i, F.lit(False))
-        child[f"s{i}"] = F.when(moved, F.col("dst")).when(gone, F.lit(-1)).otherwise(F.col(f"s{i}"))
+        child[f"s{i}"] = F.when(moved, dst).when(gone, F.lit(-1)).otherwise(F.col(f"s{i}"))
         child[f"c{i}"] = F.when(gone, F.lit(-1)).otherwise(F.col(f"c{i}"))
-        child[f"t{i}"] = F.when(moved & (F.col(f"t{i}") == PAWN) & rank(F.col("dst")).isin(0, 7), F.lit(5)).otherwise(F.col(f"t{i}"))
-    rows = with_kings(fixed(rows, **child, turn=1 - F.col("turn")), n)
-    after = Slot.of(n)
-    left_safe = F.when(F.col("turn") == 1, ~in_check(after, 0)).otherwise(~in_check(after, 1))
-    return rows.where(left_safe)
+        child[f"t{i}"] = F.when(moved & (F.col(f"t{i}") == PAWN) & rank(dst).isin(0, 7), F.lit(5)).otherwise(F.col(f"t{i}"))
+    rows = with_kings(fixed(rows, **child, turn=1 - turn), n)
+    return rows.where(~in_check(Slot.of(n), 1 - turn))
 
 
 def terminal(df: DataFrame, n: int, keys: list[str]) -> DataFrame:
