@@ -28,11 +28,13 @@ class Slot:
     square: Column
     #: What the piece attacks, where that is a column already (see ``with_masks``).
     mask: Column | None = None
+    #: What it would attack if one piece in between were gone, where that is a column.
+    xray: Column | None = None
 
     @staticmethod
-    def of(n: int, masks: bool = False) -> list[Slot]:
-        """Slots of columns t0.., c0.., s0.. (and m0..)."""
-        return [Slot(F.col(f"t{i}"), F.col(f"c{i}"), F.col(f"s{i}"), F.col(f"m{i}") if masks else None) for i in range(n)]
+    def of(n: int, masks: bool = False, xray: bool = False) -> list[Slot]:
+        """Slots of columns t0.., c0.., s0.. (and m0.., x0..)."""
+        return [Slot(F.col(f"t{i}"), F.col(f"c{i}"), F.col(f"s{i}"), F.col(f"m{i}") if masks else None, F.col(f"x{i}") if xray else None) for i in range(n)]
 
 
 def rank(square: Column) -> Column:
@@ -90,6 +92,23 @@ def _behind_table() -> str:
     return ",".join(str(v) for row in rows for v in row)
 
 
+#: Marks of checks along a file, a rank, the diagonals and by leaps; sums keep each count in four bits.
+CHECKS = [1 << 4 * k for k in range(5)]
+
+
+@functools.cache
+def _check_table() -> str:
+    """Mark of a check by its line through the king: place king * 64 + square."""
+    line = lambda f, r: 0 if f == 0 else 1 if r == 0 else 2 if f == r else 3 if f == -r else 4
+    return ",".join(str(CHECKS[line(q % 8 - k % 8, q // 8 - k // 8)]) for k in range(64) for q in range(64))
+
+
+def check_marks(slots: list[Slot], white: Column) -> Column:
+    """Sum of the marks of all checks on one side's king."""
+    own = king(white)
+    return reduce(add, [F.when((s.white != white) & attacks(s, own, slots), _at(_check_table(), own * 64 + s.square)).otherwise(F.lit(0).cast("long")) for s in slots])
+
+
 @functools.cache
 def _push_table() -> str:
     """Steps of pawns ahead: rows 0 and 1 one step (black, white), rows 2 and 3 the second step from the first rank; place square + 1."""
@@ -142,11 +161,17 @@ def attack_mask(slot: Slot, slots: list[Slot]) -> Column:
     return reach_mask(slot).bitwiseAND(F.bitwise_not(_or([behind(slot.square, o.square) for o in slots if o is not slot])))
 
 
+def _once(masks: list[Column]) -> Column:
+    """Squares that exactly one mask holds."""
+    twice = _or([a.bitwiseAND(b) for i, a in enumerate(masks) for b in masks[:i]])
+    return _or(masks).bitwiseAND(F.bitwise_not(twice))
+
+
 def xray_mask(slot: Slot, slots: list[Slot]) -> Column:
     """Squares that a sliding piece would attack if exactly one piece in between were gone."""
-    hidden = [behind(slot.square, o.square) for o in slots if o is not slot]
-    twice = _or([a.bitwiseAND(b) for i, a in enumerate(hidden) for b in hidden[:i]])
-    return reach_mask(slot).bitwiseAND(_or(hidden)).bitwiseAND(F.bitwise_not(twice))
+    if slot.xray is not None:
+        return slot.xray
+    return reach_mask(slot).bitwiseAND(_once([behind(slot.square, o.square) for o in slots if o is not slot]))
 
 
 def has(mask: Column, square: Column) -> Column:
@@ -163,10 +188,27 @@ def attack_count(slots: list[Slot], target: Column, white: Column) -> Column:
     return reduce(add, [F.when((s.white == white) & attacks(s, target, slots), 1).otherwise(0) for s in slots])
 
 
-def with_masks(df: DataFrame, n: int) -> DataFrame:
-    """Add m0.., what each piece attacks, as columns; ``Slot.of(n, masks=True)`` then uses them."""
-    slots = Slot.of(n)
-    return fixed(df, **{f"m{i}": attack_mask(s, slots) for i, s in enumerate(slots)})
+def with_masks(df: DataFrame, n: int, xray: bool = False) -> DataFrame:
+    """Add m0.., what each piece attacks, as columns; ``Slot.of(n, masks=True)`` then uses them.
+
+    ``xray`` adds x0.. too (see ``xray_mask``). A step is at most a dozen entries of the arrays long.
+    """
+    slots, rest = Slot.of(n), [c for c in df.columns if c not in {f"{p}{i}" for p in "mx" for i in range(n)}]
+    done = []
+    for first in range(0, n, max(1, 12 // n)):
+        some = range(first, min(n, first + max(1, 12 // n)))
+        if not xray:
+            df = fixed(df, **{f"m{i}": attack_mask(slots[i], slots) for i in some})
+            continue
+        hidden = {i: [f"__h{i}_{j}" for j in range(n) if j != i] for i in some}
+        df = fixed(df, **{f"__r{i}": reach_mask(slots[i]) for i in some}, **{f"__h{i}_{j}": behind(slots[i].square, slots[j].square) for i in some for j in range(n) if j != i})
+        seen = {}
+        for i in some:
+            reach, behinds = F.col(f"__r{i}"), [F.col(h) for h in hidden[i]]
+            seen |= {f"m{i}": reach.bitwiseAND(F.bitwise_not(_or(behinds))), f"x{i}": reach.bitwiseAND(_once(behinds))}
+        done += seen
+        df = fixed(df, **seen).select(*rest, *done)
+    return df
 
 
 def fixed(df: DataFrame, **columns: Column) -> DataFrame:
@@ -239,6 +281,31 @@ def packed_images(slots: list[Slot], turn: Column, of: list[int]) -> Column:
     return F.transform(F.array(*map(F.lit, of)), key)
 
 
+@functools.cache
+def _turns_table() -> str:
+    """A square's eight images, six bits each, the first one lowest."""
+    turned_ = list(map(int, _turn_table().split(",")))
+    return ",".join(str(sum(turned_[image * 64 + q] << 6 * image for image in range(8))) for q in range(64))
+
+
+def with_keys(df: DataFrame, n: int, own: str, key: str, mode: str = "auto") -> DataFrame:
+    """Add a position's key as it stands and its ``canonical_key``, worked out in a few compiled steps."""
+    slots, rest = Slot.of(n), [c for c in df.columns if c not in (own, key)]
+    of = images("dihedral" if mode == "auto" else mode)
+    df = fixed(df, **{f"__b{i}": (1 - s.white.cast("long")) * 512 + s.kind.cast("long") * 64 for i, s in enumerate(slots)}, **{f"__q{i}": _at(_turns_table(), s.square) for i, s in enumerate(slots)})
+    piece = lambda i, image: F.col(f"__b{i}") + F.shiftright(F.col(f"__q{i}"), 6 * image).bitwiseAND(63)
+    first = F.when(F.col("turn") == 1, F.lit(0)).otherwise(F.lit(1)).cast("long")
+    df = fixed(df, **{f"__i{image}": F.sort_array(F.array(*[piece(i, image) for i in range(n)])) for image in of})
+    for some in (of[:4], of[4:]):
+        keys = {f"__i{image}": reduce(lambda a, k, image=image: a * 1024 + F.get(f"__i{image}", F.lit(k)), range(n), first) for image in some}
+        df = fixed(df, **keys) if keys else df
+    least = lambda these: F.least(*[F.col(f"__i{image}") for image in these]) if len(these) > 1 else F.col(f"__i{these[0]}")
+    found = least(of)
+    if mode == "auto":
+        found = F.when(reduce(or_, [s.kind == PAWN for s in slots]), least(images("file_mirror"))).otherwise(found)
+    return fixed(df, **{own: F.col("__i0"), key: found}).select(*rest, own, key)
+
+
 def packed(slots: list[Slot], turn: Column, image: int = 0) -> Column:
     """A position's key, as it stands or as one of its images."""
     return F.get(packed_images(slots, turn, [image]), F.lit(0))

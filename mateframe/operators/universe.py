@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import math
 from functools import reduce
-from operator import add, and_, or_
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.board import LETTERS, PAWN, Slot, attacks, canonical_key, chebyshev, file, fixed, in_check, king, packed, rank, with_kings, with_masks
+from ..functions.board import CHECKS, LETTERS, PAWN, Slot, canonical_key, check_marks, chebyshev, fixed, in_check, king, packed, rank, with_keys, with_kings, with_masks
 
 
 def unrank_permutation(n: int, index: Column, squares: int = 64) -> Column:
@@ -18,12 +18,16 @@ def unrank_permutation(n: int, index: Column, squares: int = 64) -> Column:
     The rank's digits count free squares. From the last digit back, each square that isn't below
     an earlier digit steps over it.
     """
-    found = [F.floor(index % math.perm(squares - i, n - i) / math.perm(squares - i - 1, n - i - 1)).cast("int") for i in range(n)]
+    found = _digits(n, index, squares)
     for i in range(n - 2, -1, -1):
         found[i + 1 :] = [s + (s >= found[i]).cast("int") for s in found[i + 1 :]]
     return F.array(*found)
 
 
+def _digits(n: int, index: Column, squares: int = 64) -> list[Column]:
+    return [F.floor(index % math.perm(squares - i, n - i) / math.perm(squares - i - 1, n - i - 1)).cast("int") for i in range(n)]
+
+
 def unrank_combination(k: int, index: Column, squares: int = 64) -> Column:
     """Array of the squares of the k-subset with this rank, descending."""
     tables = F.array(*[F.array(*[F.lit(math.comb(s, left)) for s in range(squares)]) for left in range(k, 0, -1)])
@@ -75,14 +79,28 @@ def enumerate_placements(spark: SparkSession, config: str, *, offset: int = 0, l
     stop = slice_end(n, offset, limit)
     ranks = spark.range(offset, stop, 1, partitions) if partitions else spark.range(offset, stop)
     df = ranks.withColumnRenamed("id", "idx").withColumn("config", F.lit(config))
-    return both_turns(placed(df, [config], unrank_permutation(n, F.col("idx"))), turns)
+    return both_turns(placed_by_rank(df, [config], F.col("idx")), turns)
 
 
 def placed(df: DataFrame, configs: list[str], squares: Column) -> DataFrame:
     """Add the slots s, t, c of each row and the kings' squares k1 and k0 from an array of squares."""
     n = len(pieces_of(configs[0]))
     df = fixed(df, __sq=squares)
-    df = with_pieces(df.withColumns({f"s{i}": F.get("__sq", F.lit(i)) for i in range(n)}), configs).drop("__sq")
+    return _with_men(df.withColumns({f"s{i}": F.get("__sq", F.lit(i)) for i in range(n)}).drop("__sq"), configs)
+
+
+def placed_by_rank(df: DataFrame, configs: list[str], index: Column) -> DataFrame:
+    """``placed`` by ``unrank_permutation``, digit by digit: as one expression the last square holds each digit many times over."""
+    n = len(pieces_of(configs[0]))
+    df = fixed(df, **{f"s{i}": d for i, d in enumerate(_digits(n, index))})
+    for i in range(n - 2, -1, -1):
+        df = fixed(df, **{f"s{j}": F.col(f"s{j}") + (F.col(f"s{j}") >= F.col(f"s{i}")).cast("int") for j in range(i + 1, n)})
+    return _with_men(df, configs)
+
+
+def _with_men(df: DataFrame, configs: list[str]) -> DataFrame:
+    n = len(pieces_of(configs[0]))
+    df = with_pieces(df, configs)
     return with_kings(fixed(df, **{f"{p}{i}": F.col(f"{p}{i}") for i in range(n) for p in "tc"}) if len(configs) > 1 else df, n)
 
 
@@ -117,14 +135,9 @@ def possible_checks(slots: list[Slot], turn: Column) -> Column:
     """No move gives more checks than two, nor two along one line through the king."""
     if len(slots) < 4:
         return F.lit(True)
-    own = king(turn)
-    gives = [(s.white != turn) & attacks(s, own, slots) for s in slots]
-    checks = reduce(add, [g.cast("int") for g in gives])
-    # a checker's line through the king: same file, same rank, or one of the diagonals
-    line = lambda s: F.when(file(s.square) == file(own), 0).when(rank(s.square) == rank(own), 1).when(file(s.square) - file(own) == rank(s.square) - rank(own), 2).when(file(s.square) - file(own) == rank(own) - rank(s.square), 3)
-    on = [F.when(g, line(s)) for g, s in zip(gives, slots, strict=True)]
-    in_line = reduce(or_, [F.coalesce(a == b, F.lit(False)) for k, a in enumerate(on) for b in on[:k]])
-    return (checks < 2) | ((checks == 2) & ~in_line)
+    # of checks along a line of the king's, each may occur once
+    pairs = [a + b for i, a in enumerate(CHECKS) for b in CHECKS[:i]] + [2 * CHECKS[-1]]
+    return check_marks(slots, turn).isin(0, *CHECKS, *pairs)
 
 
 def legal(slots: list[Slot], turn: Column) -> Column:
@@ -139,15 +152,17 @@ def is_canonical(slots: list[Slot], turn: Column, mode: str = "auto") -> Column:
 
 def canonical(df: DataFrame, n: int, mode: str = "auto") -> DataFrame:
     """The rows of canonical positions; keys are worked out once, as columns, and dropped."""
-    slots = Slot.of(n)
-    keyed = fixed(df, __own=packed(slots, F.col("turn")), __key=canonical_key(slots, F.col("turn"), mode))
-    return keyed.where("__own = __key").drop("__own", "__key")
+    return with_keys(df, n, "__own", "__key", mode).where("__own = __key").drop("__own", "__key")
 
 
 def positions(df: DataFrame, n: int) -> DataFrame:
     """Cheap filters first, legality last, on masks worked out for what is left."""
-    cheap = df.where(ascending_twins(Slot.of(n))).where(no_edge_pawns(Slot.of(n)))
-    return with_masks(cheap, n).where(legal(Slot.of(n, masks=True), F.col("turn"))).drop(*[f"m{i}" for i in range(n)])
+    slots, turn = Slot.of(n, masks=True), F.col("turn")
+    cheap = df.where(ascending_twins(Slot.of(n))).where(no_edge_pawns(Slot.of(n))).where(chebyshev(king(1), king(0)) > 1)
+    safe = fixed(with_masks(cheap, n), __left=in_check(slots, 1 - turn)).where("NOT __left")
+    if n >= 4:
+        safe = fixed(safe, __given=possible_checks(slots, turn)).where("__given")
+    return safe.drop("__left", "__given", *[f"m{i}" for i in range(n)])
 
 
 def material(slots: list[Slot]) -> Column:

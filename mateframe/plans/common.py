@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.universe import placed, unrank_permutation
+from ..operators.universe import placed_by_rank
 
 #: Configurations of the derived positions, by return flag.
 CONFIGS = {"A": "KQvK", "N": "KRvK", "R": "KPvK"}
@@ -26,7 +26,7 @@ def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def placements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as placements of three pieces: s, t, c, k1, k0."""
-    return placed(indexed(spark, sf_dir), list(CONFIGS.values()), unrank_permutation(3, F.col("idx")))
+    return placed_by_rank(indexed(spark, sf_dir), list(CONFIGS.values()), F.col("idx"))
 
 
 def customer_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def customer_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
     idx = F.pmod(F.col("c_custkey") * 15485863 + F.col("c_nationkey") * 31, F.lit(249984))
     config = F.when(F.col("c_nationkey") % 3 == 0, "KQvK").when(F.col("c_nationkey") % 3 == 1, "KRvK").otherwise("KPvK")
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), config.alias("config"), idx.alias("idx"), (F.col("c_custkey") % 2).cast("int").alias("turn"))
-    return placed(rows, list(CONFIGS.values()), unrank_permutation(3, F.col("idx")))
+    return placed_by_rank(rows, list(CONFIGS.values()), F.col("idx"))
 
 
 def csv(x: Column) -> Column:

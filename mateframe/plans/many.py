@@ -7,7 +7,6 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import board as B
-from ..functions.board import Slot
 from ..operators import encode as E
 from ..operators import universe as U
 from .common import csv, sql_between, sql_image, table
@@ -27,7 +26,7 @@ def four(spark, d):
     """Orders as placements of four pieces."""
     idx = F.pmod(F.col("o_orderkey") * 15485863 + F.col("o_custkey") * 104729, F.lit(math.perm(64, 4)))
     rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), _configs(FOUR, F.col("o_custkey") % 4).alias("config"), idx.alias("idx"), (F.col("o_orderkey") % 2).cast("int").alias("turn"))
-    return U.placed(rows, list(FOUR), U.unrank_permutation(4, F.col("idx")))
+    return U.placed_by_rank(rows, list(FOUR), F.col("idx"))
 
 
 def five(spark, d):
@@ -35,7 +34,7 @@ def five(spark, d):
     idx = F.pmod(F.col("l_orderkey") * 15485863 + F.col("l_partkey") * 104729 + F.col("l_linenumber") * 31337, F.lit(math.perm(64, 5)))
     key = ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")
     rows = table(spark, d, "lineitem").select((key * 100 + F.col("l_quantity").cast("long")).alias("id"), _configs(FIVE, F.col("l_partkey") % 5).alias("config"), idx.alias("idx"), (F.col("l_linenumber") % 2).cast("int").alias("turn"))
-    return U.placed(rows, list(FIVE), U.unrank_permutation(5, F.col("idx")))
+    return U.placed_by_rank(rows, list(FIVE), F.col("idx"))
 
 
 def _of(n):
@@ -50,8 +49,7 @@ def canonical(n):
     """Canonical positions of each configuration, and how many orbits the legal ones fall into."""
 
     def query(spark, d):
-        slots = Slot.of(n)
-        keyed = B.fixed(U.positions(_of(n)(spark, d), n), own=B.packed(slots, F.col("turn")), key=B.canonical_key(slots, F.col("turn")))
+        keyed = B.with_keys(U.positions(_of(n)(spark, d), n), n, "own", "key")
         per_key = keyed.groupBy("config", "key").agg(F.count("*").alias("n"), F.count_if(F.col("own") == F.col("key")).alias("c"))
         return per_key.groupBy("config").agg(F.sum("n").alias("legal"), F.sum("c").alias("canonical"), F.count("*").alias("orbits"))
 
