@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from functools import reduce
 from operator import add
 
@@ -49,26 +50,42 @@ def piece_rows(df: DataFrame, board: str) -> DataFrame:
     return df.select(*[c for c in df.columns if c != board], F.posexplode(board).alias("square", "code")).where("code <> 0")
 
 
-def ordered_pieces(slots: list[Slot], version: int) -> Column:
-    """Pieces as structs, white first; pawns first up to version 4, kings first from 5 on.
+def piece_code(s: Slot, version: int) -> Column:
+    """Colour (white 0), type (pawns first up to version 4, kings first from 5 on) and square as one number; equal pieces go by square."""
+    return (1 - s.white) * 512 + (s.kind if version < 5 else 6 - s.kind) * 64 + s.square
 
-    Equal pieces go by square.
-    """
-    place = lambda s: (1 - s.white) * 1000 + (s.kind if version < 5 else 6 - s.kind) * 64 + s.square
-    return F.array_sort(F.array(*[F.struct(place(s).alias("place"), s.kind.alias("t"), s.white.alias("c"), s.square.alias("s")) for s in slots]))
+
+def _of_code(code: Column, version: int) -> dict[str, Column]:
+    kind = F.shiftright(code, 6).bitwiseAND(7)
+    return {"t": kind if version < 5 else 6 - kind, "c": 1 - F.shiftright(code, 9), "s": code.bitwiseAND(63)}
 
 
 def _one(x: Column) -> Column:
     return F.when(x, 1.0).otherwise(0.0)
 
 
-def _piece_features(p: Column, version: int, extra: Column | None) -> Column:
-    r, f = rank(p["s"]), file(p["s"])
-    out = [r / 7.0, f / 7.0, *[_one(p["t"] == t) for t in range(KING, 0, -1)], _one(p["c"] == 1), _one(p["c"] == 0)]
-    if version >= 4:
-        out.append(F.when(p["t"] != PAWN, 0.0).when(p["c"] == 1, r / 7.0).otherwise((7 - r) / 7.0))
-    features = F.array(*[x.cast("double") for x in out])
-    return features if extra is None else F.concat(features, F.get(extra, p["s"]))
+@functools.cache
+def _piece_table(version: int) -> str:
+    """Features of a piece by its code: rank, file, type (kings first), colour, from version 4 on how far a pawn is."""
+    out = []
+    for code in range(1024):
+        black, kind, q = code >> 9, code >> 6 & 7, code & 63
+        kind = kind if version < 5 else 6 - kind
+        out += [q // 8 / 7, q % 8 / 7, *(float(kind == t) for t in range(KING, 0, -1)), float(not black), float(black)]
+        if version >= 4:
+            out.append(0.0 if kind != PAWN else (7 - q // 8) / 7 if black else q // 8 / 7)
+    return ",".join(map(repr, out))
+
+
+@functools.cache
+def _pair_table() -> str:
+    """Manhattan and Chebyshev distance, files and ranks from one square to another: place 112 + files + 15 * ranks."""
+    return ",".join(repr(x) for r in range(-7, 8) for f in range(-7, 8) for x in ((abs(f) + abs(r)) / 14, max(abs(f), abs(r)) / 7, f / 7, r / 7))
+
+
+def _row(table: str, place: Column, width: int) -> Column:
+    """A row of a literal array, which the optimizer folds to a constant."""
+    return F.slice(F.split(F.lit(table), ",").cast("array<double>"), place * width + 1, F.lit(width))
 
 
 def pair_flags(a: Column, b: Column) -> list[Column]:
@@ -84,23 +101,32 @@ def weighted_distance(a: Column, b: Column) -> Column:
     return F.least(F.least(move_distance(a["t"], a["s"], b["s"]), F.lit(10.0)) / 10.0 * weight, F.lit(1.0))
 
 
-def _pair_features(a: Column, b: Column, moves: bool) -> Column:
-    out = [manhattan(a["s"], b["s"]) / 14.0, chebyshev(a["s"], b["s"]) / 7.0, (file(b["s"]) - file(a["s"])) / 7.0, (rank(b["s"]) - rank(a["s"])) / 7.0]
-    if moves:
-        out += [weighted_distance(a, b), *map(_one, pair_flags(a, b))]
+def _pair_features(a: Column, b: Column, version: int, moves: bool) -> Column:
+    """Of two pieces by their codes."""
+    place = lambda code: code.bitwiseAND(63) + 7 * F.shiftright(code, 3).bitwiseAND(7)
+    out = _row(_pair_table(), place(b) - place(a) + 112, 4)
+    if not moves:
+        return out
+    a, b = _of_code(a, version), _of_code(b, version)
+    return F.concat(out, F.array(*[x.cast("double") for x in (weighted_distance(a, b), *map(_one, pair_flags(a, b)))]))
+
+
+def _tactics_of(s: Slot, slots: list[Slot], version: int, against: Column, for_: Column) -> Column:
+    out = [_one(pinned(s, slots)), F.least(against / 3.0, F.lit(1.0)), F.least(for_ / 3.0, F.lit(1.0)), _one(against > for_)]
+    if version >= 7:
+        out += [F.least(safe_squares(s, slots) / 14.0, F.lit(1.0)), _one(s.kind == KING)]
     return F.array(*[x.cast("double") for x in out])
 
 
+def _counts(s: Slot, slots: list[Slot]) -> tuple[Column, Column]:
+    """Pieces that attack a piece, and that defend it."""
+    return attack_count(slots, s.square, 1 - s.white), attack_count(slots, s.square, s.white)
+
+
 def tactics(slots: list[Slot], version: int) -> Column:
     """Map from a piece's square to its version 6 and 7 features, as an array by square."""
-    def of(s: Slot) -> Column:
-        against, for_ = attack_count(slots, s.square, 1 - s.white), attack_count(slots, s.square, s.white)
-        out = [_one(pinned(s, slots)), F.least(against / 3.0, F.lit(1.0)), F.least(for_ / 3.0, F.lit(1.0)), _one(against > for_)]
-        if version >= 7:
-            out += [F.least(safe_squares(s, slots) / 14.0, F.lit(1.0)), _one(s.kind == KING)]
-        return F.array(*[x.cast("double") for x in out])
-
-    return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(*[F.when(s.square == i, of(s)) for s in slots]))
+    of = [_tactics_of(s, slots, version, *_counts(s, slots)) for s in slots]
+    return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(*[F.when(s.square == i, x) for s, x in zip(slots, of, strict=True)]))
 
 
 def safe_squares(s: Slot, slots: list[Slot]) -> Column:
@@ -115,18 +141,29 @@ def encode(df: DataFrame, n: int, version: int, *, moves: bool = False, name: st
     From version 4 on the view is that of the side to move. ``moves`` adds the move distance and
     six relation flags to each pair. Needs k1 and k0 from version 6 on, for the normalised view.
     """
-    view = normalised(df, n) if version >= 4 else df
-    slots, rest = Slot.of(n), view.columns
+    view, rest = normalised(df, n) if version >= 4 else df, df.columns
+    slots, codes = Slot.of(n), [f"__p{i}" for i in range(n)]
     if version >= 6:
-        view = with_masks(with_kings(view, n), n)
-        view = view.withColumn("__tactics", tactics(Slot.of(n, masks=True), version))
-    view = view.select(*rest, *(["__tactics"] if version >= 6 else []), F.explode(F.array(ordered_pieces(slots, version))).alias("__p"))
-    extra = F.col("__tactics") if version >= 6 else None
-    pieces = F.flatten(F.transform("__p", lambda p: _piece_features(p, version, extra)))
+        view = with_masks(with_kings(view, n), n, xray=True)
+        slots = Slot.of(n, masks=True, xray=True)
+        view = fixed(view, **{f"__{side}{i}": x for i, s in enumerate(slots) for side, x in zip("af", _counts(s, slots), strict=True)})
+        for i, s in enumerate(slots):
+            view = fixed(view, **{f"__e{i}": _tactics_of(s, slots, version, F.col(f"__a{i}"), F.col(f"__f{i}"))})
+    piece = lambda i, s: F.struct(piece_code(s, version).alias("code"), *([F.col(f"__e{i}").alias("extra")] if version >= 6 else []))
+    view = fixed(view, __p=F.sort_array(F.array(*[piece(i, s) for i, s in enumerate(slots)]))).select(*rest, "__p")
     at = lambda i: F.get("__p", F.lit(i))
-    pairs = [_pair_features(at(i), at(j), moves) for i in range(n) for j in range(i + 1, n)]
+    view = fixed(view, **{p: at(i)["code"] for i, p in enumerate(codes)}, **{f"__e{i}": at(i)["extra"] for i in range(n if version >= 6 else 0)})
+    own = [_row(_piece_table(version), F.col(p), 10 if version < 4 else 11) for p in codes]
+    if version >= 6:
+        own = [x for i, o in enumerate(own) for x in (o, F.col(f"__e{i}"))]
+    view = fixed(view, __own=F.concat(*own))
+    pairs = [(F.col(codes[i]), F.col(codes[j])) for i in range(n) for j in range(i + 1, n)]
+    step = 1 if moves else 3
+    for first in range(0, len(pairs), step):
+        view = fixed(view, **{f"__d{first}": F.concat(*[_pair_features(a, b, version, moves) for a, b in pairs[first : first + step]])})
     turn = [F.array(F.col("turn").cast("double"))] if version < 4 else []
-    return view.withColumn(name, F.concat(pieces, *pairs, *turn)).drop("__p", "__tactics")
+    view = fixed(view, __x=F.concat("__own", *[f"__d{first}" for first in range(0, len(pairs), step)], *turn))
+    return view.withColumn(name, F.col("__x")).select(*rest, *([] if name in rest else [name]))
 
 
 def invariant(slots: list[Slot], turn: Column) -> Column:
@@ -154,7 +191,7 @@ def attack_edges(df: DataFrame, n: int, keep: list[str], xray: bool = False) ->
 
     ``xray`` adds ``channel``: 1 as above, 2 for squares behind exactly one piece.
     """
-    slots = Slot.of(n)
+    df, slots = with_masks(df, n, xray), Slot.of(n, masks=True, xray=xray)
     row = lambda s, mask, channel: F.struct(s.square.alias("src"), s.white.alias("white"), F.lit(channel).alias("channel"), mask.alias("mask"))
     seen = [row(s, attack_mask(s, slots), 1) for s in slots] + ([row(s, xray_mask(s, slots), 2) for s in slots] if xray else [])
     rows = df.select(*keep, F.explode(F.array(*seen)).alias("__p")).select(*keep, "__p.*")

@@ -25,7 +25,7 @@ def largest_method(spark, df):
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
-@pytest.mark.parametrize("name", ["b5_terminal", "c19_moves", "d4_successors"])
+@pytest.mark.parametrize("name", ["b5_terminal", "c19_moves", "d4_successors", "b3_legal_five", "b4_canonical_five", "c20_channels_five", "c11_encode_five", "c12_encode_v6", "c13_encode_v7", "c28_mirror"])
 def test_methods_are_compiled(spark, sf, name):
     assert 0 < largest_method(spark, registry.queries()[name](spark, sf)) <= MOST
 
