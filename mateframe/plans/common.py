@@ -26,7 +26,12 @@ def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def placements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as placements of three pieces: s, t, c, k1, k0."""
-    return placed_by_rank(indexed(spark, sf_dir), list(CONFIGS.values()), F.col("idx"))
+    return ranked_placements(indexed(spark, sf_dir))
+
+
+def ranked_placements(ranks: DataFrame) -> DataFrame:
+    """Placements of three pieces by config and idx."""
+    return placed_by_rank(ranks, list(CONFIGS.values()), F.col("idx"))
 
 
 def customer_placements(spark: SparkSession, sf_dir: str) -> DataFrame:

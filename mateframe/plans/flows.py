@@ -16,7 +16,7 @@ from ..operators import universe as U
 from ..sources import logs, npz
 from ..streaming import streams
 from .audit import event_classes
-from .common import CANONICAL, CUSTOMER_POS, LEGAL, POS, SQL_CHANNELS as _CHANNELS, customer_placements, indexed, placements, sql_attack, sql_key, table
+from .common import CANONICAL, CUSTOMER_POS, LEGAL, POS, SQL_CHANNELS as _CHANNELS, customer_placements, indexed, placements, ranked_placements, sql_attack, sql_key, table
 
 
 def a9_available(spark, d):
@@ -122,8 +122,17 @@ def _legal(spark, d):
     return U.positions(placements(spark, d), 3)
 
 
+def _named(spark, d):
+    """Legal positions that line items name, each once, and how many name it (lines); side to move in mover too.
+
+    There are at most 2 x 3 x 249,984, so moves are worked out for no more, however long the table is.
+    """
+    ranks = indexed(spark, d).groupBy("config", "idx", "turn").agg(F.count("*").alias("lines"))
+    return U.positions(ranked_placements(ranks), 3).withColumn("mover", F.col("turn"))
+
+
 def b5_terminal(spark, d):
-    return M.terminal(_legal(spark, d), 3, ["id"]).groupBy("config", "turn", "checked").agg(F.count("*").alias("n"))
+    return M.terminal(_named(spark, d), 3, ["config", "idx", "mover"]).groupBy("config", "turn", "checked").agg(F.sum("lines").alias("n"))
 
 
 def _tactical(version):
@@ -135,7 +144,8 @@ def _tactical(version):
 
 
 def c19_moves(spark, d):
-    return M.successors(_legal(spark, d), 3, ["id", "config"]).groupBy("config", "slot").agg(F.count("*").alias("moves"), F.count("taken").alias("captures"))
+    captured = F.when(F.col("taken").isNotNull(), F.col("lines")).otherwise(0)
+    return M.successors(_named(spark, d), 3, ["config", "lines"]).groupBy("config", "slot").agg(F.sum("lines").alias("moves"), F.sum(captured).alias("captures"))
 
 
 def c20_channels(spark, d):

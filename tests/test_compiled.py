@@ -1,6 +1,7 @@
 """Generated methods small enough for the JVM to compile, and what is worked out in them against plain walks."""
 
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from test_universe import ray_attacks
 from mateframe import registry
 from mateframe.operators import search as M
 from mateframe.operators import universe as U
+from mateframe.plans.common import placements
 
 #: The JVM interprets methods of more bytes than this.
 MOST = 8000
@@ -63,3 +65,49 @@ def test_moves_of_all_pieces(spark, config):
         got.setdefault((r["idx"], r["mover"]), set()).add((r["slot"], r["dst"], r["taken"]))
     rows = df.collect()
     assert rows and all(got.get((p["idx"], p["turn"]), set()) == walked_moves(p, n) for p in rows)
+
+
+@pytest.fixture(scope="module")
+def thrice(spark, sf, tmp_path_factory):
+    """Line items three times, with keys shifted by whole rounds of ranks, so that the copies name the same positions."""
+    path = str(tmp_path_factory.mktemp("thrice"))
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_orderkey < 300")
+    copies = spark.range(3).select((F.col("id") * 249984).alias("__shift"))
+    li.crossJoin(F.broadcast(copies)).withColumn("l_orderkey", F.col("l_orderkey") + F.col("__shift")).drop("__shift").write.parquet(f"{path}/lineitem.parquet")
+    legal = U.positions(placements(spark, path), 3).collect()
+    assert len(legal) > 900 and len({(p["config"], p["idx"], p["turn"]) for p in legal}) * 3 <= len(legal)
+    return path, [(p, walked_moves(p, 3)) for p in legal]
+
+
+@pytest.fixture
+def moved(monkeypatch):
+    """The tables whose moves were worked out."""
+    seen, successors = [], M.successors
+    monkeypatch.setattr(M, "successors", lambda df, n, keep: seen.append(df) or successors(df, n, keep))
+    return seen
+
+
+def once(seen, legal):
+    """Each position's moves were worked out once, not once for each line item that names it."""
+    return len(seen) == 1 and seen[0].count() == len({(p["config"], p["idx"], p["turn"]) for p, _ in legal})
+
+
+def test_c19_moves_once_a_position(spark, thrice, moved):
+    path, legal = thrice
+    moves, captures = Counter(), Counter()
+    for p, found in legal:
+        for slot, _, taken in found:
+            moves[p["config"], slot] += 1
+            captures[p["config"], slot] += taken is not None
+    got = registry.queries()["c19_moves"](spark, path).collect()
+    assert {(r["config"], r["slot"]): (r["moves"], r["captures"]) for r in got} == {k: (n, captures[k]) for k, n in moves.items()}
+    assert once(moved, legal)
+
+
+def test_b5_terminal_once_a_position(spark, thrice, moved):
+    path, legal = thrice
+    want = Counter((p["config"], p["turn"]) for p, found in legal if not found)
+    got = Counter()
+    for r in registry.queries()["b5_terminal"](spark, path).collect():
+        got[r["config"], r["turn"]] += r["n"]
+    assert got == want and once(moved, legal)
