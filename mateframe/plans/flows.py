@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from ..functions import board as B
 from ..functions.board import Slot
 from ..functions.storage import scratch as _place
+from ..functions.storage import stored
 from ..operators import encode as E
 from ..operators import evaluate as V
 from ..operators import ml
 from ..operators import search as M
 from ..operators import shards as H
 from ..operators import universe as U
+from ..operators.ranks import sized
 from ..sources import logs, npz
 from ..streaming import streams
 from .audit import event_classes
@@ -169,8 +171,11 @@ def c25_channels(spark, d):
 
 
 def d4_successors(spark, d):
-    """Children per position."""
-    return M.successors(_legal(spark, d), 3, ["id"]).groupBy("id").agg(F.count("*").alias("children"))
+    """Children per position: counted once for all line items that name it."""
+    of = ["config", "idx", "mover"]
+    counts = stored(M.successors(_named(spark, d), 3, of).groupBy(*of).agg(F.count("*").alias("children")), "children")
+    lines = indexed(spark, d).withColumnRenamed("turn", "mover")
+    return lines.join(sized(counts), of).groupBy("id").agg(F.sum("children").alias("children"))
 
 
 def h1_sample(spark, d):

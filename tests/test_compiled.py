@@ -111,3 +111,11 @@ def test_b5_terminal_once_a_position(spark, thrice, moved):
     for r in registry.queries()["b5_terminal"](spark, path).collect():
         got[r["config"], r["turn"]] += r["n"]
     assert got == want and once(moved, legal)
+
+
+def test_d4_successors_once_a_position(spark, thrice, moved):
+    path, legal = thrice
+    want = {p["id"]: len(found) for p, found in legal if found}
+    assert len({p["id"] for p, _ in legal}) == len(legal)
+    got = registry.queries()["d4_successors"](spark, path).collect()
+    assert {r["id"]: r["children"] for r in got} == want and once(moved, legal)
