@@ -247,13 +247,14 @@ def e15_minimax(spark, d):
 
 def e15_depth(spark, d):
     """The same tree as a table of parents and children, backed up to each depth; nodes at that depth count their own score."""
-    c, o = table(spark, d, "customer"), table(spark, d, "orders")
-    li = table(spark, d, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey")).alias("parent"), F.concat_ws(":", F.concat(F.lit("l"), F.col("l_orderkey")), F.col("l_extendedprice").cast("decimal(18,4)")).alias("child"), F.col("l_extendedprice").alias("value"))
+    c, o, li = (table(spark, d, t) for t in ("customer", "orders", "lineitem"))
     named = lambda letter, col: F.concat(F.lit(letter), F.col(col))
-    children = c.select(named("n", "c_nationkey").alias("parent"), named("c", "c_custkey").alias("child")).unionByName(o.select(named("c", "o_custkey").alias("parent"), named("o", "o_orderkey").alias("child"))).unionByName(li.select("parent", "child"))
-    scores = c.select(named("c", "c_custkey").alias("node"), F.col("c_acctbal").alias("value")).unionByName(o.select(named("o", "o_orderkey").alias("node"), F.col("o_totalprice").alias("value"))).unionByName(li.select(F.col("child").alias("node"), "value").distinct())
+    edges = lambda t, parent, child, value: t.select(parent.alias("parent"), child.alias("child"), F.col(value).alias("value"))
+    priced = F.concat_ws(":", named("l", "l_orderkey"), F.col("l_extendedprice").cast("decimal(18,4)"))
+    children = edges(c, named("n", "c_nationkey"), named("c", "c_custkey"), "c_acctbal").unionByName(edges(o, named("c", "o_custkey"), named("o", "o_orderkey"), "o_totalprice")).unionByName(edges(li, named("o", "l_orderkey"), priced, "l_extendedprice"))
     roots = table(spark, d, "nation").select(named("n", "n_nationkey").alias("node"), F.lit(True).alias("maximise"))
-    found = D.backups(roots, children, scores, [0, 1, 2, 3])
+    # a nation's own score is 0; the others' come with their edges
+    found = D.backups(roots, children, roots.select("node", F.lit(0.0).alias("value")).distinct(), [0, 1, 2, 3])
     return found.select(F.expr("CAST(substr(node, 2) AS BIGINT)").alias("n_nationkey"), F.col("plies").alias("depth"), F.round("value", 2).alias("v"))
 
 

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from mateframe import registry
 from mateframe.operators import backup as D
 from mateframe.operators import encode as E
 from mateframe.operators import ml
@@ -92,3 +93,28 @@ def test_adjacency(spark):
         for i, w in enumerate((dx / 7, dy / 7, (abs(dx) + abs(dy)) / 14, max(abs(dx), abs(dy)) / 7)):
             want[g, 16 + i, a, b] = w
     assert len(got) == len(want) and all(abs(want[r["g"], r["channel"], r["src"], r["dst"]] - r["w"]) < 1e-9 for r in got)
+
+
+@pytest.mark.parametrize("plies", [[0, 1, 3], [2, 30], [1, None]])
+def test_backup_with_scores_beside_the_edges(spark, plies):
+    """Depths inside the graph, beyond it and to its leaves; edges bring their child's score, missing ones too."""
+    rng = random.Random(5)
+    edges = [(f"n{rng.randrange(i)}", f"n{i}") for i in range(1, 30)] + [(f"n{a}", f"n{a + rng.randrange(1, 6)}") for a in range(0, 24, 3)]
+    scores = {f"n{i}": round(rng.uniform(-9, 9), 3) for i in range(40) if i % 6}
+    children = {}
+    for a, b in edges:
+        children.setdefault(a, []).append(b)
+    table = spark.createDataFrame([(a, b, scores.get(b)) for a, b in [*edges, edges[4]]], "parent string, child string, value double")
+    roots = [("n0", True), ("n0", False), ("n2", True), ("alone", False)]
+    own = spark.createDataFrame([(n, scores[n]) for n in ("n2",)], "node string, value double")
+    got = D.backups(spark.createDataFrame(roots, "node string, maximise boolean"), table, own, plies).collect()
+    assert len(got) == len(roots) * len(plies)
+    assert {(r["node"], r["maximise"], r["plies"]): r["value"] for r in got} == {(n, m, p): value(n, m, children, scores, p) for n, m in roots for p in plies}
+
+
+def test_depth_query_stores_no_row_per_leaf(spark, sf, monkeypatch):
+    sizes, stored = [], D.stored
+    monkeypatch.setattr(D, "stored", lambda df, name: sizes.append(stored(df, name)) or sizes[-1])
+    assert registry.queries()["e15_depth"](spark, sf).count() == 100
+    rows = {t: spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("orders", "lineitem")}
+    assert sizes and max(t.count() for t in sizes) <= rows["orders"] < rows["lineitem"]
