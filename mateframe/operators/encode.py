@@ -330,21 +330,47 @@ def with_mirrors(df: DataFrame, n: int, x: str = "x") -> DataFrame:
     return df.select(*rest, F.inline(both)).select(*rest, x, "mirrored")
 
 
-def fen_board(board: Column) -> Column:
-    """The board field of FEN from a board array."""
-    letters = F.lit(".PNBRQKpnbrqk")
-    row = lambda r: F.array_join(F.transform(F.slice(board, r * 8 + 1, F.lit(8)), lambda c: F.substr(letters, c + 1, F.lit(1))), "")
-    text = F.array_join(F.transform(F.sequence(F.lit(7), F.lit(0), F.lit(-1)), row), "/")
+#: Board codes as letters, and as hexadecimal digits.
+FEN, HEX = ".PNBRQKpnbrqk", "0123456789ABC"
+
+
+def with_board(df: DataFrame, n: int, name: str = "board") -> DataFrame:
+    """Add ``board_array`` in a few compiled steps: the ranks as numbers of four bits a square, then the squares."""
+    slots, rest = Slot.of(n), [c for c in df.columns if c != name]
+    free = lambda i: reduce(lambda a, b: a & b, [~slots[j].square.eqNullSafe(slots[i].square) for j in range(i)], F.lit(True))
+    code = lambda i, s: F.coalesce(F.when(free(i), F.when(s.white == 1, s.kind).otherwise(s.kind + 6)), F.lit(0)).cast("long")
+    df = fixed(df, **{f"__c{i}": F.call_function("shiftleft", code(i, s), file(s.square) * 4) for i, s in enumerate(slots)})
+    row = lambda r: reduce(lambda a, b: a.bitwiseOR(b), [F.when(rank(s.square) == r, F.col(f"__c{i}")).otherwise(F.lit(0).cast("long")) for i, s in enumerate(slots)])
+    df = fixed(df, **{f"__r{r}": row(r) for r in range(8)})
+    squares = lambda r: F.array(*[F.shiftright(f"__r{r}", 4 * f).bitwiseAND(15).cast("int") for f in range(8)])
+    for first in (0, 4):
+        df = fixed(df, **{f"__r{r}": squares(r) for r in range(first, first + 4)})
+    return df.withColumn(name, F.concat(*[f"__r{r}" for r in range(8)])).select(*rest, name)
+
+
+def with_fen(df: DataFrame, board: str, name: str = "fen") -> DataFrame:
+    """Add the board field of FEN from a board array, in a few compiled steps."""
+    rest = [c for c in df.columns if c != name]
+    packed_rank = lambda r: reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(F.get(board, F.lit(r * 8 + f)).cast("long"), 28 - 4 * f) for f in range(8)])
+    df = fixed(df, **{board: F.col(board)})
+    for first in range(0, 8, 2):
+        df = fixed(df, **{f"__r{r}": packed_rank(r) for r in range(first, first + 2)})
+    rows = [F.lpad(F.hex(f"__r{r}"), 8, "0") for r in range(7, -1, -1)]
+    text = F.translate(F.concat(rows[0], *[x for row in rows[1:] for x in (F.lit("/"), row)]), HEX + "DEF", FEN)
+    df = fixed(df, **{name: text})
     for k in range(8, 0, -1):
-        text = F.regexp_replace(text, "\\." * k, str(k))
-    return text
+        text = F.replace(F.col(name) if k == 8 else text, F.lit("." * k), F.lit(str(k)))
+    return fixed(df, **{name: text}).select(*rest, name)
 
 
-def fen_pieces(board: Column) -> Column:
-    """Array of (square, code) from the board field of FEN."""
-    text = board
+def with_fen_pieces(df: DataFrame, fen: str, name: str = "pieces") -> DataFrame:
+    """Add an array of (square, code) from the board field of FEN, by square, in a few compiled steps."""
+    text, rest = F.replace(fen, F.lit("/"), F.lit("")), [c for c in df.columns if c != name]
     for k in range(8, 0, -1):
         text = F.replace(text, F.lit(str(k)), F.lit("." * k))
-    chars = F.split(F.replace(text, F.lit("/"), F.lit("")), "")
-    found = F.transform(F.filter(chars, lambda c: c != ""), lambda c, i: F.struct(((7 - F.floor(i / 8)) * 8 + i % 8).cast("int").alias("square"), (F.instr(F.lit(".PNBRQKpnbrqk"), c) - 1).alias("code")))
-    return F.filter(found, lambda p: p["code"] > 0)
+    df = fixed(df, __text=F.translate(F.regexp_replace(text, f"[^{FEN}]", "."), FEN, HEX))
+    df = fixed(df, **{f"__r{7 - i}": F.conv(F.rpad(F.substr("__text", F.lit(i * 8 + 1), F.lit(8)), 8, "0"), 16, 10).cast("long") for i in range(8)})
+    piece = lambda q: F.struct(F.lit(q).alias("square"), F.shiftright(f"__r{q // 8}", 28 - q % 8 * 4).bitwiseAND(15).cast("int").alias("code"))
+    for first in range(0, 8, 2):
+        df = fixed(df, **{f"__p{r}": F.array(*[piece(q) for q in range(r * 8, r * 8 + 8)]) for r in range(first, first + 2)})
+    return df.withColumn(name, F.filter(F.concat(*[f"__p{r}" for r in range(8)]), lambda p: p["code"] > 0)).select(*rest, name)

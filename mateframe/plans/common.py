@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import stored
+from ..operators.ranks import sized
 from ..operators.universe import placed_by_rank
 
 #: Configurations of the derived positions, by return flag.
@@ -15,13 +20,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def line_id(lines: DataFrame) -> Column:
+    """All keys of a line item as one number.
+
+    A long, as in SQL, while each of the table's fits one (below some 9.22 million orders); else, where SQL raises an
+    error, a decimal, so that the number stays what it is.
+    """
+    order, rest = F.col("l_orderkey"), F.col("l_linenumber") * 10**11 + F.col("l_partkey") * 10**6 + F.col("l_suppkey") * 100 + F.col("l_quantity").cast("long")
+    fits = F.try_add(F.try_multiply(order, F.lit(10**12)), rest).isNotNull()
+    if lines.where(~fits & order.isNotNull() & rest.isNotNull()).isEmpty():
+        return order * 10**12 + rest
+    return (order.cast("decimal(20,0)") * F.lit(Decimal(10**12)) + rest).cast("decimal(38,0)")
+
+
 def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as ranks of placements: id, config, idx, turn."""
+    lines = table(spark, sf_dir, "lineitem")
     idx = F.pmod(F.col("l_orderkey") * 7919 + F.col("l_partkey") * 104729 + F.col("l_linenumber") * 31, F.lit(249984))
     config = F.when(F.col("l_returnflag") == "A", "KQvK").when(F.col("l_returnflag") == "N", "KRvK").otherwise("KPvK")
-    return table(spark, sf_dir, "lineitem").select(
-        ((((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")) * 100 + F.col("l_quantity").cast("long")).alias("id"), config.alias("config"), idx.alias("idx"), (F.col("l_linenumber") % 2).cast("int").alias("turn")
-    )
+    return lines.select(line_id(lines).alias("id"), config.alias("config"), idx.alias("idx"), (F.col("l_linenumber") % 2).cast("int").alias("turn"))
 
 
 def placements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +51,15 @@ def ranked_placements(ranks: DataFrame) -> DataFrame:
     return placed_by_rank(ranks, list(CONFIGS.values()), F.col("idx"))
 
 
+def once(lines: DataFrame, of: list[str], work: Callable[[DataFrame], DataFrame], name: str, hint: Callable[[DataFrame], DataFrame] = sized) -> DataFrame:
+    """What ``work`` makes of the placements that line items name by ``of``, each worked out once, joined to all that name it.
+
+    A line item without a rank names none, as in SQL.
+    """
+    found = stored(work(ranked_placements(lines.select(*of).where("idx IS NOT NULL").distinct())), name)
+    return lines.join(hint(found), of)
+
+
 def customer_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as placements of three pieces, some ten times fewer than line items."""
     idx = F.pmod(F.col("c_custkey") * 15485863 + F.col("c_nationkey") * 31, F.lit(249984))

@@ -8,7 +8,7 @@ from ..functions import board as B
 from ..functions.board import Slot
 from ..operators import encode as E
 from ..operators import universe as U
-from .common import CANONICAL, CUSTOMER_POS, KEYS, LEGAL, POS, SQL_CHANNELS, csv, customer_placements, indexed, placements, sql_attack, sql_between, sql_image, sql_key, table
+from .common import CANONICAL, CUSTOMER_POS, KEYS, LEGAL, POS, SQL_CHANNELS, csv, customer_placements, indexed, once, placements, sql_attack, sql_between, sql_image, sql_key, table
 
 
 
@@ -87,11 +87,14 @@ def a10_category(spark, d):
 
 
 def a20_fen(spark, d):
-    """Board fields written and read back: the text, and the pieces it gives."""
-    boards = B.fixed(placements(spark, d).select("id", *[f"{p}{i}" for i in range(3) for p in "stc"]), board=E.board_array(S))
-    rows = B.fixed(boards.select("id", "board"), fen=E.fen_board(F.col("board")))
-    back = F.transform(F.array_sort(E.fen_pieces(F.col("fen"))), lambda p: p["square"] * 100 + p["code"])
-    return rows.select("id", "fen", F.array_join(back.cast("array<string>"), ",").alias("pieces"))
+    """Board fields written and read back: the text, and the pieces it gives; once for all line items of a placement."""
+
+    def fields(named):
+        rows = E.with_fen_pieces(E.with_fen(E.with_board(named, 3).select("config", "idx", "board"), "board"), "fen")
+        back = F.transform("pieces", lambda p: p["square"] * 100 + p["code"])
+        return rows.select("config", "idx", "fen", F.array_join(back.cast("array<string>"), ",").alias("pieces"))
+
+    return once(indexed(spark, d), ["config", "idx"], fields, "fen").select("id", "fen", "pieces")
 
 
 def b1_pawn_ranks(spark, d):
