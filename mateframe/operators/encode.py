@@ -143,14 +143,17 @@ def encode(df: DataFrame, n: int, version: int, *, moves: bool = False, name: st
     """
     view, rest = normalised(df, n) if version >= 4 else df, df.columns
     slots, codes = Slot.of(n), [f"__p{i}" for i in range(n)]
+    if 4 <= version < 6:
+        view = fixed(view, **{f"{p}{i}": F.col(f"{p}{i}") for i in range(n) for p in "sc"})
     if version >= 6:
         view = with_masks(with_kings(view, n), n, xray=True)
         slots = Slot.of(n, masks=True, xray=True)
         view = fixed(view, **{f"__{side}{i}": x for i, s in enumerate(slots) for side, x in zip("af", _counts(s, slots), strict=True)})
         for i, s in enumerate(slots):
             view = fixed(view, **{f"__e{i}": _tactics_of(s, slots, version, F.col(f"__a{i}"), F.col(f"__f{i}"))})
-    piece = lambda i, s: F.struct(piece_code(s, version).alias("code"), *([F.col(f"__e{i}").alias("extra")] if version >= 6 else []))
-    view = fixed(view, __p=F.sort_array(F.array(*[piece(i, s) for i, s in enumerate(slots)]))).select(*rest, "__p")
+    view = fixed(view, **{p: piece_code(s, version) for p, s in zip(codes, slots, strict=True)})
+    piece = lambda i: F.struct(F.col(codes[i]).alias("code"), *([F.col(f"__e{i}").alias("extra")] if version >= 6 else []))
+    view = fixed(view, __p=F.sort_array(F.array(*map(piece, range(n))))).select(*rest, "__p")
     at = lambda i: F.get("__p", F.lit(i))
     view = fixed(view, **{p: at(i)["code"] for i, p in enumerate(codes)}, **{f"__e{i}": at(i)["extra"] for i in range(n if version >= 6 else 0)})
     own = [_row(_piece_table(version), F.col(p), 10 if version < 4 else 11) for p in codes]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import board as B
 from ..operators import encode as E
 from ..operators import universe as U
-from .common import csv, sql_between, sql_image, table
+from .common import csv, line_id, sql_between, sql_image, table
 
 FOUR = ("KQvKR", "KRRvK", "KBNvK", "KPvKP")
 FIVE = ("KRPvKR", "KQRvKN", "KBBvKN", "KPPvKP", "KRRvKQ")
@@ -32,8 +32,8 @@ def four(spark, d):
 def five(spark, d):
     """Line items as placements of five pieces."""
     idx = F.pmod(F.col("l_orderkey") * 15485863 + F.col("l_partkey") * 104729 + F.col("l_linenumber") * 31337, F.lit(math.perm(64, 5)))
-    key = ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")
-    rows = table(spark, d, "lineitem").select((key * 100 + F.col("l_quantity").cast("long")).alias("id"), _configs(FIVE, F.col("l_partkey") % 5).alias("config"), idx.alias("idx"), (F.col("l_linenumber") % 2).cast("int").alias("turn"))
+    lines = table(spark, d, "lineitem")
+    rows = lines.select(line_id(lines).alias("id"), _configs(FIVE, F.col("l_partkey") % 5).alias("config"), idx.alias("idx"), (F.col("l_linenumber") % 2).cast("int").alias("turn"))
     return U.placed_by_rank(rows, list(FIVE), F.col("idx"))
 
 

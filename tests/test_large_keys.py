@@ -53,3 +53,7 @@ def test_fen_of_any_board(spark):
     men = spark.createDataFrame([(6, 1, 5, 4, 1, -1, 6, 0, 5), (6, 1, 0, 1, 0, 62, 6, 0, 63)], ", ".join(f"t{i} int, c{i} int, s{i} int" for i in range(3)))
     got = [r["board"] for r in E.with_board(men, 3).select("board").collect()]
     assert got == [r["b"] for r in men.select(E.board_array(E.Slot.of(3)).alias("b")).collect()] and sum(map(bool, got[0])) == 1
+
+
+def test_c11_encode_five_beyond_64_bits(spark, tables):
+    assert same_but_for_keys(spark, tables, "c11_encode_five")
