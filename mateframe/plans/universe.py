@@ -151,11 +151,15 @@ def c7_one_hot(spark, d):
 
 
 def _encoded(version, moves=False):
-    def query(spark, d):
-        x = E.encode(placements(spark, d), 3, version, moves=moves).select("id", "x")
-        return x.select("id", F.size("x").alias("width"), csv(F.col("x")).alias("x"))
+    """Vectors as text, made once for all line items of a position; they are too wide to be broadcast."""
+    of = ["config", "idx", "turn"]
 
-    return query
+    def vectors(named):
+        # from version 4 on, the view turns the side to move
+        x = E.encode(named.withColumn("mover", F.col("turn")), 3, version, moves=moves)
+        return x.select("config", "idx", F.col("mover").alias("turn"), F.size("x").alias("width"), csv(F.col("x")).alias("x"))
+
+    return lambda spark, d: once(indexed(spark, d), of, vectors, "vectors", lambda found: found.hint("merge")).select("id", "width", "x")
 
 
 def c9_move_distance(spark, d):

@@ -57,3 +57,14 @@ def test_fen_of_any_board(spark):
 
 def test_c11_encode_five_beyond_64_bits(spark, tables):
     assert same_but_for_keys(spark, tables, "c11_encode_five")
+
+
+def test_c10_encode_v2_beyond_64_bits(spark, tables):
+    assert same_but_for_keys(spark, tables, "c10_encode_v2")
+
+
+def test_c10_encode_v2_once_a_position(spark, tables, monkeypatch):
+    seen, encode = [], E.encode
+    monkeypatch.setattr(E, "encode", lambda df, *rest, **more: seen.append(df) or encode(df, *rest, **more))
+    rows = registry.queries()["c10_encode_v2"](spark, tables[1]).count()
+    assert len(seen) == 1 and seen[0].count() * 2 <= rows
