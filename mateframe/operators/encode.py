@@ -161,7 +161,7 @@ def encode(df: DataFrame, n: int, version: int, *, moves: bool = False, name: st
         own = [x for i, o in enumerate(own) for x in (o, F.col(f"__e{i}"))]
     view = fixed(view, __own=F.concat(*own))
     pairs = [(F.col(codes[i]), F.col(codes[j])) for i in range(n) for j in range(i + 1, n)]
-    step = 1 if moves else 3
+    step = 1 if moves else 5
     for first in range(0, len(pairs), step):
         view = fixed(view, **{f"__d{first}": F.concat(*[_pair_features(a, b, version, moves) for a, b in pairs[first : first + step]])})
     turn = [F.array(F.col("turn").cast("double"))] if version < 4 else []
